@@ -136,7 +136,7 @@ def joined_text(title: Column, workplace: Column) -> Column:
 def one_line(value: Column) -> Column:
     """Line breaks to blanks, ends trimmed; what the register stores."""
     text = F.coalesce(value.cast("string"), F.lit(""))
-    return strip(F.regexp_replace(text, "[\n\r  \x0b\x0c]", " "))
+    return strip(F.regexp_replace(text, r"[\n\r\u2028\u2029\x0b\f]", " "))
 
 
 def metric(value: Column) -> Column:
