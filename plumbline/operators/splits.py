@@ -48,15 +48,14 @@ def _allocation(strata: DataFrame, test_size: float) -> DataFrame:
     distinct sizes, which bounds the two windows without a partition.
     """
     sizes = strata.filter("_c > 1").groupBy("_c").agg(F.count(F.lit(1)).alias("_m"))
-    total = sizes.agg(F.sum(F.col("_c") * F.col("_m")).alias("_total"))
+    everything = Window.partitionBy()
     shares = (
-        sizes.crossJoin(total)  # one row
+        sizes.withColumn("_total", F.sum(F.col("_c") * F.col("_m")).over(everything))
         .withColumn("_train_total",
                     F.col("_total") - F.ceil(F.round(F.col("_total") * F.lit(test_size), 9)))
         .withColumn("_base", F.expr("(_train_total * _c) div _total"))
         .withColumn("_rest", F.expr("(_train_total * _c) % _total"))
     )
-    everything = Window.partitionBy()
     by_rest = Window.orderBy(F.desc("_rest"), F.desc("_c")).rowsBetween(
         Window.unboundedPreceding, -1)
     spare = (
