@@ -123,7 +123,7 @@ def mismatch_report(predictions: DataFrame, gold: DataFrame, variables: list[str
                     key: str = R.CASE_ID, mismatches_only: bool = True) -> DataFrame:
     """Predicted and gold value side by side; rows with any difference.
 
-    Values are compared as lower-cased, trimmed text.
+    Values are compared as lower-cased, trimmed text; null equals null.
     """
     left = predictions.select(
         F.col(key).cast("string").alias(key), *[F.col(v).alias(f"{v}_pred") for v in variables])

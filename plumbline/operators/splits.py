@@ -51,10 +51,12 @@ def _allocation(strata: DataFrame, test_size: float) -> DataFrame:
     everything = Window.partitionBy()
     shares = (
         sizes.withColumn("_total", F.sum(F.col("_c") * F.col("_m")).over(everything))
-        .withColumn("_train_total",
-                    F.col("_total") - F.ceil(F.round(F.col("_total") * F.lit(test_size), 9)))
-        .withColumn("_base", F.expr("(_train_total * _c) div _total"))
-        .withColumn("_rest", F.expr("(_train_total * _c) % _total"))
+        .withColumn("_train_total", F.col("_total") - F.ceil(F.col("_total") * F.lit(test_size)))
+        # Decimal, as the product of two row counts does not fit a long.
+        .withColumn("_scaled", F.expr(
+            "cast(_train_total as decimal(19, 0)) * cast(_c as decimal(19, 0))"))
+        .withColumn("_base", F.expr("_scaled div cast(_total as decimal(19, 0))"))
+        .withColumn("_rest", F.expr("_scaled % cast(_total as decimal(19, 0))"))
     )
     by_rest = Window.orderBy(F.desc("_rest"), F.desc("_c")).rowsBetween(
         Window.unboundedPreceding, -1)
