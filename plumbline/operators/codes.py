@@ -57,15 +57,15 @@ def _by_description(texts: DataFrame, codes: DataFrame, description: Column,
         .join(known.withColumn("_k", F.explode(_grams(F.col("_d")))), "_k")
         .filter(F.col("_d").contains(F.col("_low")))
     )
-    # The empty text is contained in every description, an empty description in
-    # every text: both take the first code there is of that kind.
-    first_any = codes.agg(F.min("_c").alias("_c"))
-    empty_text = texts.filter(F.col("_t") == "").withColumn("_one", F.lit(1)).join(
-        first_any.withColumn("_one", F.lit(1)), "_one")
+    # The empty text is in every description, an empty description in every text.
+    first_any = codes.agg(F.min("_c")).scalar()
+    first_blank = described.filter(F.col("_d") == "").agg(F.min("_c")).scalar()
+    empty_text = texts.filter(F.col("_t") == "").withColumn("_c", first_any)
+    any_text = texts.withColumn("_c", first_blank)
     return reduce(DataFrame.unionByName, [
         _hit(part, stage, F.col("_c"), F.col("_c"))
-        for part in (inside_text, inside_description, empty_text.filter("_c is not null"))
-    ])
+        for part in (inside_text, inside_description, empty_text, any_text)
+    ]).filter("_code is not null")
 
 
 def _tail(code: Column, separator: str) -> Column:
@@ -85,7 +85,7 @@ def _fine(texts: DataFrame, codes: DataFrame) -> DataFrame:
     spoken = texts.withColumn(
         "_w", F.explode(F.array_distinct(F.regexp_extract_all("_t", F.lit(words), 0))))
     whole = F.concat(F.lit(r"(?U)\b\Q"), F.col("_num"), F.lit(r"\E\b"))
-    by_number = spoken.join(keyed, "_w").filter(F.expr("_t rlike _p") if False else F.col("_t").rlike(whole))
+    by_number = spoken.join(keyed, "_w").filter(F.rlike("_t", whole))
     return reduce(DataFrame.unionByName, [
         _exact(texts, codes),
         _hit(by_number, 2, F.col("_first"), F.col("_last")),
