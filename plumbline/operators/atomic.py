@@ -41,23 +41,26 @@ def accuracy(aligned: DataFrame, group: str | None = None, similarity: bool = Tr
     """Exact-match accuracy with missing values as a class of their own.
 
     One row per group and one overall. Rows are counted per distinct value pair
-    first, so the similarity function sees each pair once per group.
+    first, so the similarity function sees each pair once per group. Rows with a
+    false ``has_pred`` only count as missing.
     """
     groups = [group] if group else []
     values = aligned.select(
-        *groups, F.col("gold").cast("string").alias("_g"), F.col("pred").cast("string").alias("_p"))
-    pairs = values.groupBy(*groups, "_g", "_p").agg(F.count(F.lit(1)).alias("_n"))
+        *groups, _has_prediction(aligned).alias("_has"),
+        F.col("gold").cast("string").alias("_g"), F.col("pred").cast("string").alias("_p"))
+    pairs = values.groupBy(*groups, "_has", "_g", "_p").agg(F.count(F.lit(1)).alias("_n"))
     gold, pred = T.normalise_value(F.col("_g")), T.normalise_value(F.col("_p"))
     flags = pairs.select(
-        *groups, "_n", (gold == pred).alias("_eq"),
+        *groups, "_has", "_n", (gold == pred).alias("_eq"),
         (gold == R.NA_SENTINEL).alias("_gna"), (pred == R.NA_SENTINEL).alias("_pna"),
         (F.when((gold != R.NA_SENTINEL) & (pred != R.NA_SENTINEL),
                 T.char_similarity(F.col("_p"), F.col("_g")))
          if similarity else F.lit(None).cast("double")).alias("_sim"),
     )
+    has = F.col("_has")
 
     def total(condition: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, F.col("_n"))), F.lit(0))
+        return F.coalesce(F.sum(F.when(has & condition, F.col("_n"))), F.lit(0))
 
     eq, gna, pna = F.col("_eq"), F.col("_gna"), F.col("_pna")
     sums = flags.groupBy(*groups).agg(
@@ -69,7 +72,8 @@ def accuracy(aligned: DataFrame, group: str | None = None, similarity: bool = Tr
         total(gna).alias("n_na_gold"),
         total(pna).alias("n_na_pred"),
         total(~gna & ~pna).alias("_n_sim"),
-        F.coalesce(F.sum(F.col("_sim") * F.col("_n")), F.lit(0.0)).alias("_sim_sum"),
+        F.coalesce(F.sum(F.when(has, F.col("_sim") * F.col("_n"))), F.lit(0.0)).alias("_sim_sum"),
+        F.coalesce(F.sum(F.when(~has, F.col("_n"))), F.lit(0)).alias("n_missing"),
     )
     scored = with_overall(sums, group)
     sim = F.col("_sim_sum") if similarity else F.lit(None).cast("double")
@@ -81,9 +85,14 @@ def accuracy(aligned: DataFrame, group: str | None = None, similarity: bool = Tr
         T.metric(T.ratio(sim, F.col("_n_sim"))).alias("char_similarity"),
         T.metric(T.ratio(sim, F.col("n_predicted"))).alias("char_similarity_when_predicted"),
         "n_correct", "n_total", "n_predicted", "n_na_correct", "n_na_gold", "n_na_pred",
+        "n_missing",
     )
 
 
+def _has_prediction(aligned: DataFrame) -> Column:
+    return F.col("has_pred") if "has_pred" in aligned.columns else F.lit(True)
+
+
 def similarity_as_headline(scores: DataFrame) -> DataFrame:
     """Free-text places are judged by similarity instead of exact match."""
     return scores.withColumn("accuracy", F.col("char_similarity")).withColumn(
@@ -96,9 +105,12 @@ def mean_error(aligned: DataFrame, group: str | None = None) -> DataFrame:
     gold, pred = F.col("gold"), F.col("pred")
     usable = (T.normalise_value(gold) != R.NA_SENTINEL) & (T.normalise_value(pred) != R.NA_SENTINEL)
     error = F.when(usable, F.abs(T.to_number(pred) - T.to_number(gold)))
-    sums = aligned.select(*groups, error.alias("_e")).groupBy(*groups).agg(
+    has = F.col("_has")
+    rows = aligned.select(*groups, error.alias("_e"), _has_prediction(aligned).alias("_has"))
+    sums = rows.groupBy(*groups).agg(
         F.count("_e").alias("n_total"),
-        F.count_if(F.col("_e").isNull()).alias("n_skipped"),
+        F.count_if(has & F.col("_e").isNull()).alias("n_skipped"),
+        F.count_if(~has).alias("n_missing"),
         F.count_if(F.col("_e") == 0).alias("_exact"),
         F.coalesce(F.sum("_e"), F.lit(0.0)).alias("_error"),
     )
@@ -106,7 +118,7 @@ def mean_error(aligned: DataFrame, group: str | None = None) -> DataFrame:
         "level", "slice",
         T.metric(T.ratio(F.col("_error"), F.col("n_total"))).alias("mae"),
         T.metric(T.ratio(F.col("_exact"), F.col("n_total"))).alias("accuracy"),
-        "n_total", "n_skipped",
+        "n_total", "n_skipped", "n_missing",
     )
 
 

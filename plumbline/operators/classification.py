@@ -54,10 +54,17 @@ def attach_group(df: DataFrame, lookup: DataFrame, key: str = R.CASE_ID,
 def confusion(aligned: DataFrame, group: str | None = None) -> DataFrame:
     """(slice, gold, pred, n); ``slice`` is null without a group."""
     part = F.col(group).cast("string") if group else F.lit(None).cast("string")
-    return (
-        aligned.filter(F.col("gold").isNotNull())
-        .groupBy(part.alias("slice"), "gold", "pred").agg(F.count(F.lit(1)).alias("n"))
-    )
+    return aligned.groupBy(part.alias("slice"), "gold", "pred").agg(F.count(F.lit(1)).alias("n"))
+
+
+def scored_pairs(counts: DataFrame) -> DataFrame:
+    """Pairs with a gold code; the others are skipped predictions."""
+    return counts.filter(F.col("gold").isNotNull())
+
+
+def n_skipped(counts: DataFrame) -> DataFrame:
+    return counts.filter(F.col("gold").isNull()).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_skipped"))
 
 
 def class_scores(counts: DataFrame, by_group: bool = False) -> DataFrame:
@@ -70,7 +77,7 @@ def class_scores(counts: DataFrame, by_group: bool = False) -> DataFrame:
         F.struct(F.col("pred").alias("label"), zero.alias("support"),
                  F.col("n").alias("predicted"), zero.alias("tp")),
     )
-    labels = counts.select("slice", F.inline(sides))
+    labels = scored_pairs(counts).select("slice", F.inline(sides))
     sums = [F.sum(c).alias(c) for c in ("support", "predicted", "tp")]
     if by_group:
         summed = labels.groupingSets(
@@ -98,13 +105,21 @@ def per_class(counts: DataFrame) -> DataFrame:
 def summary(counts: DataFrame, by_group: bool = False) -> DataFrame:
     """Accuracy, macro and weighted F1 overall and, if wanted, per group."""
     scored = class_scores(counts, by_group)
-    return scored.groupBy("level", "slice").agg(
-        T.metric(F.sum("tp") / F.sum("support")).alias("accuracy"),
+    measures = [
+        T.metric(T.ratio(F.sum("tp"), F.sum("support"))).alias("accuracy"),
         T.metric(F.avg("f1")).alias("macro_f1"),
-        T.metric(F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("weighted_f1"),
-        F.sum("support").alias("n_total"),
+        T.metric(T.ratio(F.sum(F.col("f1") * F.col("support")), F.sum("support")))
+        .alias("weighted_f1"),
+        F.coalesce(F.sum("support"), F.lit(0)).alias("n_total"),
         F.count(F.lit(1)).alias("n_classes"),
-    )
+    ]
+    # No group key, so the row exists even where nothing was scored.
+    whole = scored.filter(F.col("level") == OVERALL).agg(*measures).select(
+        F.lit(OVERALL).alias("level"), F.lit(None).cast("string").alias("slice"), "*")
+    if not by_group:
+        return whole
+    parts = scored.filter(F.col("level") == GROUP).groupBy("level", "slice").agg(*measures)
+    return whole.unionByName(parts)
 
 
 def semantic_similarity(counts: DataFrame, label_vectors: DataFrame, label: str = "label",
@@ -113,7 +128,7 @@ def semantic_similarity(counts: DataFrame, label_vectors: DataFrame, label: str
 
     Works on distinct label pairs weighted by their counts.
     """
-    pairs = counts.groupBy("gold", "pred").agg(F.sum("n").alias("n"))
+    pairs = scored_pairs(counts).groupBy("gold", "pred").agg(F.sum("n").alias("n"))
     vectors = label_vectors.select(F.col(label).alias("_l"), V.unit(F.col(vector)).alias("_v"))
     pairs = pairs.join(vectors.toDF("gold", "_gv"), "gold").join(vectors.toDF("pred", "_pv"), "pred")
     return pairs.agg(
@@ -126,7 +141,7 @@ def normalised_confusion(counts: DataFrame, labels: list[str] | None = None) ->
 
     With ``labels`` only pairs of those labels are counted.
     """
-    pairs = counts.groupBy("gold", "pred").agg(F.sum("n").alias("n"))
+    pairs = scored_pairs(counts).groupBy("gold", "pred").agg(F.sum("n").alias("n"))
     if labels is not None:
         pairs = pairs.filter(F.col("gold").isin(labels) & F.col("pred").isin(labels))
     totals = pairs.groupBy("gold").agg(F.sum("n").alias("_total"))
