@@ -5,7 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as t
 
 from plumbline import registry as R
 
@@ -38,7 +38,7 @@ def normalise_chars(value: Column) -> Column:
     return strip(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(t.DoubleType())
 def _sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(
         [
