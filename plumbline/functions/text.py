@@ -61,16 +61,23 @@ def char_similarity(left: Column, right: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(ratio)
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed and written out only once.
+
+    Nested column expressions would otherwise repeat their argument at every
+    level, which makes plans over many columns very large.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def to_number(value: Column) -> Column:
     """Text to double; null for anything that is no decimal number."""
-    text = strip(value.cast("string"))
-    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
+    return F.regexp_extract(strip(value.cast("string")), _NUMBER, 0).try_cast("double")
 
 
 def to_year(value: Column) -> Column:
     """Loader rule: a number without a fraction becomes an int, the rest null."""
-    number = to_number(value)
-    return F.when(number == F.floor(number), number.try_cast("int"))
+    return bind(to_number(value), lambda n: F.when(n == F.floor(n), n.try_cast("int")))
 
 
 def truncated_year(value: Column) -> Column:
@@ -87,9 +94,8 @@ def positive_int(value: Column, numeric: bool = False) -> Column:
     if numeric:
         number = value.try_cast("int")
     else:
-        text = strip(value.cast("string"))
-        number = F.when(text.rlike(_INTEGER), text.try_cast("int"))
-    return F.when(number > 0, number)
+        number = F.regexp_extract(strip(value.cast("string")), _INTEGER, 0).try_cast("int")
+    return bind(number, lambda n: F.when(n > 0, n))
 
 
 def sector(code: Column) -> Column:

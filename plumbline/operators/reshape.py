@@ -16,16 +16,22 @@ def spell_slots(df: DataFrame, blank: tuple[str, ...] = ("", "nan"),
                 years=None, max_spells: int = R.MAX_SPELLS) -> Column:
     """Filled career slots as array<struct<spell_index,start_year,end_year,position>>.
 
-    ``years`` turns a year column into an int column; the default keeps ints and
-    parses text with the loader rule.
+    Int year columns are kept; ``years`` turns text into an int, by default with
+    the loader rule.
     """
     years = years or T.to_year
-    null_year = F.lit(None).cast("string")
+
+    def year(name: str) -> Column:
+        if name not in df.columns:
+            return F.lit(None).cast("int")
+        kind = df.schema[name].dataType
+        return F.col(name).cast("int") if isinstance(kind, t.IntegralType) else years(F.col(name))
+
     slots = [
         F.struct(
             F.lit(n).alias("spell_index"),
-            years(_slot(df, f"career_start_year_{n}", null_year)).alias("start_year"),
-            years(_slot(df, f"career_end_year_{n}", null_year)).alias("end_year"),
+            year(f"career_start_year_{n}").alias("start_year"),
+            year(f"career_end_year_{n}").alias("end_year"),
             F.col(f"career_position_{n}").cast("string").alias("position"),
         )
         for n in range(1, max_spells + 1)
@@ -101,17 +107,16 @@ def education_anchor(df: DataFrame) -> Column:
 
 def gold_spell_lists(df: DataFrame) -> DataFrame:
     """Key and its dated spells for scoring; keys without one are left out."""
-    spells = spell_slots(df, years=lambda c: _positive(T.to_year(c)))
+    positive = F.transform(spell_slots(df), lambda s: F.struct(
+        s["spell_index"].alias("spell_index"), *[
+            F.when(s[y] > 0, s[y]).alias(y) for y in ("start_year", "end_year")],
+        s["position"].alias("position")))
     return (
-        df.select(F.col(R.CASE_ID).cast("string").alias(R.CASE_ID), dated(spells).alias("gold"))
+        df.select(F.col(R.CASE_ID).cast("string").alias(R.CASE_ID), dated(positive).alias("gold"))
         .filter(F.size("gold") > 0)
     )
 
 
-def _positive(year: Column) -> Column:
-    return F.when(year > 0, year)
-
-
 def collect_spells(df: DataFrame, key: str = R.CASE_ID, max_spells: int = R.MAX_SPELLS) -> DataFrame:
     """Long spells to one ordered list per key.
 
