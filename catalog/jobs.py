@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from catalog.base import derived, oracle, query, table
 from plumbline.operators import cleaning as C, model_jobs as M, splits
 from plumbline.operators.classification import label_index
-from plumbline.operators.reshape import education_anchor, spell_anchors
+from plumbline.operators.reshape import education_anchor, pinned, spell_anchors
 from plumbline.plans.silver import build_silver
 
 # --- answers for reconcile, made in SQL so that the oracle can make them too --------------
@@ -30,7 +30,7 @@ _RECONCILE_TABLES = ["raw_gold", "spell_rows"]
 
 def _reconciled(spark, sf):
     raw = derived(spark, sf, "raw_gold").filter("trim(case_id) <> ''")
-    anchors = raw.select("case_id", spell_anchors(raw).alias("anchors")).filter("size(anchors) > 0")
+    anchors = raw.select("case_id", pinned(spell_anchors(raw)).alias("anchors")).filter("size(anchors) > 0")
     items = derived(spark, sf, "spell_rows").select("case_id", "slot", F.expr(_ANSWER_ITEM).alias("item"))
     # At most one item per calendar year of the data.
     answers = items.groupBy("case_id").agg(F.concat(
@@ -62,7 +62,7 @@ SELECT case_id, CAST(spell_index AS INT) AS spell_index, uni_subject, 'Label ' |
 FROM raw_silver_edu WHERE spell_index = '1'"""))
 def reconcile_subjects(spark, sf):
     raw = derived(spark, sf, "raw_gold").filter("trim(case_id) <> ''")
-    rows = raw.select("case_id", education_anchor(raw).alias("a")).filter("a is not null").select(
+    rows = raw.select("case_id", pinned(education_anchor(raw)).alias("a")).filter("a is not null").select(
         "case_id", F.col("a.subjects").alias("subjects"))
     response = F.concat(F.lit('{"subjects": [{"subject_index": 1, "subject_label": "Label '),
                         F.col("subjects")[0]["code"], F.lit('"}]}'))

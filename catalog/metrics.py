@@ -307,15 +307,15 @@ def interval_pairs(spark, sf):
 _COUNTS = """
 counts AS (SELECT {slice} AS slice, gold, pred, count(*) AS n FROM {source} WHERE gold IS NOT NULL
            GROUP BY 1, 2, 3),
-sides AS (
+label_sides AS (
   SELECT slice, gold AS label, n AS support, 0 AS predicted, CASE WHEN gold = pred THEN n ELSE 0 END AS tp
   FROM counts
   UNION ALL SELECT slice, pred, 0, n, 0 FROM counts),
 labels_of AS (
   SELECT 'overall' AS level, NULL AS slice, label, sum(support) AS support, sum(predicted) AS predicted,
-         sum(tp) AS tp FROM sides GROUP BY label
+         sum(tp) AS tp FROM label_sides GROUP BY label
   UNION ALL
-  SELECT 'group', slice, label, sum(support), sum(predicted), sum(tp) FROM sides GROUP BY slice, label),
+  SELECT 'group', slice, label, sum(support), sum(predicted), sum(tp) FROM label_sides GROUP BY slice, label),
 class_scores AS (
   SELECT *, CASE WHEN predicted > 0 THEN CAST(tp AS DOUBLE) / predicted ELSE 0.0 END AS p,
          CASE WHEN support > 0 THEN CAST(tp AS DOUBLE) / support ELSE 0.0 END AS r,

@@ -96,7 +96,7 @@ FROM (
 WHERE code NOT IN ('', 'nan')"""))
 def education_anchors(spark, sf):
     raw = derived(spark, sf, "raw_gold")
-    anchors = raw.select("name_last", reshape.education_anchor(raw).alias("a"))
+    anchors = raw.select("name_last", reshape.pinned(reshape.education_anchor(raw)).alias("a"))
     return anchors.filter("a is not null").select(
         "name_last", "a.edu_degree", "a.edu_start", "a.edu_end", F.inline("a.subjects"))
 

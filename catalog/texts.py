@@ -257,10 +257,10 @@ SELECT case_id, 'CV TEXT:' || chr(10) || min(cv_local) || chr(10) || chr(10)
   || chr(10) || chr(10) || 'Return the JSON object as specified.' AS prompt
 FROM raw_gold JOIN spell_rows USING (case_id) WHERE start_text <> '' OR end_text <> '' GROUP BY case_id"""))
 def career_prompts(spark, sf):
-    from plumbline.operators.reshape import spell_anchors
+    from plumbline.operators.reshape import pinned, spell_anchors
 
     raw = derived(spark, sf, "raw_gold").filter("trim(case_id) <> ''")
-    rows = raw.select("case_id", "cv_local", spell_anchors(raw).alias("a")).filter(F.size("a") > 0)
+    rows = raw.select("case_id", "cv_local", pinned(spell_anchors(raw)).alias("a")).filter(F.size("a") > 0)
     return rows.select("case_id", prompts.career_prompt(F.col("cv_local"), F.col("a")).alias("prompt"))
 
 
@@ -276,10 +276,10 @@ SELECT case_id, 'CV TEXT:' || chr(10) || min(cv_local) || chr(10) || chr(10) ||
   || chr(10) || 'Return the JSON object as specified.' AS prompt
 FROM raw_gold JOIN raw_silver_edu USING (case_id) GROUP BY case_id"""))
 def education_prompts(spark, sf):
-    from plumbline.operators.reshape import education_anchor
+    from plumbline.operators.reshape import education_anchor, pinned
 
     raw = derived(spark, sf, "raw_gold").filter("trim(case_id) <> ''")
-    rows = raw.select("case_id", "cv_local", education_anchor(raw).alias("a")).filter("a is not null")
+    rows = raw.select("case_id", "cv_local", pinned(education_anchor(raw)).alias("a")).filter("a is not null")
     return rows.select("case_id", prompts.education_prompt(F.col("cv_local"), F.col("a")).alias("prompt"))
 
 

@@ -46,6 +46,16 @@ def spell_slots(df: DataFrame, blank: tuple[str, ...] = ("", "nan"),
     )
 
 
+def pinned(value: Column) -> Column:
+    """A per-row value as generator output, to be selected once.
+
+    Filters on it stay above the generator. Pushed below, a filter on a value made
+    of dozens of renamed slot columns makes the planner derive constraints for
+    every combination of names.
+    """
+    return F.explode(F.array(value))
+
+
 def career_spells(df: DataFrame) -> DataFrame:
     """Wide gold to one row per filled career slot."""
     return (
@@ -112,7 +122,8 @@ def gold_spell_lists(df: DataFrame) -> DataFrame:
             F.when(s[y] > 0, s[y]).alias(y) for y in ("start_year", "end_year")],
         s["position"].alias("position")))
     return (
-        df.select(F.col(R.CASE_ID).cast("string").alias(R.CASE_ID), dated(positive).alias("gold"))
+        df.select(F.col(R.CASE_ID).cast("string").alias(R.CASE_ID),
+                  pinned(dated(positive)).alias("gold"))
         .filter(F.size("gold") > 0)
     )
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plumbline import registry as R
 from plumbline.functions import prompts, text as T
 from plumbline.operators import cleaning as C, model_jobs as M
-from plumbline.operators.reshape import education_anchor, spell_anchors
+from plumbline.operators.reshape import education_anchor, pinned, spell_anchors
 from plumbline.session import cut
 
 CAREER_INSTRUCTIONS = (
@@ -55,7 +55,8 @@ def build_silver(cases: DataFrame, client: Callable[[], M.CallModel], mode: str
 
     anchor = spell_anchors(work) if mode == "career" else education_anchor(work)
     shaped = work.select(
-        T.strip(F.col(R.CASE_ID)).alias(R.CASE_ID), text.alias("_text"), anchor.alias("_anchor"))
+        T.strip(F.col(R.CASE_ID)).alias(R.CASE_ID), text.alias("_text"),
+        pinned(anchor).alias("_anchor"))
     index = "spell_index" if mode == "career" else "subject_index"
     if failed is not None:
         shaped = _only_failed(shaped, failed, index, mode)
