@@ -386,13 +386,20 @@ def test_reconcile_education(spark):
 
 
 def test_silver_build_and_retry(spark, gold):
+    # Workers cannot import this module, so the clients carry what they answer.
+    one = json.dumps({"spells": [item(1)]})
+    both = json.dumps({"spells": [item(1), item(2)]})
+
     def failing_second():
         def call(system, prompt):
             if "CV text 7\n" in prompt:
                 raise RuntimeError("down")
-            return json.dumps({"spells": [item(1)]})
+            return one
         return call
 
+    def answering():
+        return lambda system, prompt: both
+
     cases = C.load_cases(gold.withColumn("o", F.col("case_id")).withColumn(
         "cv_english", F.when(F.col("case_id") == "p003", "").otherwise(F.col("cv_english"))), "o")
     built = build_silver(cases, failing_second, wait=0.0)
@@ -401,8 +408,7 @@ def test_silver_build_and_retry(spark, gold):
     assert reasons == {"no_cv_text": 1, "api_call_failed_all_retries": 2,
                        "spell_not_returned_by_model": 39}
     # The second pass asks only for what failed, in cases already half done.
-    again = build_silver(cases, lambda: lambda s, p: json.dumps({"spells": [item(1), item(2)]}),
-                         failed=built.failures, wait=0.0)
+    again = build_silver(cases, answering, failed=built.failures, wait=0.0)
     assert {r.spell_index for r in again.silver.collect()} == {1, 2}
     assert again.silver.count() == 41
     assert [tuple(r) for r in again.failures.collect()] == [("p003", "ALL", "no_cv_text")]
