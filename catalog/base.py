@@ -211,12 +211,28 @@ def _needs(sql: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql)))
 
 
+# Tables a user would hold in storage. They are written once per application and
+# read from there, so that a query plan starts at a scan of the label tables.
+STORED = {
+    "spell_rows", "raw_gold", "raw_silver", "raw_silver_edu", "code_predictions",
+    "subject_predictions", "spell_predictions", "field_predictions", "url_predictions",
+}
+_PATHS: dict[tuple[str, str, str], str] = {}
+
+
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table as a Spark DataFrame."""
     if name in BASE_TABLES:
         return table(spark, sf_dir, name)
     sql = DERIVED[name]
-    return spark.sql(sql, **{n: derived(spark, sf_dir, n) for n in _needs(sql)})
+    if name not in STORED:
+        return spark.sql(sql, **{n: derived(spark, sf_dir, n) for n in _needs(sql)})
+    where = (spark.sparkContext.applicationId, sf_dir, name)
+    if where not in _PATHS:
+        path = scratch(spark, name)
+        spark.sql(sql, **{n: derived(spark, sf_dir, n) for n in _needs(sql)}).write.parquet(path)
+        _PATHS[where] = path
+    return spark.read.parquet(_PATHS[where])
 
 
 def _expressions(names: list[str], seen: dict[str, str]) -> None:

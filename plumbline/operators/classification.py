@@ -14,12 +14,13 @@ from plumbline.operators.cleaning import semi_by_id
 from plumbline.operators.scores import GROUP, OVERALL
 
 
-def align(predictions: DataFrame, gold: DataFrame, test_ids: DataFrame, gold_col: str,
+def align(predictions: DataFrame, gold: DataFrame, test: DataFrame, gold_col: str,
           indexed: bool = True, key: str = R.CASE_ID, index: str = R.SPELL_INDEX,
-          predicted: str = R.PREDICTED_CODE) -> DataFrame:
+          predicted: str = R.PREDICTED_CODE, group: str | None = None) -> DataFrame:
     """Predictions of test cases with their gold code: (key…, pred, gold).
 
-    Rows of other cases are left out. ``gold`` is null where no non-empty gold
+    Rows of other cases are left out. With ``group`` the case's value of that
+    column of ``test`` is added as ``slice``. ``gold`` is null where no non-empty gold
     code exists; such rows count as skipped. Repeated predictions all stay.
     """
     keys = [key, index] if indexed else [key]
@@ -34,8 +35,13 @@ def align(predictions: DataFrame, gold: DataFrame, test_ids: DataFrame, gold_col
     codes = keyed(gold, gold_col, "gold").filter(F.col("gold") != "")
     # A key repeated in gold keeps one code; cleaned silver has none repeated.
     unique = codes.groupBy(*keys).agg(F.max("gold").alias("gold"))
-    return semi_by_id(keyed(predictions, predicted, "pred"), test_ids, key).join(
-        unique, keys, "left")
+    found = keyed(predictions, predicted, "pred")
+    if group is None:
+        return semi_by_id(found, test, key).join(unique, keys, "left")
+    # One inner join keeps the test cases and looks their group up.
+    cases = test.groupBy(F.col(key).cast("string").alias(key)).agg(
+        F.max(T.strip(F.col(group))).alias("slice"))
+    return found.join(cases, key).join(unique, keys, "left")
 
 
 def attach_group(df: DataFrame, lookup: DataFrame, key: str = R.CASE_ID,

@@ -19,25 +19,40 @@ def seeded_hash(key: Column, seed: int = R.SPLIT_SEED) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")))
 
 
-def hash_rank(df: DataFrame, groups: list[str], key: str, seed: int = R.SPLIT_SEED,
-              name: str = "hash_rank") -> DataFrame:
-    """Exact 1-based rank by ``(hash, key)`` inside each group, added as ``name``."""
+def _sliced(df: DataFrame, key: str, seed: int) -> DataFrame:
     hashed = df.withColumn("_h", seeded_hash(F.col(key), seed))
-    sliced = hashed.withColumn("_slice", F.substring("_h", 1, _SLICE_DIGITS))
-    per_slice = sliced.groupBy(*groups, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    return hashed.withColumn("_slice", F.substring("_h", 1, _SLICE_DIGITS))
+
+
+def _slice_sizes(sliced: DataFrame, groups: list[str]) -> DataFrame:
+    """(groups…, _slice, _n, _before): rows in a slice and in the slices before it.
+
+    At most 4096 slices of a group meet in the window.
+    """
     earlier = Window.partitionBy(*groups).orderBy("_slice").rowsBetween(
         Window.unboundedPreceding, -1)
-    offsets = per_slice.select(
-        *groups, "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    sizes = sliced.groupBy(*groups, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    return sizes.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+
+
+def _ranked(sliced: DataFrame, sizes: DataFrame, groups: list[str], key: str,
+            name: str) -> DataFrame:
     local = Window.partitionBy(*groups, "_slice").orderBy("_h", F.col(key))
     return (
         sliced.withColumn("_local", F.row_number().over(local))
-        .join(offsets, [*groups, "_slice"])
+        .join(sizes.drop("_n"), [*groups, "_slice"])
         .withColumn(name, F.col("_before") + F.col("_local"))
         .drop("_h", "_slice", "_local", "_before")
     )
 
 
+def hash_rank(df: DataFrame, groups: list[str], key: str, seed: int = R.SPLIT_SEED,
+              name: str = "hash_rank") -> DataFrame:
+    """Exact 1-based rank by ``(hash, key)`` inside each group, added as ``name``."""
+    sliced = _sliced(df, key, seed)
+    return _ranked(sliced, _slice_sizes(sliced, groups), groups, key, name)
+
+
 def _allocation(strata: DataFrame, test_size: float) -> DataFrame:
     """Test rows per stratum by largest remainder.
 
@@ -75,26 +90,35 @@ def _allocation(strata: DataFrame, test_size: float) -> DataFrame:
     )
 
 
-def stratified_split(df: DataFrame, key: str = R.CASE_ID, stratum: str = R.COUNTRY,
-                     test_size: float = R.SPLIT_TEST_SIZE,
-                     seed: int = R.SPLIT_SEED) -> DataFrame:
-    """Key and ``split`` ('test' or 'train') for every row of ``df``.
+def split_sides(df: DataFrame, key: str = R.CASE_ID, stratum: str = R.COUNTRY,
+                test_size: float = R.SPLIT_TEST_SIZE, seed: int = R.SPLIT_SEED) -> DataFrame:
+    """(key, stratum, split) for every row of ``df``; split is 'test' or 'train'.
 
-    A stratum with one row goes to the training side.
+    A stratum with one row goes to the training side. Rows meet the counts by
+    stratum and slice, never by the stratum alone.
     """
     rows = df.select(
-        F.col(key).cast("string").alias(key), F.col(stratum).cast("string").alias("_stratum"))
-    rows = rows.withColumn("_stratum", F.coalesce("_stratum", F.lit("")))
-    strata = rows.groupBy("_stratum").agg(F.count(F.lit(1)).alias("_c"))
-    allocation = _allocation(strata, test_size)
-    ranked = hash_rank(rows, ["_stratum"], key, seed)
-    return ranked.join(allocation, "_stratum", "left").select(
-        key,
-        F.when(F.col("hash_rank") <= F.coalesce("_n_test", F.lit(0)), "test")
+        F.col(key).cast("string").alias(key),
+        F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("_stratum"))
+    sliced = _sliced(rows, key, seed)
+    sizes = _slice_sizes(sliced, ["_stratum"])
+    strata = sizes.groupBy("_stratum").agg(F.sum("_n").alias("_c"))
+    quota = sizes.join(_allocation(strata, test_size), "_stratum", "left")
+    ranked = _ranked(sliced, quota, ["_stratum"], key, "_rank")
+    return ranked.select(
+        key, F.col("_stratum").alias(stratum),
+        F.when(F.col("_rank") <= F.coalesce("_n_test", F.lit(0)), "test")
         .otherwise("train").alias("split"),
     )
 
 
+def stratified_split(df: DataFrame, key: str = R.CASE_ID, stratum: str = R.COUNTRY,
+                     test_size: float = R.SPLIT_TEST_SIZE,
+                     seed: int = R.SPLIT_SEED) -> DataFrame:
+    """Key and ``split`` ('test' or 'train') for every row of ``df``."""
+    return split_sides(df, key, stratum, test_size, seed).select(key, "split")
+
+
 def split_ids(df: DataFrame, side: str, key: str = R.CASE_ID, **kwargs) -> DataFrame:
     return stratified_split(df, key, **kwargs).filter(F.col("split") == side).select(key)
 

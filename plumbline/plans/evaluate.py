@@ -11,7 +11,7 @@ from plumbline.functions import text as T
 from plumbline.operators import atomic, classification, cleaning as C, sets, spells
 from plumbline.operators.reshape import gold_spell_lists, predicted_spells
 from plumbline.operators.scores import GROUP, OVERALL
-from plumbline.operators.splits import apply_split, split_ids
+from plumbline.operators.splits import apply_split, split_sides
 from plumbline.plans.inputs import check_task
 from plumbline.sources.sinks import register_row
 
@@ -176,10 +176,13 @@ def _annotation(predictions: DataFrame, gold: DataFrame, silver: DataFrame | Non
     _require(predictions, [*indexed, R.PREDICTED_CODE])
     if silver is None:
         raise ValueError("a silver table is required for task='annotation'.")
-    test_ids = split_ids(gold, "test")
-    codes = C.annotation_inputs(silver, variable, test_ids)
-    aligned = classification.align(predictions, codes, test_ids, spec.gold_col, spec.indexed)
-    aligned = classification.attach_group(aligned, gold)
+    if spec.input_col not in silver.columns:
+        raise ValueError(f"column '{spec.input_col}' not found; available: {silver.columns}")
+    # The split table already holds the country and restricts both other sides.
+    test = split_sides(gold).filter(F.col("split") == "test")
+    codes = silver.filter(C.has_text(spec.input_col))
+    aligned = classification.align(
+        predictions, codes, test, spec.gold_col, spec.indexed, group=R.COUNTRY)
     collapse = {("career_position", "broad"): T.sector, ("uni_subject", "fine"): T.numeric_prefix}
     if (variable, granularity) in collapse:
         shorten = collapse[variable, granularity]
