@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from plumbline.session import durable_dir
 
@@ -38,8 +39,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{durable_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
+def _scan(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet scan; the schema of a path is looked up once."""
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _scan(spark, f"{sf_dir}/{name}.parquet")
 
 
 YEARS = range(1995, 2002)
@@ -232,7 +243,7 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         path = scratch(spark, name)
         spark.sql(sql, **{n: derived(spark, sf_dir, n) for n in _needs(sql)}).write.parquet(path)
         _PATHS[where] = path
-    return spark.read.parquet(_PATHS[where])
+    return _scan(spark, _PATHS[where])
 
 
 def _expressions(names: list[str], seen: dict[str, str]) -> None:

@@ -60,7 +60,7 @@ FROM summary_of""", _RUN_COUNTS + ", summary_of AS (" + _RUN_SUMMARY + ")"))
 def register_rows(spark, sf):
     counts = K.confusion(derived(spark, sf, "document_quality"), "source")
     scores = K.summary(counts, by_group=True).filter("level = 'group'").select(
-        "*", F.col("n_total").alias("n_evaluated"), F.lit(0).alias("n_skipped"))
+        "*", F.col("n_total").alias("n_evaluated"))
     rows = sinks.register_row(scores, "annotation", "quality", F.to_json(F.struct("slice", "accuracy")))
     numbers = [F.get_json_object("metrics_json", "$.slice").alias("model"), "task", "n_evaluated",
                *[F.col(c).cast("double").alias(c) for c in ("accuracy", "macro_f1", "weighted_f1")],

@@ -336,7 +336,7 @@ def _quality(spark, sf):
 
 @query("document_quality_scores", oracle(["document_quality"], _SUMMARY.format(where=""), _QUALITY))
 def document_quality_scores(spark, sf):
-    return K.summary(_quality(spark, sf), by_group=True)
+    return K.summary(_quality(spark, sf), by_group=True).drop("n_skipped")
 
 
 @query("class_report", oracle(["document_quality"], """
@@ -394,7 +394,7 @@ def country_lookup(spark, sf):
     _CODE_ALIGNED + "," + _COUNTS.format(slice="country_label", source="aligned")))
 def code_scores_by_country(spark, sf):
     aligned = K.attach_group(_code_aligned(spark, sf), derived(spark, sf, "raw_gold"))
-    return K.summary(K.confusion(aligned, "slice"), by_group=True)
+    return K.summary(K.confusion(aligned, "slice"), by_group=True).drop("n_skipped")
 
 
 @query("broad_sector_scores", oracle(
@@ -405,7 +405,7 @@ broad AS (SELECT CASE WHEN regexp_full_match(trim(split_part(pred, '=', 1)), '[0
 def broad_sector_scores(spark, sf):
     aligned = _code_aligned(spark, sf).withColumns(
         {c: T.sector(F.col(c)) for c in ("gold", "pred")})
-    return K.summary(K.confusion(aligned))
+    return K.summary(K.confusion(aligned)).drop("n_skipped")
 
 
 _RATES = """
@@ -525,11 +525,11 @@ def list_lengths(spark, sf):
 
 
 @query("mean_of_groups", oracle(["document_quality"], """
-SELECT round_even(avg(accuracy), 6) AS mean, CAST(count(DISTINCT slice) AS BIGINT) AS n_groups
+SELECT round_even(avg(accuracy), 9) AS mean, CAST(count(DISTINCT slice) AS BIGINT) AS n_groups
 FROM (""" + _SUMMARY.format(where="WHERE level = 'group'") + ")", _QUALITY))
 def mean_of_groups(spark, sf):
     groups = K.summary(_quality(spark, sf), by_group=True).filter("level = 'group'")
-    return stats.mean_of_groups(groups, "slice", "accuracy").withColumn("mean", T.metric(F.col("mean")))
+    return stats.mean_of_groups(groups, "slice", "accuracy").withColumn("mean", F.bround("mean", 9))
 
 
 @query("worst_cases", oracle(_KEYED, """

@@ -11,7 +11,7 @@ from plumbline import registry as R
 
 # A decimal number as pandas and Python read it. Java's parser also takes
 # "12d" or "0x1p3", so the text is checked before it is cast.
-_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+_NUMBER = "^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 _INTEGER = r"^[+-]?\d+$"
 
 
@@ -80,6 +80,18 @@ def to_year(value: Column) -> Column:
     return bind(to_number(value), lambda n: F.when(n == F.floor(n), n.try_cast("int")))
 
 
+def year_of(column: str) -> Column:
+    """``to_year`` of a named column, as one SQL expression.
+
+    A wide table has dozens of year columns; one expression each keeps the
+    building of the plan fast.
+    """
+    return F.expr(
+        f"transform(array(try_cast(regexp_extract(btrim(cast(`{column}` as string), "
+        f"'{R.WHITESPACE}'), '{_NUMBER}', 0) as double)), "
+        "n -> case when n = floor(n) then try_cast(n as int) end)[0]")
+
+
 def truncated_year(value: Column) -> Column:
     """Anchor rule: any number, its fraction cut off."""
     return to_number(value).try_cast("int")

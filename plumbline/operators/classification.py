@@ -68,23 +68,26 @@ def scored_pairs(counts: DataFrame) -> DataFrame:
     return counts.filter(F.col("gold").isNotNull())
 
 
-def n_skipped(counts: DataFrame) -> DataFrame:
-    return counts.filter(F.col("gold").isNull()).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n_skipped"))
-
-
 def class_scores(counts: DataFrame, by_group: bool = False) -> DataFrame:
-    """Precision, recall, F1 and support of every gold or predicted label."""
+    """Precision, recall, F1 and support of every gold or predicted label.
+
+    Predictions without a gold code come back as one row with a null label.
+    """
     right = F.when(F.col("gold") == F.col("pred"), F.col("n")).otherwise(F.lit(0))
     zero = F.lit(0).cast("long")
-    sides = F.array(
-        F.struct(F.col("gold").alias("label"), F.col("n").alias("support"),
-                 zero.alias("predicted"), right.cast("long").alias("tp")),
-        F.struct(F.col("pred").alias("label"), zero.alias("support"),
-                 F.col("n").alias("predicted"), zero.alias("tp")),
-    )
-    labels = scored_pairs(counts).select("slice", F.inline(sides))
-    sums = [F.sum(c).alias(c) for c in ("support", "predicted", "tp")]
+
+    def side(label, support, predicted, tp, skipped) -> Column:
+        return F.struct(
+            label.alias("label"), support.alias("support"), predicted.alias("predicted"),
+            tp.cast("long").alias("tp"), skipped.alias("skipped"))
+
+    n = F.col("n")
+    sides = F.when(
+        F.col("gold").isNull(), F.array(side(F.col("gold"), zero, zero, zero, n))
+    ).otherwise(F.array(
+        side(F.col("gold"), n, zero, right, zero), side(F.col("pred"), zero, n, zero, zero)))
+    labels = counts.select("slice", F.inline(sides))
+    sums = [F.sum(c).alias(c) for c in ("support", "predicted", "tp", "skipped")]
     if by_group:
         summed = labels.groupingSets(
             [[F.col("label")], [F.col("slice"), F.col("label")]], "slice", "label"
@@ -98,33 +101,38 @@ def class_scores(counts: DataFrame, by_group: bool = False) -> DataFrame:
         T.ratio0(F.col("tp"), F.col("predicted")).alias("precision"),
         T.ratio0(F.col("tp"), F.col("support")).alias("recall"),
         T.ratio0(2 * F.col("tp"), F.col("support") + F.col("predicted")).alias("f1"),
-        "support", "tp",
+        "support", "tp", "skipped",
     )
 
 
 def per_class(counts: DataFrame) -> DataFrame:
     """Rounded per-label scores over all rows."""
-    return class_scores(counts).select(
+    return class_scores(counts).filter("label is not null").select(
         "label", *[T.metric(F.col(c)).alias(c) for c in ("precision", "recall", "f1")], "support")
 
 
 def summary(counts: DataFrame, by_group: bool = False) -> DataFrame:
-    """Accuracy, macro and weighted F1 overall and, if wanted, per group."""
+    """Accuracy, macro and weighted F1 overall and, if wanted, per group.
+
+    A group whose predictions were all skipped has no row.
+    """
     scored = class_scores(counts, by_group)
     measures = [
         T.metric(T.ratio(F.sum("tp"), F.sum("support"))).alias("accuracy"),
-        T.metric(F.avg("f1")).alias("macro_f1"),
+        T.metric(F.avg(F.when(F.col("label").isNotNull(), F.col("f1")))).alias("macro_f1"),
         T.metric(T.ratio(F.sum(F.col("f1") * F.col("support")), F.sum("support")))
         .alias("weighted_f1"),
         F.coalesce(F.sum("support"), F.lit(0)).alias("n_total"),
-        F.count(F.lit(1)).alias("n_classes"),
+        F.count("label").alias("n_classes"),
+        F.coalesce(F.sum("skipped"), F.lit(0)).alias("n_skipped"),
     ]
     # No group key, so the row exists even where nothing was scored.
     whole = scored.filter(F.col("level") == OVERALL).agg(*measures).select(
         F.lit(OVERALL).alias("level"), F.lit(None).cast("string").alias("slice"), "*")
     if not by_group:
         return whole
-    parts = scored.filter(F.col("level") == GROUP).groupBy("level", "slice").agg(*measures)
+    parts = scored.filter(F.col("level") == GROUP).groupBy("level", "slice").agg(
+        *measures).filter("n_total > 0")
     return whole.unionByName(parts)
 
 

@@ -60,7 +60,7 @@ def year_columns(df: DataFrame) -> list[str]:
 
 def coerce_years(df: DataFrame) -> DataFrame:
     """Year columns to nullable ints, chosen by name."""
-    return df.withColumns({c: T.to_year(F.col(c)) for c in year_columns(df)})
+    return df.withColumns({c: T.year_of(c) for c in year_columns(df)})
 
 
 def label_columns(df: DataFrame) -> list[str]:

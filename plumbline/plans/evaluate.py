@@ -188,19 +188,15 @@ def _annotation(predictions: DataFrame, gold: DataFrame, silver: DataFrame | Non
         shorten = collapse[variable, granularity]
         aligned = aligned.withColumns({c: shorten(F.col(c)) for c in ("gold", "pred")})
     counts = classification.confusion(aligned, "slice")
-    levels = classification.summary(counts, by_group=True)
-    similarity = (
+    summary = classification.summary(counts).drop("level", "slice").withColumnRenamed(
+        "n_total", "n_evaluated")
+    summary = summary.withColumn("semantic_similarity", (
         classification.semantic_similarity(counts, label_vectors).scalar()
-        if label_vectors is not None else F.lit(None).cast("double"))
-    summary = (
-        levels.filter(F.col("level") == OVERALL).drop("level", "slice")
-        .withColumnRenamed("n_total", "n_evaluated")
-        .withColumn("n_skipped", classification.n_skipped(counts).scalar())
-        .withColumn("semantic_similarity", similarity)
-    )
-    per_country = levels.filter(F.col("level") == GROUP).select(
-        F.col("slice").alias("country"), "accuracy", "macro_f1", "weighted_f1",
-        F.col("n_total").alias("n_evaluated"))
+        if label_vectors is not None else F.lit(None).cast("double")))
+    per_country = classification.summary(counts, by_group=True).filter(
+        F.col("level") == GROUP
+    ).select(F.col("slice").alias("country"), "accuracy", "macro_f1", "weighted_f1",
+             F.col("n_total").alias("n_evaluated"))
     return Evaluation(
         "annotation", variable, _tagged(summary, "annotation", variable, granularity=granularity),
         per_class=classification.per_class(counts), per_country=per_country)
