@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,3 +58,21 @@ def cut(df: DataFrame) -> DataFrame:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(durable_dir(spark))
     return df.checkpoint(eager=True)
+
+
+_shipped: set[tuple[str, str]] = set()
+
+
+def ship(spark: SparkSession, *packages: Path) -> None:
+    """Give executors the source packages their Python tasks import.
+
+    Only needed where the packages are not installed on the cluster. Each
+    package is sent once per application.
+    """
+    context = spark.sparkContext
+    for package in packages:
+        if (context.applicationId, str(package)) in _shipped:
+            continue
+        base = Path(tempfile.mkdtemp(prefix="plumbline-src-")) / package.name
+        context.addPyFile(shutil.make_archive(str(base), "zip", package.parent, package.name))
+        _shipped.add((context.applicationId, str(package)))
