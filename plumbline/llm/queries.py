@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import (
-    bpe, digest, lang_codes, line_rules, mixture, quality_rank, token_orc, warc,
+    bpe, digest, lang_codes, line_rules, minhash, mixture, quality_rank, suffix_dedup, token_orc, warc,
 )
 from plumbline.llm.common import scratch
 
@@ -33,6 +33,10 @@ def op2_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      _table(spark, sf_dir, "labels"))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_lang_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_codes.identify(_table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,10 @@ def op6_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.digest_edits(_table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_report(_table(spark, sf_dir, "documents"))
+
+
 def op8_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_rules.clean_lines(_table(spark, sf_dir, "documents"))
     return found.drop("clean_text")
@@ -140,9 +148,11 @@ FROM p LEFT JOIN w ON p.body = w.body
 QUERIES = {
     "op1_token_orc": op1_token_orc,
     "op2_quality_rank": op2_quality_rank,
+    "op3_minhash": op3_minhash,
     "op4_lang_codes": op4_lang_codes,
     "op5_bpe": op5_bpe,
     "op6_digest": op6_digest,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_line_rules": op8_line_rules,
     "op9_warc": op9_warc,
     "op10_mixture": op10_mixture,
