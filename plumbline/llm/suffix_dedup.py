@@ -25,6 +25,7 @@ and the text are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -32,11 +33,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import (
-    id_text, prepare, scratch, shuffle_partitions, small_batches, stored, utf8_values,
+    prepare, scratch, shuffle_partitions, small_batches, stored, utf8_values,
 )
 
 SPAN, GRAM = 100, 50
@@ -205,27 +206,31 @@ def _pack(folder: str, block_bytes: int):
 
         fs, base = pafs.FileSystem.from_uri(folder)
         part, name, out, at = TaskContext.get().partitionId(), f"{uuid.uuid4().hex}.blocks", None, 0
-        packer, rows, ids, texts, held = zstandard.ZstdCompressor(3), [], [], [], 0
+        packer, rows = zstandard.ZstdCompressor(3), []
+        ids, texts, notes, held = [], [], [], 0
 
         def close():
-            nonlocal out, at, ids, texts, held
+            nonlocal out, at, ids, texts, notes, held
             if out is None:
                 fs.create_dir(base, recursive=True)
                 out = fs.open_output_stream(f"{base}/{name}", compression=None)
             head = np.array([(i is not None, i or 0, len(t)) for i, t in zip(ids, texts, strict=True)],
                             np.int64)
-            body = packer.compress(np.array([len(ids)], np.int64).tobytes() + head.tobytes()
-                                   + b"".join(texts))
+            noted = json.dumps(notes).encode()
+            body = packer.compress(np.array([len(ids), len(noted)], np.int64).tobytes()
+                                   + head.tobytes() + noted + b"".join(texts))
             out.write(body)
             rows.append((part << 32 | len(rows), name, at, len(body), held))
             at += len(body)
-            ids, texts, held = [], [], 0
+            ids, texts, notes, held = [], [], [], 0
 
         for batch in small_batches(batches, "text", block_bytes):
-            for i, t in zip(batch.column(0).to_pylist(), utf8_values(batch.column(1)), strict=True):
+            for i, t, note in zip(batch.column(0).to_pylist(), utf8_values(batch.column(1)),
+                                  batch.column(2).to_pylist(), strict=True):
                 if ids and held + len(t) > block_bytes:
                     close()
                 ids.append(i)
+                notes.append(note)
                 texts.append(t)
                 held += len(t)
         if ids:
@@ -246,10 +251,11 @@ class _Block:
         fs, base = pafs.FileSystem.from_uri(folder)
         with fs.open_input_file(f"{base}/{file}") as f:
             raw = zstandard.ZstdDecompressor().decompress(f.read_at(size, at))
-        n = int(np.frombuffer(raw, np.int64, 1)[0])
-        head = np.frombuffer(raw, np.int64, 3 * n, 8).reshape(-1, 3)
-        self.ids = [int(i) if known else None for known, i, _ in head.tolist()]
-        self.text = np.frombuffer(raw, np.uint8, offset=8 + 24 * n)
+        n, noted = np.frombuffer(raw, np.int64, 2).tolist()
+        head = np.frombuffer(raw, np.int64, 3 * n, 16).reshape(-1, 3)
+        self.ids = [i if known else None for known, i, _ in head.tolist()]
+        self.notes = json.loads(raw[16 + 24 * n:16 + 24 * n + noted])
+        self.text = np.frombuffer(raw, np.uint8, offset=16 + 24 * n + noted)
         self.ends = np.cumsum(head[:, 2])
 
 
@@ -476,7 +482,7 @@ def _third_requests(folder: str, buckets: int):
 
 
 def _finish(folder: str, buckets: int, emit):
-    """Each block with its answers becomes rows ``emit(doc_id, bytes, mask of removed bytes)``."""
+    """Each block with its answers becomes a row of ``emit`` for each document."""
 
     def rows(batches):
         for (block,), answers in _grouped(batches, 1):
@@ -493,19 +499,26 @@ def _finish(folder: str, buckets: int, emit):
                 np.add.at(gone, again + SPAN, -1)
             mask = np.cumsum(gone[:-1]) > 0
             lo = 0
-            for doc_id, hi in zip(b.ids, b.ends.tolist(), strict=True):
-                yield emit(doc_id, b.text[lo:hi], mask[lo:hi])
+            for doc_id, note, hi in zip(b.ids, b.notes, b.ends.tolist(), strict=True):
+                yield emit(doc_id, b.text[lo:hi], mask[lo:hi], note)
                 lo = hi
 
     return rows
 
 
-def remove_repeats(docs: DataFrame, emit, schema: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Rows ``emit(doc_id, bytes, mask of removed bytes)`` of every document."""
+def remove_repeats(docs: DataFrame, emit, schema: str, block_bytes: int = BLOCK_BYTES,
+                   note: Column | None = None) -> DataFrame:
+    """Rows ``emit(doc_id, bytes, mask of removed bytes, note)`` of every document.
+
+    ``note`` is a text of each row that comes back with it.
+    """
     spark = docs.sparkSession
     prepare(spark)
     n, folder = shuffle_partitions(spark), scratch(spark, "suffix-blocks")
-    blocks = stored(id_text(docs).repartitionByRange(n, "doc_id", F.xxhash64("text"))
+    noted = docs.select(docs["doc_id"].cast("long").alias("doc_id"),
+                        docs["text"].cast("string").alias("text"),
+                        (F.lit(None) if note is None else note).cast("string").alias("note"))
+    blocks = stored(noted.repartitionByRange(n, "doc_id", F.xxhash64("text"))
                     .sortWithinPartitions("doc_id", F.xxhash64("text"))
                     .mapInArrow(_pack(folder, block_bytes), BLOCKS), "suffix-manifest")
     total = blocks.agg(F.sum("text_bytes")).first()[0] or 0
@@ -527,7 +540,7 @@ def remove_repeats(docs: DataFrame, emit, schema: str, block_bytes: int = BLOCK_
             .mapInArrow(lambda batches: _flush(finish(batches), schema), schema))
 
 
-def _report(doc_id, raw: np.ndarray, mask: np.ndarray) -> tuple:
+def _report(doc_id, raw: np.ndarray, mask: np.ndarray, note) -> tuple:
     edges = int(mask[0]) + int((mask[1:] & ~mask[:-1]).sum()) if len(mask) else 0
     return (doc_id, len(raw), int(mask.sum()), edges,
             hashlib.sha256(raw[~mask].tobytes()).hexdigest())
@@ -539,16 +552,17 @@ def repeat_report(docs: DataFrame) -> DataFrame:
                                          "n_spans long, kept_sha256 string")
 
 
-def _text(doc_id, raw: np.ndarray, mask: np.ndarray) -> tuple:
+def _text(doc_id, raw: np.ndarray, mask: np.ndarray, note) -> tuple:
     """The remaining text. A character of which a byte remains is kept whole."""
     if mask.any():
         inner = (raw & 0xC0) == 0x80
         lead = np.flatnonzero(~inner)
         whole = np.minimum.reduceat(mask, lead) if len(lead) else mask[:0]
         mask = np.repeat(whole, np.diff(np.r_[lead, len(raw)]))
-    return doc_id, int(mask.sum()), raw[~mask].tobytes().decode()
+    return doc_id, int(mask.sum()), note, raw[~mask].tobytes().decode()
 
 
-def remaining_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, bytes removed, and the text without repeated strings, cut at whole characters."""
-    return remove_repeats(docs, _text, "doc_id long, n_removed long, text string")
+def remaining_texts(docs: DataFrame, note: Column | None = None) -> DataFrame:
+    """doc_id, bytes removed, note, and the text without repeats, cut at whole characters."""
+    return remove_repeats(docs, _text, "doc_id long, n_removed long, note string, text string",
+                          note=note)
