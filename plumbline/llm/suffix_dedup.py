@@ -41,9 +41,10 @@ from plumbline.llm.common import (
 )
 
 SPAN, GRAM = 100, 50
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 SEGMENT = 64 << 10
-BUCKET_BYTES = 48 << 20     # of text for each range of the index
+BUCKET_BYTES = 24 << 20     # of text for each range of the index, at most
+LEAST_BUCKET_BYTES = 2 << 20
 _WIDE = SPAN - GRAM + 1
 _RNG = np.random.default_rng(100)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -281,11 +282,19 @@ def _load(folder: str, name: str):
 # Requests of blocks, and the answers of index ranges.
 
 def _sliced(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where sorted keys are cut into equal ranges of hashes."""
-    bounds = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
+    """Where sorted keys are cut into ranges by their first bits; buckets are a power of two."""
+    bounds = np.arange(1, buckets, dtype=np.uint64) << np.uint64(65 - buckets.bit_length())
     return np.r_[0, np.searchsorted(keys, bounds), len(keys)]
 
 
+def _short(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The 32 bits after those that name the bucket. Order stays within a bucket.
+
+    Two keys may share them; a key then passes for repeated and is judged in the next exchange.
+    """
+    return (keys << np.uint64(buckets.bit_length() - 1) >> np.uint64(32)).astype(np.uint32)
+
+
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     fields = [f.split() for f in schema.split(", ")]
@@ -295,13 +304,12 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 def _ask(address: tuple, side: str, kind: int, keys: np.ndarray, buckets: int,
-         values: list[np.ndarray] = ()) -> Iterator[tuple]:
+         sent: list[np.ndarray]) -> Iterator[tuple]:
     cuts = _sliced(keys, buckets)
     for b in range(buckets):
         lo, hi = cuts[b], cuts[b + 1]
         if hi > lo:
-            yield (b, kind, *address, side,
-                   b"".join(np.ascontiguousarray(x[lo:hi]).tobytes() for x in (keys, *values)))
+            yield (b, kind, *address, side, b"".join(x[lo:hi].tobytes() for x in sent))
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -339,14 +347,17 @@ def _seen_before(slices: list[np.ndarray]) -> Iterator[np.ndarray]:
 
 
 def _contested(slices: list[np.ndarray]) -> Iterator[np.ndarray]:
-    """For each slice of (hash, a run, several runs), which hashes have several runs anywhere."""
+    """For each slice of (hash, a run), which hashes have several runs anywhere.
+
+    The last bit of the run says that the block itself has several.
+    """
     keys = np.concatenate([s[0] for s in slices])
     order = np.argsort(keys, kind="stable")
     starts = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1]])
     run = np.concatenate([s[1] for s in slices])[order]
-    many = np.concatenate([s[2] for s in slices])[order]
-    several = (np.minimum.reduceat(run, starts) != np.maximum.reduceat(run, starts)) | (
-        np.maximum.reduceat(many, starts) > 0)
+    top = np.maximum.reduceat(run, starts)
+    several = (np.minimum.reduceat(run, starts) != top) | (
+        np.bitwise_or.reduceat(run, starts) & np.uint64(1) > 0)
     found = keys[order][starts][several]
     for s in slices:
         if len(found):
@@ -358,10 +369,12 @@ def _contested(slices: list[np.ndarray]) -> Iterator[np.ndarray]:
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One range of the index after another; its slices come in the order of their blocks."""
-    rules: list[tuple[int, Callable]] = [(1, _repeated), (1, _seen_before), (3, _contested)]
+    rules: list[tuple[int, type, Callable]] = [
+        (1, np.uint32, _repeated), (1, np.uint64, _seen_before), (2, np.uint64, _contested),
+        (1, np.uint64, _seen_before)]
     for (_, kind), rows in _grouped(batches, 2):
-        width, rule = rules[kind]
-        slices = [np.frombuffer(r[7], np.uint64) for r in rows]
+        width, dtype, rule = rules[kind]
+        slices = [np.frombuffer(r[7], dtype) for r in rows]
         if width > 1:
             slices = [s.reshape(width, -1) for s in slices]
         out, held = [], 0
@@ -374,11 +387,10 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(out, ANSWERS)
 
 
-def _exchange(requests: DataFrame, buckets: int) -> DataFrame:
+def _exchange(requests: DataFrame) -> DataFrame:
     """Send requests to index ranges and the answers back to their blocks."""
-    spark = requests.sparkSession
-    n = shuffle_partitions(spark)
-    answers = (requests.repartition(min(buckets, max(n, 8 * n)), "bucket")
+    n = shuffle_partitions(requests.sparkSession)
+    answers = (requests.repartition(n, "bucket")
                .sortWithinPartitions("bucket", "kind", "block").mapInArrow(_answer, ANSWERS))
     return (answers.repartition(n, "block").sortWithinPartitions("block", "kind", "bucket")
             .select("block", "kind", "file", "at", "size", "side", "bucket", "bits"))
@@ -412,7 +424,8 @@ def _first_requests(folder: str, buckets: int):
             for block, file, at, size, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 b = _Block(folder, file, at, size)
                 keys = np.unique(runs(b.text, b.ends, False)[0])
-                yield from _ask((block, file, at, size), "", 0, keys, buckets)
+                yield from _ask((block, file, at, size), "", 0, keys, buckets,
+                                [_short(keys, buckets)])
 
     return lambda batches: _flush(rows(batches), REQUESTS)
 
@@ -440,9 +453,9 @@ def _second_requests(folder: str, buckets: int):
                          of_whole=of_whole.astype(np.int32), of_key=of_key.astype(np.int32),
                          lead=lead, wholes=wholes, hashes=hashes)
             address = (block, file, at, size)
-            yield from _ask(address, side, 1, wholes, buckets)
-            yield from _ask(address, side, 2, hashes, buckets,
-                            [one, several.astype(np.uint64)])
+            yield from _ask(address, side, 1, wholes, buckets, [wholes])
+            yield from _ask(address, side, 2, hashes, buckets, [
+                hashes, one & ~np.uint64(1) | several.astype(np.uint64)])
 
     return lambda batches: _flush(rows(batches), REQUESTS)
 
@@ -474,9 +487,9 @@ def _third_requests(folder: str, buckets: int):
                          last=last[repeat].astype(np.int32), starts=starts.astype(np.int32),
                          where=where.astype(np.int32), lead=lead, hashes=hashes)
             address = (block, file, at, size)
-            # A block without open strings still has to be told to finish.
-            yield (-1, 1, *address, kept, b"")
-            yield from _ask(address, kept, 1, hashes, buckets)
+            # An empty request of its own kind brings the file back where no string is open.
+            yield (block % buckets, 3, *address, kept, b"")
+            yield from _ask(address, kept, 1, hashes, buckets, [hashes])
 
     return lambda batches: _flush(rows(batches), REQUESTS)
 
@@ -491,7 +504,7 @@ def _finish(folder: str, buckets: int, emit):
             gone = np.zeros(len(b.text) + 1, np.int32)
             if side := next((r[5] for r in answers if r[5]), ""):
                 s = _load(folder, side)
-                repeat = _bits([r for r in answers if r[6] >= 0], 1, s["hashes"], buckets)
+                repeat = _bits(answers, 1, s["hashes"], buckets)
                 again = s["starts"][repeat[s["where"]] | ~s["lead"]]
                 np.add.at(gone, s["first"], 1)
                 np.add.at(gone, s["last"] + SPAN, -1)
@@ -522,21 +535,18 @@ def remove_repeats(docs: DataFrame, emit, schema: str, block_bytes: int = BLOCK_
                     .sortWithinPartitions("doc_id", F.xxhash64("text"))
                     .mapInArrow(_pack(folder, block_bytes), BLOCKS), "suffix-manifest")
     total = blocks.agg(F.sum("text_bytes")).first()[0] or 0
-    buckets = max(n, -(-total // BUCKET_BYTES))
+    ranges = max(min(2 * n, total // LEAST_BUCKET_BYTES), -(-total // BUCKET_BYTES), 2)
+    buckets = 1 << (ranges - 1).bit_length()
     spread = blocks.repartition(n, "block")
-    first = _exchange(spread.mapInArrow(_first_requests(folder, buckets), REQUESTS), buckets)
-    second = _exchange(first.mapInArrow(_second_requests(folder, buckets), REQUESTS), buckets)
-    third = stored(second.mapInArrow(_third_requests(folder, buckets), REQUESTS), "suffix-third")
-    answers = _exchange(third.filter("bucket >= 0"), buckets)
-    told = third.filter("bucket < 0").select(
-        "block", "kind", "file", "at", "size", "side", "bucket", F.col("keys").alias("bits"))
+    first = _exchange(spread.mapInArrow(_first_requests(folder, buckets), REQUESTS))
+    second = _exchange(first.mapInArrow(_second_requests(folder, buckets), REQUESTS))
+    third = _exchange(second.mapInArrow(_third_requests(folder, buckets), REQUESTS))
     # Blocks in which nothing repeats have asked nothing more; the manifest names them.
-    all_blocks = blocks.select("block", F.lit(1).alias("kind"), "file", "at", "size",
-                               F.lit("").alias("side"), F.lit(-2).alias("bucket"),
+    all_blocks = blocks.select("block", F.lit(-1).alias("kind"), "file", "at", "size",
+                               F.lit("").alias("side"), F.lit(-1).alias("bucket"),
                                F.lit(b"").alias("bits"))
-    ready = answers.unionByName(told).unionByName(all_blocks)
     finish = _finish(folder, buckets, emit)
-    return (ready.repartition(n, "block").sortWithinPartitions("block", "kind", "bucket")
+    return (third.unionByName(all_blocks).repartition(n, "block").sortWithinPartitions("block", "kind", "bucket")
             .mapInArrow(lambda batches: _flush(finish(batches), schema), schema))
 
 
