@@ -4,8 +4,8 @@ One hash of each five-word shingle fills ``BINS`` bins with their smallest value
 borrow from full ones by optimal densification. Bands of the signature are buckets, and each
 bucket first proposes only the edges from its members to its smallest id. Links are confirmed on
 the full shingle sets and joined to components. Buckets that still hold several components then
-compare members of different components, in blocks of bounded size, so links that a star missed
-are found while pairs inside a component, which change nothing, are never made.
+compare members of different components inside tasks, in blocks of bounded size, so links that a
+star missed are found while pairs inside a component, which change nothing, are never made.
 
 Copies with the same set stand for one class from the start and are never expanded into pairs.
 
@@ -30,10 +30,10 @@ from plumbline.llm.common import (
 
 WORDS, SIMILAR_PERCENT = 5, 75
 BINS, BAND_ROWS = 128, 4
-# Of 128 bins, two sets with similarity 0.75 agree in fewer than this many with odds of 1e-7.
-LEAST_EQUAL = 68
-BLOCK_ROWS = 512
-FIRST_PARTNERS = 4
+# Of 128 bins, two sets with similarity 0.75 agree in fewer than this many with odds of 1e-6.
+LEAST_EQUAL = 72
+BLOCK_ROWS = 1024
+BLOCK_BYTES = 8 << 20
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _RNG = np.random.default_rng(20)
@@ -45,7 +45,7 @@ _PROBES = _RNG.integers(0, BINS, (BINS, 4096))
 _BAND_KEYS = _RNG.integers(1, 1 << 63, (BINS // BAND_ROWS, BAND_ROWS), dtype=np.uint64) | np.uint64(1)
 _powers: dict[str, np.ndarray] = {}
 
-MARKS = "doc_id long, n_shingles long, set_key binary, bands array<long>, signature binary"
+MARKS = "doc_id long, n_shingles long, size long, set_key binary, bands array<long>"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -105,25 +105,35 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return _mixed(values)
 
 
+def band_keys(signatures: np.ndarray) -> np.ndarray:
+    """The bucket of each band of each signature."""
+    bands = signatures.reshape(len(signatures), -1, BAND_ROWS)
+    return _mixed((bands * _BAND_KEYS).sum(2)).view(np.int64)
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets reach the similarity."""
+    if 100 * min(len(x), len(y)) < SIMILAR_PERCENT * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True)) if len(x) and len(y) else 0
+    return both > 0 and 100 * both >= SIMILAR_PERCENT * (len(x) + len(y) - both)
+
+
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import hashlib
 
     for batch in small_batches(batches, "text"):
-        counts, keys, bands, signatures = [], [], [], []
+        counts, sizes, keys, bands = [], [], [], []
         for raw in utf8_values(batch.column(1)):
             hashes = shingle_hashes(raw)
             counts.append(len(hashes))
+            sizes.append(len(raw))
             keys.append(hashlib.blake2b(hashes, digest_size=16).digest() if len(hashes) else None)
-            if len(hashes):
-                sig = signature(hashes)
-                bands.append(_mixed((sig.reshape(-1, BAND_ROWS) * _BAND_KEYS).sum(1)).view(np.int64))
-                signatures.append(sig.astype(np.uint16).tobytes())
-            else:
-                bands.append(np.zeros(0, np.int64))
-                signatures.append(b"")
+            bands.append(band_keys(signature(hashes)[None])[0] if len(hashes)
+                         else np.zeros(0, np.int64))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()),
-             list_array(bands, np.int64), pa.array(signatures, pa.binary())],
+            [batch.column(0), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64()),
+             pa.array(keys, pa.binary()), list_array(bands, np.int64)],
             [f.split()[0] for f in MARKS.split(", ")])
 
 
@@ -141,9 +151,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches, "text_b"):
         keep = []
         for one, other in zip(utf8_values(batch.column(2)), utf8_values(batch.column(3)), strict=True):
-            x, y = hashes(one), hashes(other)
-            both = len(np.intersect1d(x, y, assume_unique=True)) if len(x) and len(y) else 0
-            keep.append(both > 0 and 100 * both >= SIMILAR_PERCENT * (len(x) + len(y) - both))
+            keep.append(similar(hashes(one), hashes(other)))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(
             pa.array(keep, pa.bool_()))
 
@@ -179,88 +187,80 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _compare(first_only: bool):
-    """Pairs of members of different components whose signatures agree in enough bins."""
-
-    def block(rows: list[tuple]) -> list[tuple]:
-        ids = np.array([r[4] for r in rows])
-        comp = np.array([r[5] for r in rows])
-        centre = np.array([r[6] for r in rows])
-        part = np.array([r[3] for r in rows])
-        sigs = np.stack([np.frombuffer(r[7], np.uint16) for r in rows])
-        across = rows[0][1] != rows[0][2]
-        out = []
-        for i in range(len(rows) - 1):
-            j = np.arange(i + 1, len(rows))
-            ok = (comp[j] != comp[i]) & (ids[j] != centre[i]) & (ids[i] != centre[j])
-            if across:
-                ok &= part[j] != part[i]
-            j = j[ok]
-            if not len(j):
-                continue
-            equal = (sigs[j] == sigs[i]).sum(1)
-            near = equal >= LEAST_EQUAL
-            j, equal = j[near], equal[near]
-            if first_only and len(j) > FIRST_PARTNERS:
-                j = j[np.argsort(-equal, kind="stable")[:FIRST_PARTNERS]]
-            out += [(min(ids[i], ids[k]), max(ids[i], ids[k])) for k in j]
-        return out
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found():
-            key, rows = None, []
-            for batch in batches:
-                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if row[:3] != key:
-                        yield from block(rows) if rows else ()
-                        key, rows = row[:3], []
-                    rows.append(row)
-            yield from block(rows) if rows else ()
-
-        out: list[tuple] = []
-        for pair in found():
-            out.append(pair)
-            if len(out) >= 100_000:
-                yield _pairs(out)
-                out = []
-        if out:
-            yield _pairs(out)
-
-    return run
-
-
-def _pairs(rows: list[tuple]) -> pa.RecordBatch:
-    a, b = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-
-def cross_pairs(members: DataFrame, marks: DataFrame, labels: DataFrame,
-                first_only: bool) -> DataFrame:
-    """Pairs (a, b) in buckets that still hold several components.
-
-    A bucket of n members is cut into blocks of about ``BLOCK_ROWS``; each pair of blocks is
-    compared by one task, in memory that does not depend on n.
+def _link_block(rows: list[tuple]) -> list[tuple]:
+    """Links between members of different components in one pair of blocks of a bucket.
+
+    A pair is compared in the first bucket that it shares, if its signatures agree in enough
+    bins, on the full sets. A link joins its components at once, so the pairs it makes needless
+    are skipped.
+    """
+    bucket, i_part, j_part = rows[0][:3]
+    part, ids, comp, centre = (np.array([r[k] for r in rows]) for k in (3, 4, 5, 6))
+    sets = [shingle_hashes((r[7] or "").encode()) for r in rows]
+    full = np.stack([signature(x) for x in sets])
+    keys, low = band_keys(full), full.astype(np.uint16)
+    out = []
+    for i in range(len(rows) - 1):
+        j = np.arange(i + 1, len(rows))
+        ok = (comp[j] != comp[i]) & (ids[j] != centre[i]) & (ids[i] != centre[j])
+        if i_part != j_part:
+            ok &= part[j] != part[i]
+        j = j[ok]
+        if not len(j):
+            continue
+        same = keys[j] == keys[i]
+        j = j[keys[i][same.argmax(1)] == bucket]
+        equal = (low[j] == low[i]).sum(1)
+        j = j[np.argsort(-equal, kind="stable")[:(equal >= LEAST_EQUAL).sum()]]
+        for k in j:
+            if comp[k] != comp[i] and similar(sets[i], sets[k]):
+                comp[comp == comp[k]] = comp[i]
+                out.append((min(ids[i], ids[k]), max(ids[i], ids[k])))
+    return out
+
+
+def _link_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found():
+        key, rows = None, []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:3] != key:
+                    yield from _link_block(rows) if rows else ()
+                    key, rows = row[:3], []
+                rows.append(row)
+        yield from _link_block(rows) if rows else ()
+
+    out = list(found())
+    if out:
+        a, b = zip(*out, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())],
+                                         ["a", "b"])
+
+
+def missed_links(members: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links (a, b) that stars have missed, from buckets that still hold several components.
+
+    A bucket is cut into blocks of bounded rows and bytes, and each pair of blocks is compared by
+    one task; nothing but links leaves it.
     """
     spark = members.sparkSession
-    with_label = members.filter("n > 2").join(
+    labelled = stored(members.filter("n > 2").join(
         labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn(
-        "component", F.coalesce("component", "doc_id"))
-    with_label = stored(with_label, "near-open")
-    keys = stored(with_label.groupBy("bucket").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-        .select("bucket"), "near-open-keys")
-    open_ = with_label.join(keys, "bucket").join(
-        marks.filter(F.col("set_key").isNotNull()).select("doc_id", "signature"), "doc_id")
-    parts = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
+        "component", F.coalesce("component", "doc_id")), "near-open")
+    keys = stored(labelled.groupBy("bucket").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"),
+        F.sum("size").alias("bytes")).filter("lo <> hi").select("bucket", "bytes"), "near-open-keys")
+    open_ = labelled.join(keys, "bucket").join(texts, "doc_id")
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), parts).cast("int")
     spread = open_.withColumn("part", own).withColumn(
         "other", F.explode(F.sequence(F.lit(0), parts - 1)))
     blocks = spread.select(
         "bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"),
-        "part", "doc_id", "component", "centre", "signature")
+        "part", "doc_id", "component", "centre", "text")
     return (blocks.repartition(shuffle_partitions(spark), "bucket", "i", "j")
             .sortWithinPartitions("bucket", "i", "j", "doc_id")
-            .mapInArrow(_compare(first_only), "a long, b long").distinct())
+            .mapInArrow(_link_blocks, "a long, b long").distinct())
 
 
 def _any(df: DataFrame) -> bool:
@@ -275,8 +275,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     marks = stored(rows.mapInArrow(_mark, MARKS), "near-marks")
     sets = marks.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
     classes = stored(sets.groupBy("set_key").agg(F.min("doc_id").alias("doc_id")), "near-classes")
-    lead = sets.select("doc_id", "set_key", "bands").join(classes, ["set_key", "doc_id"])
-    banded = stored(lead.select("doc_id", F.explode("bands").alias("bucket")).distinct(), "near-bands")
+    lead = sets.select("doc_id", "set_key", "size", "bands").join(classes, ["set_key", "doc_id"])
+    banded = stored(lead.select("doc_id", F.explode("bands").alias("bucket"), "size")
+                    .groupBy("doc_id", "bucket").agg(F.max("size").alias("size")), "near-bands")
     buckets = stored(banded.groupBy("bucket").agg(
         F.min("doc_id").alias("centre"), F.max("doc_id").alias("far"), F.count("*").alias("n"))
         .filter("centre <> far").drop("far"), "near-buckets")
@@ -286,20 +287,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # An id whose rows have several sets links those sets.
     shared = sets.join(classes.withColumnRenamed("doc_id", "lead"), "set_key").filter(
         "doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b"))
-    tested = stored(members.filter("doc_id <> centre").select(
+    stars = stored(members.filter("doc_id <> centre").select(
         F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct(), "near-pairs")
-    links = confirm(tested, texts, "near-links")
+    links = confirm(stars, texts, "near-links")
     labels = components(links)
-    for first_only in (True, False):
-        more = stored(cross_pairs(members, sets, labels, first_only).join(
-            tested, ["a", "b"], "left_anti"), "near-pairs")
-        if not _any(more):
-            break
-        tested = tested.union(more)
-        found = confirm(more, texts, "near-links")
-        if _any(found):
-            links = links.union(found)
-            labels = components(links)
+    found = stored(missed_links(members, texts, labels), "near-links")
+    if _any(found):
+        links = links.union(found)
+        labels = components(links)
     # Members of a class hang on its smallest id; a repeated id may lie in several classes.
     joined = labels if not _any(_repeated_ids(sets)) else components(
         links.union(shared.distinct()))
