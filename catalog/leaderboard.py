@@ -136,7 +136,7 @@ def broad_fine_comparison(spark, sf):
 
 
 @query("ordered_families", oracle([], f"""
-SELECT p_type, p_brand, CASE p_type WHEN 'SMALL' THEN 1 WHEN 'LARGE' THEN 2 ELSE 0 END AS family_rank,
+SELECT p_type, p_brand, CASE p_type WHEN 'SMALL' THEN 1 WHEN 'LARGE' THEN 2 ELSE 3 END AS family_rank,
        CAST(count(*) AS BIGINT) AS n FROM part GROUP BY p_type, p_brand"""))
 def ordered_families(spark, sf):
     parts = table(spark, sf, "part").groupBy("p_type", "p_brand").agg(F.count(F.lit(1)).alias("n"))

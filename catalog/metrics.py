@@ -432,9 +432,9 @@ def confusion_rates_of_labels(spark, sf):
 
 @query("top_confusions", oracle(_CODE_TABLES, """
 SELECT gold, pred, CAST(n AS BIGINT) AS n, round_even(rate, 6) AS rate FROM rates
-WHERE gold <> pred AND round_even(rate, 6) > 0.05""", _CODE_COUNTS))
+WHERE gold <> pred AND rate > 0.05""", _CODE_COUNTS))
 def top_confusions(spark, sf):
-    return K.top_confusions(K.normalised_confusion(K.confusion(_code_aligned(spark, sf))))
+    return K.top_confusions(K.normalised_confusion(K.confusion(_code_aligned(spark, sf)), with_total=True))
 
 
 @query("prediction_gold_merge", oracle(["spell_rows", "code_predictions"], """

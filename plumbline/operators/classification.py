@@ -140,31 +140,39 @@ def semantic_similarity(counts: DataFrame, label_vectors: DataFrame, label: str
                         vector: str = "vector") -> DataFrame:
     """Mean cosine of predicted and gold label vectors.
 
-    Works on distinct label pairs weighted by their counts.
+    Works on distinct label pairs weighted by their counts. A label with several
+    vectors counts with the smallest. The mean is null if a pair lacks a vector.
     """
     pairs = scored_pairs(counts).groupBy("gold", "pred").agg(F.sum("n").alias("n"))
-    vectors = label_vectors.select(F.col(label).alias("_l"), V.unit(F.col(vector)).alias("_v"))
-    pairs = pairs.join(vectors.toDF("gold", "_gv"), "gold").join(vectors.toDF("pred", "_pv"), "pred")
-    return pairs.agg(
-        T.metric(F.sum(V.dot(F.col("_gv"), F.col("_pv")) * F.col("n")) / F.sum("n"))
-        .alias("semantic_similarity"))
+    vectors = label_vectors.groupBy(F.col(label).alias("_l")).agg(
+        V.unit(F.min(vector)).alias("_v"))
+    pairs = pairs.join(vectors.toDF("gold", "_gv"), "gold", "left").join(
+        vectors.toDF("pred", "_pv"), "pred", "left")
+    lacking = F.count_if(F.col("_gv").isNull() | F.col("_pv").isNull())
+    mean = F.sum(V.dot(F.col("_gv"), F.col("_pv")) * F.col("n")) / F.sum("n")
+    return pairs.agg(F.when(lacking == 0, T.metric(mean)).alias("semantic_similarity"))
 
 
-def normalised_confusion(counts: DataFrame, labels: list[str] | None = None) -> DataFrame:
+def normalised_confusion(counts: DataFrame, labels: list[str] | None = None,
+                         with_total: bool = False) -> DataFrame:
     """(gold, pred, n, rate): rate is the share of the gold label's rows.
 
-    With ``labels`` only pairs of those labels are counted.
+    With ``labels`` only pairs of those labels are counted. ``with_total`` adds the
+    rows of the gold label as ``total``.
     """
     pairs = scored_pairs(counts).groupBy("gold", "pred").agg(F.sum("n").alias("n"))
     if labels is not None:
         pairs = pairs.filter(F.col("gold").isin(labels) & F.col("pred").isin(labels))
     totals = pairs.groupBy("gold").agg(F.sum("n").alias("_total"))
     return pairs.join(totals, "gold").select(
-        "gold", "pred", "n", T.metric(F.col("n") / F.col("_total")).alias("rate"))
+        "gold", "pred", "n", T.metric(F.col("n") / F.col("_total")).alias("rate"),
+        *([F.col("_total").alias("total")] if with_total else []))
 
 
 def top_confusions(rates: DataFrame, above: float = R.CONFUSION_REPORT_RATE) -> DataFrame:
-    return rates.filter((F.col("gold") != F.col("pred")) & (F.col("rate") > above))
+    """Pairs of different labels whose rate, unrounded where ``total`` is known, is higher."""
+    rate = F.col("n") / F.col("total") if "total" in rates.columns else F.col("rate")
+    return rates.filter((F.col("gold") != F.col("pred")) & (rate > above)).drop("total")
 
 
 def vocabulary(df: DataFrame, column: str) -> DataFrame:

@@ -38,7 +38,7 @@ def best_runs(rows: DataFrame, score: str, keys: tuple[str, ...] = ("run",),
     usable = F.col(score) > 0 if positive else F.col(score).isNotNull()
     row = F.struct(*[F.col(c) for c in rows.columns])
     rank = F.struct((-F.col(score)).alias("s"), F.col(order).alias("o"),
-                    F.xxhash64(*keys, order).alias("h"))
+                    F.xxhash64(*rows.columns).alias("h"))
     picked = rows.filter(usable).groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(
         F.min_by(row, rank).alias("_row"))
     return picked.select("_row.*")
@@ -53,8 +53,9 @@ def board(catalogue: DataFrame, best: DataFrame, scores: list[str],
 
 
 def family_rank(families: list[str]) -> Column:
-    """1-based place of the family in the given order."""
-    return F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family"))
+    """1-based place of the family in the given order; families that are not listed come last."""
+    place = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family"))
+    return F.when(place > 0, place).otherwise(len(families) + 1)
 
 
 def ordered(table: DataFrame, families: list[str]) -> DataFrame:

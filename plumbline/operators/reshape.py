@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F, types as t
 
 from plumbline import registry as R
 from plumbline.functions import text as T
 
 
+def slot_numbers(df: DataFrame, prefix: str) -> list[int]:
+    """The numbers n of the columns ``<prefix>_<n>``, ascending."""
+    found = (re.fullmatch(rf"{prefix}_(\d+)", c) for c in df.columns)
+    return sorted(int(m[1]) for m in found if m)
+
+
 def _slot(df: DataFrame, name: str, otherwise: Column) -> Column:
     return F.col(name) if name in df.columns else otherwise
 
 
 def spell_slots(df: DataFrame, blank: tuple[str, ...] = ("", "nan"),
-                years=None, max_spells: int = R.MAX_SPELLS) -> Column:
+                years=None) -> Column:
     """Filled career slots as array<struct<spell_index,start_year,end_year,position>>.
 
-    Int year columns are kept; ``years`` turns text into an int, by default with
+    Every slot that has a column counts. Int year columns are kept; ``years`` turns text into an int, by default with
     the loader rule.
     """
     years = years or T.to_year
@@ -34,8 +42,7 @@ def spell_slots(df: DataFrame, blank: tuple[str, ...] = ("", "nan"),
             year(f"career_end_year_{n}").alias("end_year"),
             F.col(f"career_position_{n}").cast("string").alias("position"),
         )
-        for n in range(1, max_spells + 1)
-        if f"career_position_{n}" in df.columns
+        for n in slot_numbers(df, "career_position")
     ]
     if not slots:
         return F.array().cast(
@@ -101,7 +108,7 @@ def education_anchor(df: DataFrame) -> Column:
             filled(f"uni_subject_{n}").alias("code"),
             filled(f"uni_name_{n}").alias("uni_name"),
         )
-        for n in range(1, R.MAX_SUBJECTS + 1)
+        for n in slot_numbers(df, "uni_subject") or [1]
     ]
     subjects = F.filter(F.array(*slots), lambda s: s["code"].isNotNull())
     return F.when(
@@ -128,24 +135,17 @@ def gold_spell_lists(df: DataFrame) -> DataFrame:
     )
 
 
-def collect_spells(df: DataFrame, key: str = R.CASE_ID, max_spells: int = R.MAX_SPELLS) -> DataFrame:
-    """Long spells to one ordered list per key.
+def collect_spells(df: DataFrame, key: str = R.CASE_ID) -> DataFrame:
+    """Long spells to one list per key, ordered by index, that keeps every row.
 
-    The index of a spell runs from 1 to ``max_spells`` and is unique per key (see
-    ``drop_duplicated_cases``), so a list cannot grow beyond ``max_spells``: rows
-    are first reduced to one per (key, index), then collected.
+    Rows without an index come first. A list holds the spells of one case.
     """
     spell = F.struct(
         F.col(R.SPELL_INDEX).alias("spell_index"),
         F.col("start_year"), F.col("end_year"), F.col("position"),
     )
-    unique = (
-        df.filter(F.col(R.SPELL_INDEX).between(1, max_spells))
-        .groupBy(F.col(key).alias("_key"), F.col(R.SPELL_INDEX).alias("_i"))
-        .agg(F.min(spell).alias("_s"))
-    )
-    return unique.groupBy(F.col("_key").alias(key)).agg(
-        F.array_sort(F.collect_list("_s")).alias("spells"))
+    return df.groupBy(F.col(key).alias(key)).agg(
+        F.array_sort(F.collect_list(spell)).alias("spells"))
 
 
 def predicted_spells(df: DataFrame, column: str) -> Column:

@@ -88,13 +88,13 @@ def _scored(df: DataFrame, key: str) -> DataFrame:
 
 
 def score_rows(predictions: DataFrame, gold: DataFrame, order: str, key: str = R.CASE_ID,
-               tolerance: int = R.TOLERANCE_YEARS, max_spells: int = R.MAX_SPELLS) -> DataFrame:
+               tolerance: int = R.TOLERANCE_YEARS) -> DataFrame:
     """The same for one predicted spell per row (key, start_year, end_year, order).
 
-    ``gold`` holds lists of at most ``max_spells`` spells. A key may have any
-    number of predicted rows. Two predictions with the same years fit the same
-    gold spells, and once one of them finds nothing free no later one does, so
-    only the first ``max_spells`` rows per (key, years) can match; and a row
+    A key may have any number of predicted rows. Two predictions with the same
+    years fit the same gold spells, and once one of them finds nothing free no
+    later one does, so of each (key, years) only as many rows as the key has gold
+    spells can match; and a row
     that fits no gold spell at all never matches. Those two rules bound the list
     folded per key without changing the result. All rows count as predicted.
     """
@@ -103,11 +103,12 @@ def score_rows(predictions: DataFrame, gold: DataFrame, order: str, key: str = R
         F.col("end_year").cast("int"), F.col(order).alias("_o"))
     totals = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n_predicted"))
     early = Window.partitionBy(key, "start_year", "end_year").orderBy("_o")
+    lists = gold.select(F.col(key).cast("string").alias(key), F.col("gold").alias("_g"))
+    sizes = lists.select(key, F.size("_g").alias("_n"))
     kept = (
-        rows.withColumn("_r", F.row_number().over(early))
-        .filter(F.col("_r") <= max_spells).drop("_r")
+        rows.join(sizes, key).withColumn("_r", F.row_number().over(early))
+        .filter(F.col("_r") <= F.col("_n")).drop("_r", "_n")
     )
-    lists = gold.select(F.col(key).cast("string").alias(key), F.col("gold").alias("_g"))
     useful = kept.join(lists, key).filter(F.exists(
         "_g", lambda g: compatible(F.col("start_year"), F.col("end_year"),
                                    g["start_year"], g["end_year"], tolerance)))

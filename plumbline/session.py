@@ -34,8 +34,9 @@ def build_session(app: str = "plumbline", master: str | None = None,
 def durable_dir(spark: SparkSession) -> str:
     """The shared folder for cut points.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as
-    in a bare local session, a temporary folder is chosen.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset in a
+    local session a temporary folder is chosen; executors of a cluster could not
+    see it.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -43,6 +44,8 @@ def durable_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     chosen = tempfile.mkdtemp(prefix="plumbline-cut-")
     spark.sparkContext.setCheckpointDir(chosen)
     return chosen

@@ -237,7 +237,7 @@ def test_row_form_of_matching_equals_plain_greedy(spark):
     p = spark.createDataFrame(rows, "case_id string, start_year int, end_year int, pos int")
     g = spark.createDataFrame([(c, q) for c, _, q in cases], f"case_id string, gold {SPELL}")
     got = {r.case_id: (r.n_matched, r.n_predicted)
-           for r in spells.score_rows(p, g, "pos", max_spells=4).collect()}
+           for r in spells.score_rows(p, g, "pos").collect()}
     assert got == {c: (greedy(q, w, 1), len(q)) for c, q, w in cases if q}
 
 
@@ -308,3 +308,20 @@ def test_label_order_puts_text_last(spark):
     df = spark.createDataFrame([("10", "2"), ("x", "2")], "gold string, pred string")
     got = {r.label: r.sort_key for r in K.label_union(df).collect()}
     assert got == {"10": 10, "2": 2, "x": 999}
+
+
+def test_more_spells_than_twenty_all_count(spark):
+    """Neither gold lists, predicted rows nor slots have a limit."""
+    from plumbline.operators import reshape
+
+    rows = [("c", k, 1900 + 3 * k, 1901 + 3 * k, "x") for k in range(1, 31)]
+    long = spark.createDataFrame(
+        rows, "case_id string, spell_index int, start_year int, end_year int, position string")
+    lists = reshape.collect_spells(long)
+    assert len(lists.first()["spells"]) == 30
+    gold = lists.withColumnRenamed("spells", "gold")
+    score = spells.score_rows(long, gold, "spell_index").first()
+    assert (score["n_matched"], score["precision"], score["recall"]) == (30, 1.0, 1.0)
+    wide = spark.createDataFrame([tuple(["c"] + [f"p{k}" for k in range(25)])],
+                                 ["case_id", *[f"career_position_{k}" for k in range(1, 26)]])
+    assert reshape.career_spells(wide).count() == 25
