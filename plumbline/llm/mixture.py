@@ -15,6 +15,7 @@ empty table gives no row. All columns of the input are kept, and columns that be
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -97,9 +98,11 @@ def _place(seed: str) -> Column:
                              F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
 
 
-def prefix_ends(rows: DataFrame, seed: str) -> DataFrame:
+def prefix_ends(rows: DataFrame, seed: str, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The last place of each leaf that its budget still covers.
 
+    ``near`` broadcasts a table of one row per leaf where leaves are few enough.
+
     Slices of places are summed with map-side combine; running sums over slices name the slice
     in which the budget ends, and only its rows are ordered one by one.
     """
@@ -115,7 +118,7 @@ def prefix_ends(rows: DataFrame, seed: str) -> DataFrame:
                 .alias("_mix_end"))
             .select(*LEAF, "_mix_end.*"))
     step = Window.partitionBy(*LEAF).orderBy("_mix_place")
-    last = (placed.join(F.broadcast(ends), [*LEAF, "_mix_slice"])
+    last = (placed.join(near(ends), [*LEAF, "_mix_slice"])
             .groupBy(*LEAF, "_mix_place").agg(
                 F.sum("_mix_tokens").alias("_mix_size"), F.first("_mix_rest").alias("_mix_rest"),
                 F.first("_mix_before").alias("_mix_before"))
@@ -139,7 +142,7 @@ def mix_sources(docs: DataFrame, domain: Column, targets: Targets = Targets()) -
     small = budgets.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES
     near = F.broadcast if small else (lambda df: df)
     ends = prefix_ends(narrow.join(near(budgets.select(*LEAF, "_mix_epochs", "_mix_rest")), LEAF),
-                       targets.seed)
+                       targets.seed, near)
     plan = stored(budgets.select(*LEAF, "_mix_epochs").join(ends, LEAF, "left"), "mix-plan")
     part = F.col("_mix_last").isNull() | (_place(targets.seed) <= F.col("_mix_last"))
     copies = F.col("_mix_epochs") + part.cast("int")
