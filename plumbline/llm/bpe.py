@@ -5,10 +5,11 @@ them. Spark higher-order functions fold the ranked merges over the bytes of each
 looking ranks up in a literal rank map; ids of a text are then put together by index. Decoding
 concatenates the bytes of the ids. Nothing is shuffled.
 
-The rank map is one literal: maps in an array, found by a checksum of the key, because a map
-alone is searched from its start. Keys are bytes in hexadecimal. A fold copies its state at each
-step, so pieces over ``FOLD_BYTES`` bytes, where that would grow with the square of their length,
-are merged by a heap with the same result.
+The rank maps are literals. Whole pieces are found by their bytes in hexadecimal: maps in an
+array, chosen by a checksum, because a map alone is searched from its start. Pairs are found by
+the ids of both sides in a perfect hash table. A fold copies its state at each step, so pieces
+over ``FOLD_BYTES`` bytes, where that would grow with the square of their length, are merged by
+a heap with the same result.
 
 Edge cases: null and empty texts have no id; ids of rows may be null or repeat; one text may be
 larger than a block and then fills one alone; an empty table gives no row; columns other than
@@ -36,8 +37,11 @@ from plumbline.llm.common import id_text, prepare, small_batches
 FOLD_BYTES = 200
 BLOCK_BYTES = 24 << 20
 _BUCKETS = 16384
-BLOCKS = ("doc_ids array<long>, sizes array<int>, codes array<int>, words array<string>, "
-          "long_at array<int>, long_words array<binary>")
+_SPREAD = (8191, 40503, 92821)
+_ID_BITS = 20
+_NONE = 1 << _ID_BITS
+BLOCKS = ("doc_ids array<long>, sizes array<int>, codes array<int>, "
+          "words array<string>, octets array<array<int>>, long_at array<int>, long_words array<binary>")
 _pieces: dict[str, object] = {}
 
 
@@ -48,6 +52,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def rank_literal(ranks: dict[bytes, int]) -> Column:
+    """Ranks by the hexadecimal bytes of a token."""
     buckets: list[dict[str, int]] = [{} for _ in range(_BUCKETS)]
     for token, rank in ranks.items():
         key = token.hex().upper()
@@ -55,6 +60,45 @@ def rank_literal(ranks: dict[bytes, int]) -> Column:
     return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
 
 
+def start_literal(ranks: dict[bytes, int]) -> Column:
+    """What a fold starts with, by byte and next byte; 256 stands for no next byte."""
+    single = [ranks[bytes([b])] for b in range(256)]
+    start = [ranks.get(bytes([a, b]), _NONE) << _ID_BITS | single[a] if b < 256 else
+             _NONE << _ID_BITS | single[a] for a in range(256) for b in range(257)]
+    return F.from_json(F.lit(json.dumps(start)), "array<long>")
+
+
+def pair_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks by the ids of two neighbours as a perfect hash table: shifts and slots.
+
+    A key belongs to a group; the shift of its group moves it to a slot of its own, which
+    holds the key and its rank in one number. Large groups choose their shift first.
+    """
+    pairs = {}
+    for token, rank in ranks.items():
+        for i in range(1, len(token)):
+            left, right = ranks.get(token[:i]), ranks.get(token[i:])
+            if left is not None and right is not None:
+                pairs[left, right] = rank
+    size = 1 << max(4, int(len(pairs) * 1.4).bit_length())
+    shifts, slots = np.zeros(max(size >> 3, 1), np.int64), np.full(size, -1, np.int64)
+    groups: dict[int, list[tuple[int, int]]] = {}
+    for left, right in pairs:
+        groups.setdefault((left * _SPREAD[0] + right) % len(shifts), []).append((left, right))
+    taken = bytearray(size)
+    for group, keys in sorted(groups.items(), key=lambda g: -len(g[1])):
+        homes = [(left * _SPREAD[1] + right * _SPREAD[2]) % size for left, right in keys]
+        if len(set(homes)) < len(homes):
+            raise ValueError("two pairs of one group share a slot; change the multipliers")
+        shift = next(d for d in range(size) if not any(taken[(h + d) % size] for h in homes))
+        shifts[group] = shift
+        for (left, right), home in zip(keys, homes, strict=True):
+            at = (home + shift) % size
+            taken[at] = 1
+            slots[at] = (left << _ID_BITS | right) << _ID_BITS | pairs[left, right]
+    return shifts, slots
+
+
 def _rank(ranks: Column, key: Column) -> Column:
     at = (F.pmod(F.crc32(key.cast("binary")), F.lit(_BUCKETS)) + 1).cast("int")
     return F.element_at(F.element_at(ranks, at), key)
@@ -65,44 +109,49 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def merge_fold(word: Column, ranks: Column) -> Column:
-    """The ids of a piece in hexadecimal: its own rank, or the fold of its ranked merges."""
-    size = (F.length(word) / 2).cast("int")
-    letters = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(word, i * 2 - 1, F.lit(2)))
-
-    def start(parts: Column) -> Column:
-        found = F.transform(F.sequence(F.lit(1), size - 1), lambda i: _rank(
-            ranks, F.concat(F.element_at(parts, i), F.element_at(parts, i + 1))))
-        return _let(found, lambda r: F.struct(
-            parts.alias("p"), r.alias("r"), F.array_min(r).alias("b")))
-
-    def merged(p: Column, r: Column, at: Column) -> Column:
-        n = F.size(p)
-        joined = F.concat(F.element_at(p, at), F.element_at(p, at + 1))
-
-        def put(new: Column) -> Column:
-            none = F.slice(r, 1, 0)
-            left = F.when(at > 1, F.array(_rank(ranks, F.concat(
-                F.get(p, at - 2), new)))).otherwise(none)
-            right = F.when(at + 1 < n, F.array(_rank(ranks, F.concat(
-                new, F.get(p, at + 1))))).otherwise(none)
-            newer = F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right,
-                             F.slice(r, at + 2, n))
-            return _let(newer, lambda x: F.struct(
-                F.concat(F.slice(p, F.lit(1), at - 1), F.array(new),
-                         F.slice(p, at + 2, n)).alias("p"),
-                x.alias("r"), F.array_min(x).alias("b")))
-
-        return _let(joined, put)
+def merge_fold(word: Column, octets: Column, ranks: dict[bytes, int]) -> Column:
+    """The ids of each piece: its own rank, or the fold of its ranked merges over its bytes.
+
+    ``word`` has the pieces in hexadecimal, ``octets`` their bytes. The state of a fold is one
+    number for each part: the rank of the pair that it starts, then its id. The rank of a pair
+    is the id of what the pair becomes.
+    """
+    names, start = rank_literal(ranks), start_literal(ranks)
+    tables = pair_table(ranks)
+    n_shifts, n_slots = map(len, tables)
+    shifts, slots = (F.from_json(F.lit(json.dumps(t.tolist())), "array<long>") for t in tables)
+    mask, none = F.lit((1 << _ID_BITS) - 1), F.lit(_NONE << _ID_BITS)
+
+    def part(left: Column, right: Column) -> Column:
+        group = (left * _SPREAD[0] + right).bitwiseAND(n_shifts - 1).cast("int")
+        at = (left * _SPREAD[1] + right * _SPREAD[2] + F.get(shifts, group)).bitwiseAND(n_slots - 1)
+        key = F.shiftleft(left, _ID_BITS).bitwiseOR(right)
+        return _let(F.get(slots, at.cast("int")), lambda slot: F.when(
+            F.shiftright(slot, _ID_BITS) == key, F.shiftleft(slot.bitwiseAND(mask), _ID_BITS))
+            .otherwise(none)).bitwiseOR(left)
+
+    def merged(s: Column, best: Column, at: Column) -> Column:
+        new = F.shiftright(best, _ID_BITS)
+        before = F.when(at > 1, F.array(part(F.get(s, at - 2).bitwiseAND(mask), new))).otherwise(
+            F.slice(s, 1, 0))
+        here = F.when(at + 1 < F.size(s), part(new, F.get(s, at + 1).bitwiseAND(mask))).otherwise(
+            none.bitwiseOR(new))
+        return F.concat(F.slice(s, F.lit(1), F.greatest(at - 2, F.lit(0))), before, F.array(here),
+                        F.slice(s, at + 2, F.size(s)))
 
     def step(s: Column, _: Column) -> Column:
-        return F.when(s["b"].isNull(), s).otherwise(_let(
-            F.array_position(s["r"], s["b"]).cast("int"), lambda at: merged(s["p"], s["r"], at)))
+        return _let(F.array_min(s), lambda best: F.when(best >= none, s).otherwise(_let(
+            F.array_position(s, best).cast("int"), lambda at: merged(s, best, at))))
+
+    def one(w: Column, octet: Column) -> Column:
+        rest = F.slice(octet, F.lit(2), F.size(octet))
+        first = F.zip_with(octet, rest, lambda a, b: F.element_at(
+            start, a * 257 + F.coalesce(b, F.lit(256)) + 1))
+        folded = F.aggregate(rest, first, step, lambda s: F.transform(
+            s, lambda x: x.bitwiseAND(mask).cast("int")))
+        return _let(_rank(names, w), lambda own: F.when(own.isNotNull(), F.array(own)).otherwise(folded))
 
-    folded = F.aggregate(F.sequence(F.lit(2), size), _let(letters, start), step, lambda s: F.transform(
-        s["p"], lambda x: _rank(ranks, x)))
-    own = _rank(ranks, word)
-    return F.when(own.isNotNull(), F.array(own)).otherwise(folded)
+    return F.zip_with(word, octets, one)
 
 
 def merge_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -185,7 +234,10 @@ class _Block:
         raw = [w.encode() for w in self.words]
         long_at = [i for i, w in enumerate(raw) if len(w) > FOLD_BYTES]
         held = set(long_at)
-        shown = [w.hex().upper() if i not in held else "" for i, w in enumerate(raw)]
+        short = [w if i not in held else b"" for i, w in enumerate(raw)]
+        ends = np.r_[0, np.cumsum([len(w) for w in short])].astype(np.int32)
+        octets = pa.ListArray.from_arrays(
+            pa.array(ends), pa.array(np.frombuffer(b"".join(short), np.uint8).astype(np.int32)))
 
         def one(values, kind):
             values = pa.array(values, kind) if not isinstance(values, pa.Array) else values
@@ -194,8 +246,8 @@ class _Block:
         return pa.RecordBatch.from_arrays([
             one(pa.concat_arrays(self.ids), None),
             one(np.concatenate(self.sizes).astype(np.int32), pa.int32()),
-            one(np.concatenate(self.codes), pa.int32()), one(shown, pa.string()),
-            one(long_at, pa.int32()), one([raw[i] for i in long_at], pa.binary()),
+            one(np.concatenate(self.codes), pa.int32()), one([w.hex().upper() for w in short], pa.string()),
+            one(octets, None), one(long_at, pa.int32()), one([raw[i] for i in long_at], pa.binary()),
         ], [f.split()[0] for f in BLOCKS.split(", ")])
 
 
@@ -217,9 +269,7 @@ def encode_blocks(docs: DataFrame, ranks: dict[bytes, int],
                   block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Blocks of texts with the ids of each distinct piece."""
     prepare(docs.sparkSession)
-    literal = rank_literal(ranks)
-    empty = F.array().cast("array<int>")
-    fold = F.transform("words", lambda w: F.when(w == "", empty).otherwise(merge_fold(w, literal)))
+    fold = merge_fold(F.col("words"), F.col("octets"), ranks)
     return id_text(docs).mapInArrow(_pack(block_bytes), BLOCKS).select(
         "doc_ids", "sizes", "codes", "long_at", "long_words", fold.alias("encoded"))
 

@@ -163,9 +163,10 @@ def test_bpe(docs, no_docs, ranks):
 
 
 def test_heap_and_fold_agree(spark, ranks):
-    words = [b"a" * 60, "ñez日本語ion".encode(), b"tiontiontion" * 9, b"x"]
-    shown = spark.createDataFrame([(w.hex().upper(),) for w in words], "w string")
-    got = [r[0] for r in shown.select(bpe.merge_fold(F.col("w"), bpe.rank_literal(ranks))).collect()]
+    words = [b"a" * 60, "ñez日本語ion".encode(), b"tiontiontion" * 9, b"x", b"", bytes(range(256))]
+    shown = spark.createDataFrame([([w.hex().upper() for w in words], [list(w) for w in words])],
+                                  "w array<string>, o array<array<int>>")
+    got = shown.select(bpe.merge_fold(F.col("w"), F.col("o"), ranks)).first()[0]
     assert got == [bpe.merge_heap(w, ranks) for w in words]
 
 
