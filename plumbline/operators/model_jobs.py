@@ -8,6 +8,7 @@ only loop over one Arrow batch.
 from __future__ import annotations
 
 import json
+import re
 import time
 from collections.abc import Callable, Iterator
 
@@ -18,13 +19,14 @@ from plumbline import registry as R
 from plumbline.functions import parsing as P, vectors as V
 
 CallModel = Callable[[str, str], str]
+_FENCED = re.compile(r"```(?:json)?(.*?)(?:```.*)?", re.DOTALL)
 
 
 def _json_body(raw: str) -> str:
     """The answer without a Markdown fence; raises if it is not JSON."""
-    body = raw.strip()
-    if body.startswith("```"):
-        body = body.split("```")[1].removeprefix("json").strip()
+    text = raw.strip()
+    fenced = _FENCED.fullmatch(text)
+    body = fenced[1].strip() if fenced else text
     json.loads(body)
     return body
 
