@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as t
 
 from plumbline.functions import text as T
 
@@ -74,7 +74,8 @@ def side_by_side(left: DataFrame, right: DataFrame, scores: list[str],
 def detail_rows(register: DataFrame, section: str, keep: list[str]) -> DataFrame:
     """One nested section of ``metrics_json`` as rows: (keep…, name, scores…).
 
-    Malformed JSON gives no rows.
+    Malformed JSON gives no rows, and neither does a row stored without details in it:
+    its details are read by ``stored_detail_rows``.
     """
     parsed = F.from_json("metrics_json", f"struct<{section}:{_DETAIL_SCHEMA[section]}>")
     return (
@@ -83,6 +84,17 @@ def detail_rows(register: DataFrame, section: str, keep: list[str]) -> DataFrame
     )
 
 
+def stored_detail_rows(details: DataFrame, section: str, keep: list[str]) -> DataFrame:
+    """The same rows from the table of details that ``Evaluation.store`` writes.
+
+    ``run`` may be kept beside the columns of the table.
+    """
+    fields = t.StructType.fromDDL(f"s {_DETAIL_SCHEMA[section]}")["s"].dataType.valueType
+    rows = details.filter(F.col("section") == section).withColumn(
+        "run", T.experiment_folder(F.col("experiment_path")))
+    return rows.select(*keep, "name", *fields.names)
+
+
 def detail_value(register: DataFrame, field: str) -> Column:
     """One top-level number of ``metrics_json``."""
     return T.to_number(F.get_json_object("metrics_json", f"$.{field}"))

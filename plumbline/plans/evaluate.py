@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -13,9 +14,7 @@ from plumbline.operators.reshape import gold_spell_lists, predicted_spells
 from plumbline.operators.scores import GROUP, OVERALL
 from plumbline.operators.splits import apply_split, split_sides
 from plumbline.plans.inputs import check_task
-from plumbline.sources.sinks import register_row
-
-_DETAIL_LIMIT = 10_000
+from plumbline.sources.sinks import append_details, append_register, detail_table, register_row
 
 
 @dataclass
@@ -29,32 +28,54 @@ class Evaluation:
     per_class: DataFrame | None = None
     per_country: DataFrame | None = None
 
-    def metrics_json(self) -> DataFrame:
-        """The summary row with all small details as one JSON text.
-
-        Countries and classes go in as maps after a check of their number.
-        Cases never do: their table is kept as it is.
+    def _sections(self) -> list[tuple[str, DataFrame, str]]:
+        """Name, table and key column of the details that are present."""
+        sections = [("per_country", self.per_country, "country"),
+                    ("per_class", self.per_class, "label")]
+        return [s for s in sections if s[1] is not None]
+
+    def details(self) -> DataFrame | None:
+        """All countries and classes as rows (section, name, scores…), however many."""
+        tables = [detail_table(df, name, key) for name, df, key in self._sections()]
+        if not tables:
+            return None
+        return tables[0] if len(tables) == 1 else tables[0].unionByName(tables[1])
+
+    def metrics_json(self, details: bool = True) -> DataFrame:
+        """The summary row with all details as one JSON text.
+
+        Countries and classes go in as maps, all of them, which one row has to hold.
+        Without ``details`` the text has the summary only; ``details()`` has the rest.
+        Cases never go in: their table is kept as it is.
         """
         plain = [c for c in self.summary.columns if c not in ("task", "variable")]
         table = self.summary
-        for name, details, key in (("per_country", self.per_country, "country"),
-                                   ("per_class", self.per_class, "label")):
-            if details is None:
-                continue
-            if details.limit(_DETAIL_LIMIT + 1).count() > _DETAIL_LIMIT:
-                raise ValueError(f"{name} has more than {_DETAIL_LIMIT} rows; store it as a table")
-            fields = F.struct(*[F.col(c) for c in details.columns if c != key])
-            entries = details.agg(
+        for name, df, key in self._sections() if details else []:
+            fields = F.struct(*[F.col(c) for c in df.columns if c != key])
+            entries = df.agg(
                 F.map_from_entries(F.collect_list(F.struct(F.col(key), fields))))
             table = table.withColumn(name, entries.scalar())
             plain.append(name)
         return table.withColumn("metrics_json", F.to_json(F.struct(*plain)))
 
-    def register_row(self, **identity) -> DataFrame:
+    def register_row(self, details: bool = True, **identity) -> DataFrame:
         """The row for the results register; see ``sinks.register_row``."""
-        return register_row(self.metrics_json(), self.task, self.variable,
+        return register_row(self.metrics_json(details), self.task, self.variable,
                             F.col("metrics_json"), **identity)
 
+    def store(self, register: str, details: str, timestamp: str | None = None,
+              **identity) -> None:
+        """Append the register row, with the summary as its JSON, and the detail rows beside it.
+
+        Details are written first, as rows, so any number of them is kept and a row
+        in the register always has them. Both carry the same time, path, model and task.
+        """
+        stamp = F.lit(timestamp or datetime.now().astimezone().isoformat(timespec="microseconds"))
+        rows = self.details()
+        if rows is not None:
+            append_details(rows, details, self.task, self.variable, timestamp=stamp, **identity)
+        append_register(self.register_row(False, timestamp=stamp, **identity), register)
+
 
 def _validate(predictions: DataFrame, task: str, variable: str | None, granularity: str,
               check_empty: bool) -> None:

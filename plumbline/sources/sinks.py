@@ -54,6 +54,28 @@ def register_row(summary: DataFrame, task: str, variable: str | None, metrics_js
         *[one_line(values.get(c, F.lit(""))).alias(c) for c in R.REGISTER_COLUMNS])
 
 
+def detail_table(details: DataFrame, section: str, key: str) -> DataFrame:
+    """One section of an evaluation as rows (section, name, scores…); absent scores are null."""
+    return details.select(
+        F.lit(section).alias("section"), F.col(key).cast("string").alias("name"),
+        *[(F.col(c) if c in details.columns else F.lit(None)).cast(kind).alias(c)
+          for c, kind in R.DETAIL_SCORES.items()])
+
+
+def append_details(rows: DataFrame, path: str, task: str, variable: str | None,
+                   timestamp: Column, contributor: str = "unknown", experiment_path: str = "",
+                   model: str = "unknown", model_notes: str = "") -> None:
+    """Append detail rows under the identity of their register row."""
+    identity = {
+        "timestamp": timestamp, "contributor": F.lit(contributor),
+        "experiment_path": F.lit(experiment_path), "task": F.lit(task),
+        "variable": F.lit(variable or ""), "model": F.lit(model),
+        "model_notes": F.lit(model_notes),
+    }
+    rows.select(*[one_line(v).alias(k) for k, v in identity.items()], "*").write.mode(
+        "append").parquet(path)
+
+
 def append_register(rows: DataFrame, path: str) -> None:
     """Append to the register: a folder of CSV files, every field quoted."""
     rows.select(*R.REGISTER_COLUMNS).write.mode("append").csv(

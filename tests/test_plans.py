@@ -132,6 +132,45 @@ def test_register_row_of_an_evaluation(gold, silver):
     assert detail["per_country"]["BEL"]["accuracy"] == 1.0
 
 
+def test_any_number_of_details_is_kept(spark, tmp_path):
+    import json
+
+    from plumbline.operators import leaderboard
+    from plumbline.plans.evaluate import Evaluation
+    from plumbline.sources import sinks
+
+    n = 10_050
+    labels = spark.range(n).select(
+        F.format_string("%05d", "id").alias("label"), (F.col("id") / n).alias("precision"),
+        F.lit(1.0).alias("recall"), F.lit(0.5).alias("f1"), F.col("id").alias("support"))
+    countries = spark.range(n).select(
+        F.format_string("C%05d", "id").alias("country"), (F.col("id") / n).alias("accuracy"),
+        F.lit(0.5).alias("macro_f1"), F.lit(0.5).alias("weighted_f1"), F.col("id").alias("n_evaluated"))
+    summary = spark.sql("select 'annotation' task, 'career_position' variable, 0.5D accuracy, "
+                        "0.4D macro_f1, 0.6D weighted_f1, 10L n_evaluated, 0L n_skipped")
+    result = Evaluation("annotation", "career_position", summary, None, labels, countries)
+    whole = json.loads(result.register_row().first().metrics_json)
+    assert len(whole["per_class"]) == len(whole["per_country"]) == n
+    assert whole["per_class"]["10049"]["support"] == 10049
+    register, details = str(tmp_path / "register"), str(tmp_path / "details")
+    for model in ("a", "b"):
+        result.store(register, details, experiment_path="runs/a/c.yaml", model=model)
+    rows = sinks.read_register(spark, register).collect()
+    assert sorted((r.model, r.accuracy, "per_class" in r.metrics_json) for r in rows) == [
+        ("a", "0.5", False), ("b", "0.5", False)]
+    stored = spark.read.parquet(details)
+    got = leaderboard.stored_detail_rows(stored, "per_class", ["model"])
+    want = labels.select("precision", "recall", "f1", "support")
+    assert got.columns == ["model", "name", *want.columns]
+    for model in ("a", "b"):
+        assert {tuple(r) for r in got.filter(F.col("model") == model).drop("model").collect()} == {
+            tuple(r) for r in labels.collect()}
+    places = leaderboard.stored_detail_rows(stored, "per_country", ["timestamp", "model"])
+    assert places.count() == 2 * n
+    assert {(r.timestamp, r.model) for r in places.select("timestamp", "model").distinct().collect()} == {
+        (r.timestamp, r.model) for r in rows}
+
+
 def test_many_fields_equal_single_evaluations(gold, test_cases):
     fields = ["birth_year", "sex", "birth_place", "edu_degree"]
     predictions = test_cases.select(
