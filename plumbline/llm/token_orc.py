@@ -4,6 +4,10 @@ Every text is encoded with a ``tokenizers`` file and written, in ascending id or
 integer run-length encoding holds the ids, row indexes and a Bloom filter on ``doc_id`` let a
 reader skip stripes and row groups, and stripes are read in parallel.
 
+The file's added tokens, such as ``<|endoftext|>``, are found in texts as the library finds them
+by default: one that stands in a text is the one id of the token, and what lies between them is
+encoded alone.
+
 Edge cases: a null text is encoded as the empty one and holds the end id alone; a null id sorts
 first; rows that share an id follow each other in the order of the hash of their texts, equal
 rows arbitrarily; an empty table gives no file and reads back as no row; columns other than the
@@ -12,6 +16,7 @@ id and the text are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -53,7 +58,15 @@ class ChunkEncoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        strict = [t.content for t in added.values() if t.lstrip or t.rstrip or t.single_word]
+        if strict:
+            raise ValueError(f"added tokens that look at their neighbours are unknown: {strict}")
+        self.added = {t.content: i for i, t in added.items()}
+        # The longest of those that start at one place counts.
+        longest = sorted(self.added, key=len, reverse=True)
+        self.any_added = "|".join(map(re.escape, longest))
+        self.split_added = re.compile(f"({self.any_added})").split
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.pieces = regex.compile(public_tokenizers.PATTERN)
@@ -83,6 +96,23 @@ class ChunkEncoder(dict):
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a string array without nulls, and how many each text has."""
+        marked = pc.match_substring_regex(texts, self.any_added) if self.added else None
+        if marked is None or not pc.any(marked).as_py():
+            return self._encode_plain(texts)
+        # Texts between added tokens, and the token after each but the last of a text.
+        parts = [self.split_added(t) if has else [t]
+                 for t, has in zip(texts.to_pylist(), marked.to_pylist(), strict=True)]
+        plain = pa.array([s for p in parts for s in p[::2]], pa.string())
+        after = [i for p in parts for i in (*map(self.added.get, p[1::2]), -1)]
+        after = np.array(after, np.int64)
+        flat, counts = self._encode_plain(plain)
+        has = after >= 0
+        flat = np.insert(flat, np.cumsum(counts)[has], after[has].astype(flat.dtype))
+        firsts = np.cumsum([0, *(len(p[::2]) for p in parts[:-1])])
+        return flat, np.add.reduceat(counts + has, firsts)
+
+    def _encode_plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts without added tokens."""
         if len(self) > _CACHE_LIMIT:
             self.clear()
         chunks = cut(texts)

@@ -54,6 +54,26 @@ def test_token_files(spark, docs, no_docs):
     assert token_orc.token_file_report(token_orc.read_token_files(spark, empty)).count() == 0
 
 
+def test_added_tokens_in_texts(spark):
+    """An unchanged tokenizer takes the end token that stands in a text as one id."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    end = "<|endoftext|>"
+    texts = ["no token here", f"a {end} b", end, f"x{end}\n\ny  {end}  z", end + end, "<|endoftext",
+             f"{end[:-1]} {end}", "", f" {end} don't  stop{end}日本 12 345.{end}", None, "after it all"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    folder = scratch(spark, "t-orc")
+    token_orc.write_token_files(rows, folder, path, shards=2)
+    got = {r["doc_id"]: list(r["ids"]) for r in token_orc.read_token_files(spark, folder).collect()}
+    assert got == {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
+                   for i, t in enumerate(texts)}
+    assert got[2] == [50256, 0]
+    starts = sorted((r["doc_id"], r["start"]) for r in token_orc.read_token_files(spark, folder).collect())
+    assert [s for _, s in starts] == list(np.cumsum([0, *(len(got[i]) for i in range(len(texts)))])[:-1])
+
+
 # 2
 
 def test_quality_rank(spark, docs, no_docs):
