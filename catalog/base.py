@@ -12,7 +12,7 @@ import re
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from plumbline.session import durable_dir
@@ -231,11 +231,22 @@ STORED = {
 _PATHS: dict[tuple[str, str, str], str] = {}
 
 
+def _in_slots(spells: DataFrame) -> DataFrame:
+    """The rows as they are; fails at a year that has no column in the wide table."""
+    error = F.raise_error(F.concat(
+        F.lit(f"spell outside the years {YEARS[0]} to {YEARS[-1]}: "),
+        F.coalesce(F.col("y").cast("string"), F.lit("no year"))))
+    return spells.withColumn(
+        "slot", F.when(F.col("slot").isin(SLOTS), F.col("slot")).otherwise(error))
+
+
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table as a Spark DataFrame."""
     if name in BASE_TABLES:
         return table(spark, sf_dir, name)
     sql = DERIVED[name]
+    if name == "wide_spells":
+        return spark.sql(sql, spell_rows=_in_slots(derived(spark, sf_dir, "spell_rows")))
     if name not in STORED:
         return spark.sql(sql, **{n: derived(spark, sf_dir, n) for n in _needs(sql)})
     where = (spark.sparkContext.applicationId, sf_dir, name)

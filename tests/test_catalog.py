@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+from datetime import date
 from pathlib import Path
 
 import pytest
 
 from catalog import ORACLES, QUERIES
-from catalog.base import BASE_TABLES
+from catalog.base import BASE_TABLES, derived
 
 SF = "/root/testdata/sf0.001"
 NO_SQL_FORM = {"char_similarity", "atomic_similarity", "evaluate_birth_place"}
@@ -46,3 +47,16 @@ def test_query_equals_sql(spark, name):
     order = [names.index(c) for c in columns]
     want = sorted((tuple(plain(r[i]) for i in order) for r in cursor.fetchall()), key=repr)
     assert got == want
+
+
+def test_year_without_a_slot_fails(spark, tmp_path):
+    orders = "o_custkey long, o_orderdate date, o_orderpriority string, o_orderstatus string"
+    rows = [(1, date(1995, 3, 1), "1-URGENT", "F"), (1, date(2001, 3, 1), "2-HIGH", "O")]
+    inside, outside = tmp_path / "inside", tmp_path / "outside"
+    spark.createDataFrame(rows, orders).write.parquet(f"{inside}/orders.parquet")
+    spark.createDataFrame([*rows, (1, date(2003, 3, 1), "2-HIGH", "O")], orders).write.parquet(
+        f"{outside}/orders.parquet")
+    wide = derived(spark, str(inside), "wide_spells").first()
+    assert (wide.s1, wide.s7) == ("1995", "2001")
+    with pytest.raises(Exception, match="spell outside the years 1995 to 2001: 2003"):
+        derived(spark, str(outside), "wide_spells").collect()
