@@ -205,3 +205,24 @@ def pivot_metrics(spark, sf):
         "c_nationkey", "c_mktsegment", F.col("c_acctbal").alias("top"), F.col("c_custkey").alias("last"))
     return reshape.pivot_first(customers, "c_nationkey", "c_mktsegment", ["top", "last"],
                                ["BUILDING", "FURNITURE"])
+
+
+_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+_SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
+# The two pivots above show a part of the values; these show all of them.
+@query("pivot_mean_all_types", "SELECT p_brand, " + ", ".join(
+    f"avg(p_size) FILTER (p_type = '{v}') AS \"{v}\"" for v in _TYPES) + " FROM part GROUP BY p_brand")
+def pivot_mean_all_types(spark, sf):
+    return reshape.pivot_mean(table(spark, sf, "part"), "p_brand", "p_type", "p_size", _TYPES)
+
+
+@query("pivot_metrics_all_segments", "SELECT c_nationkey, " + ", ".join(
+    f"max(c_acctbal) FILTER (c_mktsegment = '{v}') AS \"{v}_top\", "
+    f"CAST(max(c_custkey) FILTER (c_mktsegment = '{v}') AS BIGINT) AS \"{v}_last\"" for v in _SEGMENTS)
+    + " FROM customer GROUP BY c_nationkey")
+def pivot_metrics_all_segments(spark, sf):
+    customers = table(spark, sf, "customer").select(
+        "c_nationkey", "c_mktsegment", F.col("c_acctbal").alias("top"), F.col("c_custkey").alias("last"))
+    return reshape.pivot_first(customers, "c_nationkey", "c_mktsegment", ["top", "last"], _SEGMENTS)
