@@ -13,6 +13,9 @@ from plumbline.functions import text as T, vectors as V
 from plumbline.operators.cleaning import semi_by_id
 from plumbline.operators.scores import GROUP, OVERALL
 
+# Ranges into which a vocabulary is cut before it is numbered.
+_LABEL_CUTS = 255
+
 
 def align(predictions: DataFrame, gold: DataFrame, test: DataFrame, gold_col: str,
           indexed: bool = True, key: str = R.CASE_ID, index: str = R.SPELL_INDEX,
@@ -194,12 +197,21 @@ def label_order(label: Column) -> Column:
 def label_index(df: DataFrame, column: str) -> DataFrame:
     """Sorted vocabulary with 0-based ids.
 
-    The window runs over the distinct labels only. An encoder has one output
-    per label, so their number is bounded by the model that uses the ids.
+    The labels with the smallest hashes cut the vocabulary into ranges. Labels are numbered
+    inside their range, and the counts of the ranges before it are added; only those counts
+    meet in one window.
     """
-    order = Window.orderBy("label")
-    return vocabulary(df, column).select(
-        "label", (F.row_number().over(order) - 1).alias("label_id"))
+    labels = vocabulary(df, column)
+    cuts = labels.orderBy(F.xxhash64("label"), "label").limit(_LABEL_CUTS).agg(
+        F.collect_list("label").alias("cuts"))
+    ranged = labels.crossJoin(F.broadcast(cuts)).select(
+        "label", F.size(F.filter("cuts", lambda c: c <= F.col("label"))).alias("_range"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    local = Window.partitionBy("_range").orderBy("label")
+    return ranged.withColumn("_local", F.row_number().over(local)).join(before, "_range").select(
+        "label", (F.col("_before") + F.col("_local") - 1).cast("int").alias("label_id"))
 
 
 def merge_gold(predictions: DataFrame, gold: DataFrame, gold_col: str,

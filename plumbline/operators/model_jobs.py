@@ -22,6 +22,18 @@ CallModel = Callable[[str, str], str]
 _FENCED = re.compile(r"```(?:json)?(.*?)(?:```.*)?", re.DOTALL)
 
 
+def _spread(df: DataFrame, parallelism: int | None) -> DataFrame:
+    """Deal rows to ``parallelism`` tasks (else the shuffle partitions) by a hash of their values.
+
+    With the number given, adaptive execution does not fold few rows into one task. Only types
+    that hash alike in every run are read; a repeated prompt is spread by the row's other values.
+    """
+    kinds = (t.StringType, t.IntegralType, t.DateType, t.TimestampType)
+    keys = [f.name for f in df.schema.fields if isinstance(f.dataType, kinds)]
+    number = parallelism or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(number, F.xxhash64(*[df[k] for k in keys]))
+
+
 def _json_body(raw: str) -> str:
     """The answer without a Markdown fence; raises if it is not JSON."""
     text = raw.strip()
@@ -46,9 +58,11 @@ def _answer(call: CallModel, system: str, prompt: str, retries: int, wait: float
 
 def call_model(df: DataFrame, prompt: str, system: str, client: Callable[[], CallModel],
                retries: int = R.MODEL_RETRIES, wait: float = R.MODEL_RETRY_WAIT,
-               expect_json: bool = True) -> DataFrame:
+               expect_json: bool = True, parallelism: int | None = None) -> DataFrame:
     """Add ``response`` and ``error``; the response is null if every try failed.
 
+    ``parallelism`` is the number of tasks that call the model at a time.
+
     ``client()`` returns a function ``(system, prompt) -> text``. With
     ``expect_json`` an answer that is no JSON counts as a failed try.
     """
@@ -62,17 +76,19 @@ def call_model(df: DataFrame, prompt: str, system: str, client: Callable[[], Cal
             answers = [_answer(call, system, p, retries, wait, check) for p in batch[prompt]]
             yield batch.assign(response=[a for a, _ in answers], error=[e for _, e in answers])
 
-    return df.mapInPandas(run, schema)
+    return _spread(df, parallelism).mapInPandas(run, schema)
 
 
-def classify(df: DataFrame, prompt: str, system: str, client: Callable[[], CallModel]) -> DataFrame:
+def classify(df: DataFrame, prompt: str, system: str, client: Callable[[], CallModel],
+             parallelism: int | None = None) -> DataFrame:
     """One call per row without retry; an error gives the empty answer."""
-    answered = call_model(df, prompt, system, client, retries=1, wait=0.0, expect_json=False)
+    answered = call_model(df, prompt, system, client, retries=1, wait=0.0, expect_json=False,
+                          parallelism=parallelism)
     return answered.withColumn("response", F.coalesce("response", F.lit("")))
 
 
 def embed(texts: DataFrame, text: str, encoder: Callable[[], Callable[[list[str]], list]],
-          batch_size: int = R.EMBED_BATCH) -> DataFrame:
+          batch_size: int = R.EMBED_BATCH, parallelism: int | None = None) -> DataFrame:
     """(text, vector) for every distinct text, encoded in small batches."""
     distinct = texts.select(text).filter(F.col(text).isNotNull()).distinct()
     schema = t.StructType([distinct.schema[text],
@@ -87,12 +103,13 @@ def embed(texts: DataFrame, text: str, encoder: Callable[[], Callable[[list[str]
                 vectors.extend(encode(values[start:start + batch_size]))
             yield pd.DataFrame({text: values, "vector": [list(map(float, v)) for v in vectors]})
 
-    return distinct.mapInPandas(run, schema)
+    return _spread(distinct, parallelism).mapInPandas(run, schema)
 
 
 def fetch_and_summarise(keys: DataFrame, query: Column,
                         worker: Callable[[], tuple[Callable[[str], list[str]],
-                                                   Callable[[list[str], str], str]]]) -> DataFrame:
+                                                   Callable[[list[str], str], str]]],
+                        parallelism: int | None = None) -> DataFrame:
     """(keys…, snippets, summary) for distinct keys.
 
     ``worker()`` returns ``(fetch, summarise)``. A failed fetch gives no
@@ -120,11 +137,12 @@ def fetch_and_summarise(keys: DataFrame, query: Column,
                 notes.append(note)
             yield batch.drop(columns="_query").assign(snippets=found, summary=notes)
 
-    return asked.mapInPandas(run, schema)
+    return _spread(asked, parallelism).mapInPandas(run, schema)
 
 
 def score_labels(df: DataFrame, text: str, scorer: Callable[[], Callable[[list[str]], list]],
-                 labels: DataFrame, batch_size: int = R.EMBED_BATCH) -> DataFrame:
+                 labels: DataFrame, batch_size: int = R.EMBED_BATCH,
+                 parallelism: int | None = None) -> DataFrame:
     """Add ``predicted_code``: the label with the largest score.
 
     ``scorer()`` returns a function from texts to one score list per text;
@@ -141,7 +159,8 @@ def score_labels(df: DataFrame, text: str, scorer: Callable[[], Callable[[list[s
                 rows.extend(score(values[start:start + batch_size]))
             yield batch.assign(scores=[list(map(float, r)) for r in rows])
 
-    scored = df.mapInPandas(run, schema).withColumn("label_id", V.argmax(F.col("scores")))
+    scored = _spread(df, parallelism).mapInPandas(run, schema).withColumn(
+        "label_id", V.argmax(F.col("scores")))
     names = labels.select(F.col("label").alias(R.PREDICTED_CODE), "label_id")
     return scored.join(names, "label_id", "left").drop("label_id", "scores")
 

@@ -398,3 +398,49 @@ def test_silver_build_and_retry(spark, gold):
     assert [tuple(r) for r in again.failures.collect()] == [("p003", "ALL", "no_cv_text")]
     skipped = build_silver(cases, failing_second, done=built.silver, wait=0.0)
     assert skipped.silver.count() == 0
+
+
+def test_model_jobs_spread_few_rows_over_tasks(spark):
+    from pyspark import TaskContext
+
+    rows = spark.range(40).select(F.format_string("p%d", "id").alias("text")).coalesce(1)
+
+    def task():
+        return str(TaskContext.get().partitionId())
+
+    answered = M.classify(rows, "text", "s", lambda: lambda system, prompt: task())
+    assert answered.select("response").distinct().count() > 1 and answered.count() == 40
+    few = M.call_model(rows, "text", "s", lambda: lambda system, prompt: task(), expect_json=False,
+                       parallelism=2)
+    assert {r.response for r in few.collect()} == {"0", "1"}
+    vectors = M.embed(rows, "text", lambda: lambda texts: [[float(task())]] * len(texts))
+    assert len({r.vector[0] for r in vectors.collect()}) > 1
+    notes = M.fetch_and_summarise(rows, F.col("text"), lambda: (lambda q: [q], lambda s, q: task()))
+    assert len({r.summary for r in notes.collect()}) > 1
+    labels = spark.createDataFrame([(str(i), i) for i in range(4)], "label string, label_id int")
+    scored = M.score_labels(rows, "text", lambda: lambda texts: [
+        [float(str(k) == task()) for k in range(4)] for _ in texts], labels)
+    assert len({r.predicted_code for r in scored.collect()}) > 1
+    for column in ("no text", 1.5):
+        assert M.call_model(spark.range(3).select(F.lit(column).alias("x"), F.lit("p").alias("p")), "p", "s",
+                            lambda: lambda system, prompt: "{}").count() == 3
+
+
+def test_label_ids_are_numbered_by_range(spark):
+    from plumbline.operators import classification as K
+
+    values = [f"http://one.prefix/{i * 7919 % 3001}" for i in range(3001)] + ["", "ä", "日本", "Z", None, "Z"]
+    df = spark.createDataFrame([(v,) for v in values], "kind string")
+    index = K.label_index(df, "kind")
+    want = sorted({v for v in values if v is not None}, key=str.encode)
+    got = index.collect()
+    assert [(r.label, r.label_id) for r in sorted(got, key=lambda r: r.label_id)] == [
+        (v, i) for i, v in enumerate(want)]
+    assert index.schema["label_id"].dataType.simpleString() == "int"
+    # No window sees the whole vocabulary: the only one without a partition runs over counts.
+    plan = index._jdf.queryExecution().optimizedPlan().toString()
+    whole = [line for line in plan.splitlines() if "row_number" in line and "Window" in line]
+    assert whole and all("[_range" in line for line in whole)
+    assert K.label_index(df.limit(0), "kind").count() == 0
+    assert [tuple(r) for r in K.label_index(spark.createDataFrame([("x",)], "kind string"), "kind").collect()] == [
+        ("x", 0)]
