@@ -135,6 +135,20 @@ def test_links_that_a_star_misses(spark):
     same([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got], brute_components(rows))
 
 
+def test_links_across_blocks(spark, monkeypatch):
+    """Buckets of more members than a block holds: links between blocks are found as well."""
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 7)
+    base = [f"w{k}" for k in range(120)]
+    rows = [(1000, " ".join(base))]
+    for i in range(40):
+        w = list(base)
+        for k in range(3):
+            w[(i * 11 + 37 * k) % 120] = f"x{i}{k}"
+        rows.append((i, " ".join(w)))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    same([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got], brute_components(rows))
+
+
 # 4
 
 def test_language_codes(spark, no_docs):
