@@ -1,12 +1,16 @@
-"""Operator 7: removal of repeated byte strings by a logarithmic family of suffix indexes.
+"""Operator 7: removal of repeated byte strings by a hash-ordered index of text windows.
 
 A byte goes if a string of ``SPAN`` bytes that covers it also starts earlier in the table, in
 the order of (doc_id, place). Documents are packed in ascending blocks; the order of blocks is
 the order of batches. Every string of ``SPAN`` bytes holds one smallest ``GRAM``-byte hash; runs
-of neighbouring strings with the same smallest hash are the entries of a block's sparse suffix
-array, about one for each 26 bytes. The arrays are cut by ranges of hashes: one task holds one
-range of the index, takes the blocks' sorted slices as batches, scans each against the existing
-levels, and merges levels of equal size geometrically (``LevelIndex``).
+of neighbouring strings with the same smallest hash are a block's entries, about one for each 26
+bytes. Entries are ordered by hash and cut by ranges of it: one task holds one range of the index,
+takes the blocks' sorted slices as batches, looks each up in the existing levels, and merges levels
+of equal size geometrically (``LevelIndex``). This stands in for a suffix array: as the length that
+counts is fixed, equal hashes of windows answer what the order of suffixes would, no suffix is
+compared or match length scanned, and only hashes travel. Contested hashes are found by one sort of
+a range instead of the levels. Rows sent are blocks times ranges, which grows with the square of a
+large input.
 
 Three exchanges make it exact with few bytes sent:
 1. smallest hashes: those that only one run has cannot repeat and are done;
