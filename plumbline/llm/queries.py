@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import (
-    bpe, digest, lang_codes, line_rules, minhash, mixture, quality_rank, suffix_dedup, token_orc, warc,
+    bpe, digest, divergence, lang_codes, line_rules, minhash, mixture, quality_rank, suffix_dedup,
+    token_orc, warc,
 )
 from plumbline.llm.common import scratch
 
@@ -136,6 +137,44 @@ FROM summed JOIN (SELECT unnest(range(0, {MIX.max_epochs + 1})) AS epoch) e
 """
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(_table(spark, sf_dir, "documents"))
+
+
+_DIVERGENCE_SQL = """
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM {documents}),
+w AS (SELECT id, lang, source,
+    unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM w GROUP BY lang, term
+  HAVING count(DISTINCT id) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term)
+  GROUP BY lang, source, term),
+g AS (SELECT DISTINCT lang, source FROM d),
+sizes AS (SELECT g.lang, g.source, coalesce(s.n, 0) AS n FROM g LEFT JOIN
+    (SELECT lang, source, sum(n) AS n FROM c GROUP BY lang, source) s USING (lang, source)),
+langs AS (SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang),
+p AS (SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n,
+    1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (s.n + v) AS p,
+    1 + 1000000000::HUGEINT * (total + 1) // (langs.n + v) AS q
+  FROM sizes s JOIN langs USING (lang) JOIN kept k ON k.lang = s.lang
+  LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY a.lang, a.source, b.source),
+found AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+    CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM found)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
 _WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM {pages}),
 w AS (SELECT body, max(page_id) AS best FROM p WHERE strlen(body) >= 1000 GROUP BY body)
@@ -156,8 +195,10 @@ QUERIES = {
     "op8_line_rules": op8_line_rules,
     "op9_warc": op9_warc,
     "op10_mixture": op10_mixture,
+    "op12_divergence": op12_divergence,
 }
 ORACLES = {
     "op9_warc": _WARC_SQL.format(pages="pages"),
     "op10_mixture": _mixture_sql().format(documents="documents"),
+    "op12_divergence": _DIVERGENCE_SQL.format(documents="documents"),
 }
