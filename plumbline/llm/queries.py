@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import (
-    bpe, digest, divergence, lang_codes, line_rules, minhash, mixture, quality_rank, suffix_dedup,
-    token_orc, warc,
+    bpe, collocations, digest, divergence, lang_codes, line_rules, minhash, mixture, quality_rank,
+    suffix_dedup, token_orc, warc,
 )
 from plumbline.llm.common import scratch
 
@@ -175,6 +175,42 @@ SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
 """
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+_COLLOCATIONS_SQL = """
+WITH d AS (SELECT coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM {documents}),
+p AS (SELECT lang, unnest(regexp_extract_all(t, '[^.,;:!?\\x0A-\\x0D]+')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+g AS (SELECT lang, k, unnest([array_to_string(ws[i : i + k - 1], ' ')
+    FOR i IN range(1, len(ws) - k + 2)]) AS phrase
+  FROM w, (SELECT unnest([1, 2, 3]) AS k) WHERE len(ws) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY lang, k, phrase HAVING count(*) >= 10),
+n AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang),
+cuts AS (SELECT lang, k, phrase, a, i, array_to_string(string_split(phrase, ' ')[1 : i], ' ') AS h,
+    array_to_string(string_split(phrase, ' ')[i + 1 : k], ' ') AS e
+  FROM f, (SELECT unnest([1, 2]) AS i) WHERE k >= 2 AND i < k),
+s AS (SELECT c.lang, c.k, c.phrase, c.a, x.a AS l, y.a AS r, i,
+    1000000::HUGEINT * c.a * c.a // (x.a::HUGEINT * y.a) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.h AND x.k = c.i
+  JOIN f y ON y.lang = c.lang AND y.phrase = c.e AND y.k = c.k - c.i),
+lowest AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+longer AS (SELECT lang, phrase, max(a) AS longest FROM (
+    SELECT lang, a, array_to_string(string_split(phrase, ' ')[1 : 2], ' ') AS phrase FROM f WHERE k = 3
+    UNION ALL
+    SELECT lang, a, array_to_string(string_split(phrase, ' ')[2 : 3], ' ') FROM f WHERE k = 3)
+  GROUP BY lang, phrase),
+kept AS (SELECT lowest.* FROM lowest LEFT JOIN longer USING (lang, phrase)
+  WHERE k = 3 OR longest IS NULL OR 100 * longest < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+  a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+
 _WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM {pages}),
 w AS (SELECT body, max(page_id) AS best FROM p WHERE strlen(body) >= 1000 GROUP BY body)
@@ -196,9 +232,11 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_mixture": op10_mixture,
     "op12_divergence": op12_divergence,
+    "op13_collocations": op13_collocations,
 }
 ORACLES = {
     "op9_warc": _WARC_SQL.format(pages="pages"),
     "op10_mixture": _mixture_sql().format(documents="documents"),
     "op12_divergence": _DIVERGENCE_SQL.format(documents="documents"),
+    "op13_collocations": _COLLOCATIONS_SQL.format(documents="documents"),
 }
