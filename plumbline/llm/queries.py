@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import (
     bpe, collocations, digest, divergence, lang_codes, line_rules, minhash, mixture, quality_rank,
-    suffix_dedup, token_orc, warc,
+    suffix_dedup, token_orc, toxicity, warc,
 )
 from plumbline.llm.common import scratch
 
@@ -137,6 +137,10 @@ FROM summed JOIN (SELECT unnest(range(0, {MIX.max_epochs + 1})) AS epoch) e
 """
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.rate_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit_sources(_table(spark, sf_dir, "documents"))
 
@@ -231,6 +235,7 @@ QUERIES = {
     "op8_line_rules": op8_line_rules,
     "op9_warc": op9_warc,
     "op10_mixture": op10_mixture,
+    "op11_toxicity": op11_toxicity,
     "op12_divergence": op12_divergence,
     "op13_collocations": op13_collocations,
 }
