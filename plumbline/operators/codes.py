@@ -1,8 +1,10 @@
 """Free model text to a code of a vocabulary.
 
 Each rule is a chain of equi-joins on the distinct texts. A substring test
-needs some key to join on: if one text contains another, it contains the other's
-first characters, so texts meet on those and the full test decides.
+needs some key to join on: a text that contains another contains all of its short
+substrings. Each text that may be contained is indexed under the one of them
+that the fewest containing texts have, so a beginning that all share, such as
+"ministry of", brings no rows together; then the full test decides.
 """
 
 from __future__ import annotations
@@ -21,16 +23,38 @@ def unquoted(text: Column) -> Column:
     return F.btrim(strip(text), F.lit("\"'"))
 
 
+def _pieces(text: Column, n: int) -> Column:
+    """Substrings of ``n`` characters."""
+    return F.when(F.length(text) >= n, F.transform(
+        F.sequence(F.lit(1), F.length(text) - (n - 1)),
+        lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+
 def _grams(text: Column) -> Column:
     """Distinct substrings of 1 to 3 characters."""
-    parts = [
-        F.when(F.length(text) >= n, F.transform(
-            F.sequence(F.lit(1), F.length(text) - (n - 1)),
-            lambda i: F.substring(text, i, F.lit(n))))
-        .otherwise(F.array().cast("array<string>"))
-        for n in range(1, _GRAM + 1)
-    ]
-    return F.array_distinct(F.concat(*parts))
+    return F.array_distinct(F.concat(*[_pieces(text, n) for n in range(1, _GRAM + 1)]))
+
+
+def _keys(text: Column) -> Column:
+    """Distinct substrings of 3 characters; a shorter text itself."""
+    return F.when(F.length(text) < _GRAM, F.array(text)).otherwise(
+        F.array_distinct(_pieces(text, _GRAM)))
+
+
+def containing(holders: DataFrame, holder: str, parts: DataFrame, part: str) -> DataFrame:
+    """Pairs of rows whose ``holder`` may contain ``part``: it has the rarest substring of it.
+
+    How many holders have a substring is counted once. A part with a substring that no holder has
+    is in none of them and drops out. Neither text may be null or empty; a holder has one row.
+    """
+    exploded = holders.withColumn("_k", F.explode(_grams(F.col(holder))))
+    spread = exploded.groupBy("_k").agg(F.count(F.lit(1)).alias("_df"))
+    needed = parts.select(part).distinct().select(
+        part, F.size(_keys(F.col(part))).alias("_n"), F.explode(_keys(F.col(part))).alias("_k"))
+    rarest = needed.join(spread, "_k").groupBy(part, "_n").agg(
+        F.min_by("_k", F.struct("_df", "_k")).alias("_k"), F.count(F.lit(1)).alias("_found"))
+    index = rarest.filter(F.col("_n") == F.col("_found")).select(part, "_k")
+    return exploded.join(index, "_k").join(parts, part).drop("_k")
 
 
 def _hit(df: DataFrame, stage: int, rank: Column, code: Column) -> DataFrame:
@@ -47,21 +71,14 @@ def _by_description(texts: DataFrame, codes: DataFrame, description: Column,
     low = texts.withColumn("_low", F.lower("_t")).filter(F.col("_low") != "")
     described = codes.withColumn("_d", F.lower(description))
     known = described.filter(F.col("_d") != "")
-    inside_text = (
-        low.withColumn("_k", F.explode(_grams(F.col("_low"))))
-        .join(known.withColumn("_k", F.substring("_d", 1, _GRAM)), "_k")
-        .filter(F.col("_low").contains(F.col("_d")))
-    )
-    inside_description = (
-        low.withColumn("_k", F.substring("_low", 1, _GRAM))
-        .join(known.withColumn("_k", F.explode(_grams(F.col("_d")))), "_k")
-        .filter(F.col("_d").contains(F.col("_low")))
-    )
+    inside_text = containing(low, "_low", known, "_d").filter(F.col("_low").contains(F.col("_d")))
+    inside_description = containing(known.select("_d").distinct(), "_d", low, "_low").filter(
+        F.col("_d").contains(F.col("_low"))).join(known, "_d")
     # The empty text is in every description, an empty description in every text.
     first_any = codes.agg(F.min("_c")).scalar()
     first_blank = described.filter(F.col("_d") == "").agg(F.min("_c")).scalar()
     empty_text = texts.filter(F.col("_t") == "").withColumn("_c", first_any)
-    any_text = texts.withColumn("_c", first_blank)
+    any_text = texts.filter(first_blank.isNotNull()).withColumn("_c", first_blank)
     return reduce(DataFrame.unionByName, [
         _hit(part, stage, F.col("_c"), F.col("_c"))
         for part in (inside_text, inside_description, empty_text, any_text)
