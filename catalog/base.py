@@ -194,6 +194,16 @@ FROM (SELECT *, substr(md5(name_last), 6, 1) AS h FROM {raw_gold}) AS g
 WHERE trim(case_id) <> '' AND h <> 'f'
 """
 
+# The same with earlier runs whose answers later ones replace; their texts are larger.
+DERIVED["field_answers"] = """
+SELECT case_id, birth_year, birth_place, birth_country, sex, edu_start, edu_end, edu_degree, 10 AS run
+FROM {field_predictions}
+UNION ALL
+SELECT case_id, '9' AS birth_year, 'zz ' || birth_place AS birth_place, 'zz' AS birth_country, '9 = other' AS sex,
+       '9' AS edu_start, '9' AS edu_end, '9 = zz' AS edu_degree, 9 AS run
+FROM {field_predictions} WHERE substr(md5(case_id), 8, 1) < '6'
+"""
+
 DERIVED["url_predictions"] = """
 SELECT case_id,
        CASE WHEN substr(md5(case_id), 7, 1) < '8' THEN cv_links
@@ -226,7 +236,8 @@ def _needs(sql: str) -> list[str]:
 # read from there, so that a query plan starts at a scan of the label tables.
 STORED = {
     "spell_rows", "raw_gold", "raw_silver", "raw_silver_edu", "code_predictions",
-    "subject_predictions", "spell_predictions", "field_predictions", "url_predictions",
+    "subject_predictions", "spell_predictions", "field_predictions", "field_answers",
+    "url_predictions",
 }
 _PATHS: dict[tuple[str, str, str], str] = {}
 
@@ -300,6 +311,41 @@ def sql_normal(column: str) -> str:
             f"'n/a', 'na', 'unknown') THEN '__na__' ELSE {text} END")
 
 
+def sql_similarity(source: str, name: str = "alike") -> str:
+    """Expressions that end in ``name``(x, y, sim) for the distinct pairs (x, y) of ``source``.
+
+    The ratio of matching characters: the longest common block, the first of them in x and then in
+    y, and again on both sides of it. Texts of 200 and more characters, where frequent characters
+    are left out, are not covered. Needs a recursive WITH.
+    """
+    def normal(column: str) -> str:
+        bare = f"regexp_replace(lower({column}), '\\(.*?\\)', '', 'g')"
+        bare = f"""regexp_replace({bare}, '[''\\-.,/"]', '', 'g')"""
+        return f"trim(regexp_replace({bare}, '\\s+', ' ', 'g'))"
+
+    def longest(a: str, b: str) -> str:
+        return (f"list_max(flatten([[CASE WHEN contains({b}, substr({a}, i, k)) THEN {{'k': k, 'n': -i}} END "
+                f"FOR k IN range(1, len({a}) - i + 2)] FOR i IN range(1, len({a}) + 1)]))")
+
+    return f"""
+{name}_texts AS (SELECT DISTINCT x, y, {normal('x')} AS a0, {normal('y')} AS b0 FROM {source}),
+{name}_blocks(a0, b0, a, b, m) AS (
+  SELECT a0, b0, a0, b0, {longest('a0', 'b0')}
+  FROM (SELECT DISTINCT a0, b0 FROM {name}_texts WHERE a0 <> b0 AND a0 <> '' AND b0 <> '')
+  UNION ALL
+  SELECT a0, b0, s.a, s.b, {longest('s.a', 's.b')}
+  FROM (SELECT a0, b0, unnest([{{'a': left(a, i - 1), 'b': left(b, j - 1)}},
+                               {{'a': substr(a, i + k), 'b': substr(b, j + k)}}]) AS s
+        FROM (SELECT *, m.k AS k, -m.n AS i, strpos(b, substr(a, -m.n, m.k)) AS j
+              FROM {name}_blocks WHERE m IS NOT NULL))
+  WHERE s.a <> '' AND s.b <> ''),
+{name} AS (
+  SELECT x, y, CASE WHEN a0 = b0 THEN 1.0 WHEN a0 = '' OR b0 = '' THEN 0.0
+    ELSE CAST(2 * coalesce(n, 0) AS DOUBLE) / (len(a0) + len(b0)) END AS sim
+  FROM {name}_texts LEFT JOIN (SELECT a0, b0, sum(m.k) AS n FROM {name}_blocks GROUP BY a0, b0) USING (a0, b0))
+"""
+
+
 def sql_split(source: str, key: str, stratum: str, name: str = "sides") -> str:
     """Expressions that end in ``name``(key, split): the stratified split."""
     return f"""

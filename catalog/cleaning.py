@@ -187,10 +187,12 @@ def flagged_row_drop(spark, sf):
     return C.drop_flagged(derived(spark, sf, "raw_gold")).select("name_last", "missing_type")
 
 
-@query("drop_counts", oracle(["raw_gold"], """
+@query("drop_counts", oracle(["raw_gold", "raw_silver"], """
 SELECT CAST(count(*) AS BIGINT) AS n_rows,
        CAST(count(*) FILTER (trim(case_id) = '') AS BIGINT) AS blank_key,
-       CAST(count(*) FILTER (trim(case_id) <> '' AND trim(missing_type) <> '') AS BIGINT) AS flagged
+       CAST(count(*) FILTER (trim(case_id) <> '' AND trim(missing_type) <> '') AS BIGINT) AS flagged,
+       (SELECT CAST(count(*) AS BIGINT) FROM raw_silver WHERE case_id NOT IN (
+          SELECT case_id FROM raw_gold WHERE trim(case_id) <> '' AND trim(missing_type) = '')) AS not_in_gold
 FROM raw_gold"""))
 def drop_counts(spark, sf):
     raw = derived(spark, sf, "raw_gold")
@@ -198,9 +200,13 @@ def drop_counts(spark, sf):
     kept = C.drop_flagged(C.drop_blank_keys(raw, report=report), report=report)
     n_kept = kept.count()
     counts = report.counts()
+    joined = C.DropReport()
+    silver = derived(spark, sf, "raw_silver")
+    C.semi_by_id(silver, kept, report=joined, step="not_in_gold").count()
     return raw.agg(F.count(F.lit(1)).alias("n_rows")).filter(
         F.col("n_rows") == n_kept + sum(counts.values())
-    ).select("n_rows", *[F.lit(v).cast("long").alias(k) for k, v in counts.items()])
+    ).select("n_rows", *[F.lit(v).cast("long").alias(k)
+                         for k, v in {**counts, **joined.counts()}.items()])
 
 
 @query("year_coercion", oracle(["raw_gold"], f"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import derived, oracle, query, sql_normal, sql_number, table
+from catalog.base import derived, oracle, query, sql_normal, sql_number, sql_similarity, table
 from plumbline import registry as R
 from plumbline.functions import text as T, vectors as V
 from plumbline.operators import atomic, classification as K, retrieval, sets, spells, stats
@@ -91,18 +91,20 @@ def set_scores_from_rows(spark, sf):
 
 # --- atomic fields --------------------------------------------------------------------
 
-_FIELD_TABLES = ["raw_gold", "field_predictions"]
-_ALIGNED = """
-latest AS (SELECT case_id, max({v}) AS pred FROM field_predictions GROUP BY case_id),
+_FIELD_TABLES = ["raw_gold", "field_answers"]
+_LATEST = """
+latest AS (SELECT * FROM field_answers QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY run DESC) = 1),
+"""
+_ALIGNED = _LATEST + """
 aligned AS (
   SELECT g.case_id, CASE WHEN coalesce(country_label, '') = '' THEN 'unknown' ELSE country_label END AS slice,
-         g.{v} AS gold, l.pred, l.case_id IS NOT NULL AS has_pred
+         g.{v} AS gold, l.{v} AS pred, l.case_id IS NOT NULL AS has_pred
   FROM raw_gold AS g LEFT JOIN latest AS l USING (case_id) WHERE trim(g.case_id) <> '')"""
 
 
 def _aligned(spark, sf, variable):
     gold = derived(spark, sf, "raw_gold").filter("trim(case_id) <> ''")
-    return atomic.align(gold, derived(spark, sf, "field_predictions"), variable)
+    return atomic.align(gold, derived(spark, sf, "field_answers"), variable, order="run")
 
 
 @query("atomic_alignment", oracle(_FIELD_TABLES, "SELECT * FROM aligned", _ALIGNED.format(v="sex")))
@@ -144,8 +146,38 @@ def atomic_accuracy(spark, sf):
         "char_similarity", "char_similarity_when_predicted")
 
 
-# The similarity part has no SQL form; the tests compare it with difflib.
-@query("atomic_similarity")
+# Over ``normal``, with the similarity of the pairs that both sides have.
+SQL_SIMILAR = sql_similarity("""(
+  SELECT pred AS x, gold AS y FROM normal WHERE has_pred AND gn <> '__na__' AND pn <> '__na__')""") + """,
+likened AS (SELECT normal.*, CASE WHEN has_pred AND gn <> '__na__' AND pn <> '__na__' THEN sim END AS sim
+            FROM normal LEFT JOIN alike ON pred = x AND gold = y)"""
+
+
+def _sql_similarity_scores(level: str, part: str, group: str) -> str:
+    both = "round_even(sum(sim) / nullif(count(sim), 0), 6)"
+    predicted = "round_even(sum(sim) / nullif(count(*) FILTER (has_pred AND pn <> '__na__'), 0), 6)"
+
+    def total(condition: str) -> str:
+        return f"CAST(count(*) FILTER (has_pred AND {condition}) AS BIGINT)"
+
+    return f"""
+SELECT '{level}' AS level, {part} AS slice, {both} AS accuracy, {predicted} AS accuracy_when_predicted,
+  {both} AS char_similarity, {predicted} AS char_similarity_when_predicted,
+  {total('gn = pn')} AS n_correct, {total('true')} AS n_total, {total("pn <> '__na__'")} AS n_predicted,
+  {total("gn = pn AND gn = '__na__'")} AS n_na_correct, {total("gn = '__na__'")} AS n_na_gold,
+  {total("pn = '__na__'")} AS n_na_pred, CAST(count(*) FILTER (NOT has_pred) AS BIGINT) AS n_missing
+FROM likened {group}"""
+
+
+def sql_normal_pairs(source: str = "aligned") -> str:
+    return f"""
+normal AS (SELECT *, {sql_normal('gold')} AS gn, {sql_normal('pred')} AS pn FROM {source}),"""
+
+
+@query("atomic_similarity", oracle(
+    _FIELD_TABLES, _sql_similarity_scores("overall", "NULL", "") + " UNION ALL "
+    + _sql_similarity_scores("group", "slice", "GROUP BY slice"),
+    _ALIGNED.format(v="birth_place") + "," + sql_normal_pairs() + SQL_SIMILAR, recursive=True))
 def atomic_similarity(spark, sf):
     return atomic.similarity_as_headline(
         atomic.accuracy(_aligned(spark, sf, "birth_place"), "slice"))

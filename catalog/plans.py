@@ -9,9 +9,10 @@ from catalog.base import (
     sql_number, sql_spells,
 )
 from catalog.metrics import (
-    _COUNTS, _GREEDY, _MACRO, _SET_NAMES, _SPELL_NAMES, _SQL_PRF, _SQL_SCORED, _SUMMARY, _URL_PRF,
-    _predicted_lists,
+    _COUNTS, _FIELD_TABLES, _GREEDY, _LATEST, _MACRO, _SET_NAMES, _SPELL_NAMES, _SQL_PRF, _SQL_SCORED,
+    _SUMMARY, _URL_PRF, SQL_SIMILAR, _predicted_lists, _sql_similarity_scores, sql_normal_pairs,
 )
+from plumbline import registry as R
 from plumbline.plans.evaluate import evaluate, evaluate_many
 from plumbline.plans.inputs import load_inputs, load_training_data
 
@@ -60,14 +61,12 @@ def evaluate_collection(spark, sf):
                     check_empty=False).summary
 
 
-_FIELDS = """
-latest AS (SELECT case_id, max({v}) AS pred FROM field_predictions GROUP BY case_id),
-aligned AS (SELECT g.country_label AS slice, CAST(g.{v} AS VARCHAR) AS gold, l.pred,
+_FIELDS = _LATEST + """
+aligned AS (SELECT g.country_label AS slice, CAST(g.{v} AS VARCHAR) AS gold, l.{v} AS pred,
                    l.case_id IS NOT NULL AS has_pred
             FROM gold AS g LEFT JOIN latest AS l USING (case_id) WHERE g.case_id IN """ + _TEST + """),
 errors AS (SELECT *, CASE WHEN """ + sql_normal("gold") + " <> '__na__' AND " + sql_normal("pred") + (
     " <> '__na__' THEN abs(" + sql_number("pred") + " - " + sql_number("gold") + ") END AS e FROM aligned)")
-_FIELD_TABLES = ["raw_gold", "field_predictions"]
 
 
 @query("evaluate_birth_year", oracle(_FIELD_TABLES, """
@@ -77,8 +76,8 @@ SELECT 'extraction' AS task, 'birth_year' AS variable, round_even(avg(e), 6) AS
   CAST(count(*) FILTER (NOT has_pred) AS BIGINT) AS n_missing FROM errors""",
                                      SQL_GOLD_SPLIT + "," + _FIELDS.format(v="birth_year")))
 def evaluate_birth_year(spark, sf):
-    return evaluate(derived(spark, sf, "field_predictions"), "extraction", "birth_year",
-                    gold=gold_of(spark, sf), check_empty=False).summary
+    return evaluate(derived(spark, sf, "field_answers"), "extraction", "birth_year",
+                    gold=gold_of(spark, sf), order="run", check_empty=False).summary
 
 
 @query("evaluate_birth_year_by_country", oracle(_FIELD_TABLES, """
@@ -86,15 +85,18 @@ SELECT slice AS country, round_even(CAST(count(*) FILTER (e = 0) AS DOUBLE) / nu
   round_even(avg(e), 6) AS mae, CAST(count(e) AS BIGINT) AS n_evaluated
 FROM errors WHERE has_pred GROUP BY slice""", SQL_GOLD_SPLIT + "," + _FIELDS.format(v="birth_year")))
 def evaluate_birth_year_by_country(spark, sf):
-    return evaluate(derived(spark, sf, "field_predictions"), "extraction", "birth_year",
-                    gold=gold_of(spark, sf), check_empty=False).per_country
+    return evaluate(derived(spark, sf, "field_answers"), "extraction", "birth_year",
+                    gold=gold_of(spark, sf), order="run", check_empty=False).per_country
 
 
-# Similarity is the headline here and has no SQL form.
-@query("evaluate_birth_place")
+@query("evaluate_birth_place", oracle(_FIELD_TABLES, f"""
+SELECT 'extraction' AS task, 'birth_place' AS variable, n_total AS n_evaluated, n_missing AS n_skipped,
+  * EXCLUDE (level, slice, n_total) FROM ({_sql_similarity_scores('overall', 'NULL', '')})""",
+    SQL_GOLD_SPLIT + "," + _FIELDS.format(v="birth_place") + "," + sql_normal_pairs() + SQL_SIMILAR,
+    recursive=True))
 def evaluate_birth_place(spark, sf):
-    return evaluate(derived(spark, sf, "field_predictions"), "extraction", "birth_place",
-                    gold=gold_of(spark, sf), check_empty=False).summary
+    return evaluate(derived(spark, sf, "field_answers"), "extraction", "birth_place",
+                    gold=gold_of(spark, sf), order="run", check_empty=False).summary
 
 
 _TEST_SPELLS = SQL_GOLD_SPLIT + "," + sql_spells(f"gold WHERE case_id IN {_TEST} AND", "test_spells").replace(
@@ -176,34 +178,38 @@ def evaluate_subjects_per_class(spark, sf):
                     gold=gold_of(spark, sf), silver=silver_of(spark, sf), check_empty=False).per_class
 
 
-_MANY = ["sex", "edu_degree", "birth_year", "edu_start", "edu_end"]
+_MANY = list(R.ATOMIC_VARIABLES)
 _DEGREE_OF = r"coalesce(nullif(regexp_extract({0}, '^\s*([0-9]+)', 1), ''), {0})"
 _MANY_SQL = ", ".join(f"CAST({v} AS VARCHAR) AS {v}" for v in _MANY)
 
 
 @query("evaluate_many_fields", oracle(_FIELD_TABLES, f"""
 SELECT variable,
-  CASE WHEN is_text THEN round_even(CAST(count(*) FILTER (has_pred AND gn = pn) AS DOUBLE)
+  CASE WHEN judged THEN round_even(sum(sim) / nullif(count(sim), 0), 6)
+       WHEN is_text THEN round_even(CAST(count(*) FILTER (has_pred AND gn = pn) AS DOUBLE)
          / nullif(count(*) FILTER (has_pred), 0), 6)
        ELSE round_even(CAST(count(*) FILTER (e = 0) AS DOUBLE) / nullif(count(e), 0), 6) END AS accuracy,
-  CASE WHEN is_text THEN round_even(CAST(count(*) FILTER (has_pred AND gn = pn AND pn <> '__na__') AS DOUBLE)
+  CASE WHEN judged THEN round_even(sum(sim) / nullif(count(*) FILTER (has_pred AND pn <> '__na__'), 0), 6)
+       WHEN is_text THEN round_even(CAST(count(*) FILTER (has_pred AND gn = pn AND pn <> '__na__') AS DOUBLE)
          / nullif(count(*) FILTER (has_pred AND pn <> '__na__'), 0), 6) END AS accuracy_when_predicted,
   CASE WHEN NOT is_text THEN round_even(avg(e), 6) END AS mae,
   CASE WHEN is_text THEN CAST(count(*) FILTER (has_pred) AS BIGINT) ELSE CAST(count(e) AS BIGINT) END AS n_evaluated,
   CASE WHEN is_text THEN CAST(count(*) FILTER (NOT has_pred) AS BIGINT)
        ELSE CAST(count(*) FILTER (e IS NULL) AS BIGINT) END AS n_skipped
-FROM normal GROUP BY variable, is_text""", SQL_GOLD_SPLIT + f""",
+FROM likened GROUP BY variable, is_text, judged""", SQL_GOLD_SPLIT + "," + _LATEST + f"""
 wanted AS (SELECT case_id, variable, gold FROM (SELECT case_id, {_MANY_SQL} FROM gold WHERE case_id IN {_TEST})
            UNPIVOT INCLUDE NULLS (gold FOR variable IN ({', '.join(_MANY)}))),
-found AS (SELECT case_id, variable, max(pred) AS pred FROM
-          (SELECT case_id, variable, pred FROM (SELECT case_id, {_MANY_SQL} FROM field_predictions)
-           UNPIVOT INCLUDE NULLS (pred FOR variable IN ({', '.join(_MANY)}))) GROUP BY case_id, variable),
-paired AS (SELECT variable, variable IN ('sex', 'edu_degree') AS is_text, f.case_id IS NOT NULL AS has_pred,
+found AS (SELECT case_id, variable, pred FROM (SELECT case_id, {_MANY_SQL} FROM latest)
+          UNPIVOT INCLUDE NULLS (pred FOR variable IN ({', '.join(_MANY)}))),
+paired AS (SELECT variable, variable NOT IN ('birth_year', 'edu_start', 'edu_end') AS is_text,
+             variable IN ('birth_place', 'birth_country') AS judged, f.case_id IS NOT NULL AS has_pred,
              CASE WHEN variable = 'edu_degree' THEN {_DEGREE_OF.format('gold')} ELSE gold END AS gold,
              CASE WHEN variable = 'edu_degree' THEN {_DEGREE_OF.format('pred')} ELSE pred END AS pred
            FROM wanted AS w LEFT JOIN found AS f USING (case_id, variable)),
 normal AS (SELECT *, {sql_normal('gold')} AS gn, {sql_normal('pred')} AS pn,
              CASE WHEN {sql_normal('gold')} <> '__na__' AND {sql_normal('pred')} <> '__na__'
-             THEN abs({sql_number('pred')} - {sql_number('gold')}) END AS e FROM paired)"""))
+             THEN abs({sql_number('pred')} - {sql_number('gold')}) END AS e FROM paired),"""
+    + SQL_SIMILAR.replace("WHERE has_pred", "WHERE judged AND has_pred").replace(
+        "CASE WHEN has_pred", "CASE WHEN judged AND has_pred"), recursive=True))
 def evaluate_many_fields(spark, sf):
-    return evaluate_many(derived(spark, sf, "field_predictions"), gold_of(spark, sf), _MANY)
+    return evaluate_many(derived(spark, sf, "field_answers"), gold_of(spark, sf), _MANY, order="run")

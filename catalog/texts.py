@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import derived, oracle, query, sql_normal, table
+from catalog.base import derived, oracle, query, sql_normal, sql_similarity, table
 from plumbline import registry as R
 from plumbline.functions import parsing as P, prompts, text as T
 from plumbline.operators import codes
@@ -30,8 +30,11 @@ def normalise_chars(spark, sf):
         "doc_id", T.normalise_chars(F.col("text")).alias("plain"))
 
 
-# Ratcliff-Obershelp has no SQL form; the tests compare it with difflib.
-@query("char_similarity")
+@query("char_similarity", oracle([], """
+SELECT p_name, p_type, CAST(count(*) AS BIGINT) AS n, round_even(any_value(sim), 6) AS similarity
+FROM part JOIN alike ON x = p_name AND y = p_type GROUP BY p_name, p_type""",
+                                 "wanted AS (SELECT p_name AS x, p_type AS y FROM part),"
+                                 + sql_similarity("wanted"), recursive=True))
 def char_similarity(spark, sf):
     parts = table(spark, sf, "part").groupBy("p_name", "p_type").agg(F.count(F.lit(1)).alias("n"))
     return parts.select(

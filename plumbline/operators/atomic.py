@@ -8,22 +8,41 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline import registry as R
 from plumbline.functions import text as T
+from plumbline.operators.cleaning import DropReport
 from plumbline.operators.scores import with_overall
 
 
-def last_prediction(predictions: DataFrame, key: str, value: str,
-                    order: str | None = None) -> DataFrame:
-    """One prediction per key: the last by ``order``.
+def last_rows(predictions: DataFrame, key: str, columns: list[str], order: str | None = None,
+              report: DropReport | None = None) -> DataFrame:
+    """One row per key with all ``columns`` of its last prediction by ``order``.
 
-    Without an order column rows have no last; the largest value is taken so
-    that the result never depends on task timing.
+    Rows of a table have no order of their own. Without an order column a key may have several
+    rows only if they are equal; different ones stop the job, as any choice would be a guess.
+    ``report`` counts the predictions that a later one replaces, under ``replaced``.
     """
-    picked = F.max_by(value, order) if order else F.max(value)
-    return predictions.groupBy(F.col(key).cast("string").alias(key)).agg(picked.alias("pred"))
+    row = F.struct(*[F.col(c) for c in columns])
+    if order:
+        picked = F.max_by(row, F.col(order))
+    else:
+        several = F.lit(f"several predictions for one {key}; name the column that orders them: ")
+        picked = F.when(F.min(row) == F.max(row), F.max(row)).otherwise(
+            F.raise_error(F.concat(several, F.coalesce(F.first(F.col(key).cast("string")), F.lit("")))))
+    found = predictions.groupBy(F.col(key).cast("string").alias(key)).agg(
+        picked.alias("_row"), (F.count(F.lit(1)) - 1).alias("_earlier"))
+    if report:
+        found = report.watch_sum(found, "replaced", F.col("_earlier"))
+    return found.select(key, *[F.col(f"_row.{c}").alias(c) for c in columns])
+
+
+def last_prediction(predictions: DataFrame, key: str, value: str, order: str | None = None,
+                    report: DropReport | None = None) -> DataFrame:
+    """(key, pred): the last prediction per key; see ``last_rows``."""
+    return last_rows(predictions, key, [value], order, report).withColumnRenamed(value, "pred")
 
 
 def align(test: DataFrame, predictions: DataFrame, variable: str, key: str = R.CASE_ID,
-          group: str | None = R.COUNTRY, order: str | None = None) -> DataFrame:
+          group: str | None = R.COUNTRY, order: str | None = None,
+          report: DropReport | None = None) -> DataFrame:
     """Every test case with its prediction: (key, slice, gold, pred, has_pred)."""
     has_group = group is not None and group in test.columns
     country = F.col(group).cast("string") if has_group else F.lit(None).cast("string")
@@ -33,7 +52,8 @@ def align(test: DataFrame, predictions: DataFrame, variable: str, key: str = R.C
         .otherwise(country).alias("slice"),
         F.col(variable).alias("gold"),
     )
-    found = last_prediction(predictions, key, variable, order).withColumn("has_pred", F.lit(True))
+    found = last_prediction(predictions, key, variable, order, report).withColumn(
+        "has_pred", F.lit(True))
     return gold.join(found, key, "left").withColumn("has_pred", F.coalesce("has_pred", F.lit(False)))
 
 
@@ -41,8 +61,8 @@ def accuracy(aligned: DataFrame, group: str | None = None, similarity: bool = Tr
     """Exact-match accuracy with missing values as a class of their own.
 
     One row per group and one overall. Rows are counted per distinct value pair
-    first, so the similarity function sees each pair once per group. Rows with a
-    false ``has_pred`` only count as missing.
+    first, and the similarity function sees each pair once, whatever the number of
+    groups that hold it. Rows with a false ``has_pred`` only count as missing.
     """
     groups = [group] if group else []
     values = aligned.select(
@@ -50,13 +70,16 @@ def accuracy(aligned: DataFrame, group: str | None = None, similarity: bool = Tr
         F.col("gold").cast("string").alias("_g"), F.col("pred").cast("string").alias("_p"))
     pairs = values.groupBy(*groups, "_has", "_g", "_p").agg(F.count(F.lit(1)).alias("_n"))
     gold, pred = T.normalise_value(F.col("_g")), T.normalise_value(F.col("_p"))
+    if similarity:
+        both = pairs.filter((gold != R.NA_SENTINEL) & (pred != R.NA_SENTINEL))
+        alike = both.select("_g", "_p").distinct().withColumn(
+            "_sim", T.char_similarity(F.col("_p"), F.col("_g")))
+        pairs = pairs.join(alike, ["_g", "_p"], "left")
+    else:
+        pairs = pairs.withColumn("_sim", F.lit(None).cast("double"))
     flags = pairs.select(
-        *groups, "_has", "_n", (gold == pred).alias("_eq"),
-        (gold == R.NA_SENTINEL).alias("_gna"), (pred == R.NA_SENTINEL).alias("_pna"),
-        (F.when((gold != R.NA_SENTINEL) & (pred != R.NA_SENTINEL),
-                T.char_similarity(F.col("_p"), F.col("_g")))
-         if similarity else F.lit(None).cast("double")).alias("_sim"),
-    )
+        *groups, "_has", "_n", (gold == pred).alias("_eq"), "_sim",
+        (gold == R.NA_SENTINEL).alias("_gna"), (pred == R.NA_SENTINEL).alias("_pna"))
     has = F.col("_has")
 
     def total(condition: Column) -> Column:

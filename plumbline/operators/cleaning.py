@@ -29,6 +29,12 @@ class DropReport:
             observation, F.coalesce(F.count_if(dropped), F.lit(0)).alias("n_dropped")
         )
 
+    def watch_sum(self, df: DataFrame, step: str, dropped: Column) -> DataFrame:
+        """The same for rows that stand for several."""
+        observation = Observation(f"{step}-{id(self)}")
+        self._steps[step] = observation
+        return df.observe(observation, F.coalesce(F.sum(dropped), F.lit(0)).alias("n_dropped"))
+
     def counts(self) -> dict[str, int]:
         return {step: obs.get["n_dropped"] for step, obs in self._steps.items()}
 
@@ -190,10 +196,14 @@ def annotation_spec(variable: str | None) -> R.AnnotationVariable:
     return R.ANNOTATION_VARIABLES[variable]
 
 
-def semi_by_id(df: DataFrame, ids: DataFrame, key: str = R.CASE_ID) -> DataFrame:
-    """Rows whose key, as text, is among ``ids``."""
+def semi_by_id(df: DataFrame, ids: DataFrame, key: str = R.CASE_ID,
+               report: DropReport | None = None, step: str = "unmatched") -> DataFrame:
+    """Rows whose key, as text, is among ``ids``; ``report`` counts the others."""
     wanted = ids.select(F.col(key).cast("string").alias("_id")).distinct()
-    return df.join(wanted, F.col(key).cast("string") == F.col("_id"), "left_semi")
+    found = F.col(key).cast("string") == F.col("_id")
+    if report is None:
+        return df.join(wanted, found, "left_semi")
+    return _drop(df.join(wanted, found, "left"), F.col("_id").isNull(), step, report).drop("_id")
 
 
 def anti_by_id(df: DataFrame, ids: DataFrame, key: str = R.CASE_ID) -> DataFrame:

@@ -116,43 +116,43 @@ def _tagged(summary: DataFrame, task: str, variable: str | None, **extra) -> Dat
 def evaluate(predictions: DataFrame, task: str, variable: str | None = None, *,
              gold: DataFrame, silver: DataFrame | None = None, granularity: str = "fine",
              tolerance_years: int | None = None, label_vectors: DataFrame | None = None,
-             order: str | None = None, check_empty: bool = True) -> Evaluation:
+             order: str | None = None, check_empty: bool = True,
+             report: C.DropReport | None = None) -> Evaluation:
     """Align predictions to the test side of ``gold`` and score them.
 
     predictions: (case_id, retrieved_urls), (case_id, <variable>) or
     (case_id, spell_index, predicted_code). ``gold`` and ``silver`` are cleaned
     tables. ``order`` names a column that says which of several predictions for
-    one case is the last. ``label_vectors`` (label, vector) adds the mean
-    similarity of predicted and gold labels.
+    one case is the last; without it different predictions for a case stop the job.
+    ``report`` counts the predictions that later ones replace. ``label_vectors``
+    (label, vector) adds the mean similarity of predicted and gold labels.
     """
     _validate(predictions, task, variable, granularity, check_empty)
     if task == "collection":
-        return _collection(predictions, apply_split(gold, "test"), order)
+        return _collection(predictions, apply_split(gold, "test"), order, report)
     if task == "extraction":
         test = apply_split(gold, "test")
         if variable in R.ATOMIC_VARIABLES:
-            return _atomic(predictions, test, variable, order)
-        return _composite(predictions, test, variable, tolerance_years, order)
+            return _atomic(predictions, test, variable, order, report)
+        return _composite(predictions, test, variable, tolerance_years, order, report)
     return _annotation(predictions, gold, silver, variable, granularity, label_vectors)
 
 
-def _latest(predictions: DataFrame, column: str, order: str | None) -> DataFrame:
-    return atomic.last_prediction(predictions, R.CASE_ID, column, order).withColumnRenamed(
-        "pred", column)
-
-
-def _collection(predictions: DataFrame, test: DataFrame, order: str | None) -> Evaluation:
+def _collection(predictions: DataFrame, test: DataFrame, order: str | None,
+                report: C.DropReport | None) -> Evaluation:
     _require(predictions, [R.URLS_RETRIEVED])
-    per_case = sets.score_arrays(_latest(predictions, R.URLS_RETRIEVED, order), test)
+    found = atomic.last_rows(predictions, R.CASE_ID, [R.URLS_RETRIEVED], order, report)
+    per_case = sets.score_arrays(found, test)
     return Evaluation("collection", None, _tagged(sets.macro(per_case), "collection", None),
                       per_case=per_case.filter(~F.col("skipped")).drop("skipped"))
 
 
 def _composite(predictions: DataFrame, test: DataFrame, variable: str,
-               tolerance: int | None, order: str | None) -> Evaluation:
+               tolerance: int | None, order: str | None,
+               report: C.DropReport | None) -> Evaluation:
     _require(predictions, [variable])
     years = R.TOLERANCE_YEARS if tolerance is None else tolerance
-    found = _latest(predictions, variable, order)
+    found = atomic.last_rows(predictions, R.CASE_ID, [variable], order, report)
     found = found.withColumn("predicted", predicted_spells(found, variable))
     per_case = spells.score_lists(found, gold_spell_lists(test), tolerance=years)
     summary = _tagged(sets.macro(per_case), "extraction", variable, tolerance_years=years)
@@ -165,10 +165,10 @@ def atomic_values(variable: str, value: Column) -> Column:
     return T.degree_prefix(value) if variable in R.DEGREE_PREFIX_VARIABLES else value
 
 
-def _atomic(predictions: DataFrame, test: DataFrame, variable: str,
-            order: str | None) -> Evaluation:
+def _atomic(predictions: DataFrame, test: DataFrame, variable: str, order: str | None,
+            report: C.DropReport | None) -> Evaluation:
     _require(predictions, [variable])
-    aligned = atomic.align(test, predictions, variable, order=order)
+    aligned = atomic.align(test, predictions, variable, order=order, report=report)
     if R.ATOMIC_VARIABLES[variable] == "int":
         levels = atomic.mean_error(aligned, "slice").withColumn(
             "_aligned", F.col("n_total") + F.col("n_skipped"))
@@ -224,11 +224,12 @@ def _annotation(predictions: DataFrame, gold: DataFrame, silver: DataFrame | Non
 
 
 def evaluate_many(predictions: DataFrame, gold: DataFrame, variables: list[str],
-                  by_country: bool = False) -> DataFrame:
+                  by_country: bool = False, order: str | None = None,
+                  report: C.DropReport | None = None) -> DataFrame:
     """All atomic variables in one job: one row per variable (and country).
 
-    Both sides are turned into (case, variable, value) rows, so the variables
-    share one alignment join instead of one each.
+    Cases meet their last prediction, all variables at once, in one join; then both
+    sides become (case, variable, value) rows. ``order`` and ``report`` as for ``evaluate``.
     """
     unknown = sorted(set(variables) - set(R.ATOMIC_VARIABLES))
     if unknown:
@@ -236,13 +237,17 @@ def evaluate_many(predictions: DataFrame, gold: DataFrame, variables: list[str],
     _require(predictions, [R.CASE_ID, *variables])
     test = apply_split(gold, "test")
     country = F.coalesce(F.nullif(F.col(R.COUNTRY), F.lit("")), F.lit(R.UNKNOWN_COUNTRY))
-    wanted = atomic.long_values(
-        test.withColumn("country", country), variables, keep=("country",), name="gold")
-    found = atomic.long_values(predictions, variables, name="pred")
-    found = found.groupBy(R.CASE_ID, "variable").agg(F.max("pred").alias("pred"),
-                                                     F.lit(True).alias("has_pred"))
-    aligned = wanted.join(found, [R.CASE_ID, "variable"], "left").withColumn(
-        "has_pred", F.coalesce("has_pred", F.lit(False)))
+    found = atomic.last_rows(predictions, R.CASE_ID, variables, order, report).select(
+        R.CASE_ID, F.lit(True).alias("has_pred"),
+        F.struct(*[F.col(v).cast("string").alias(v) for v in variables]).alias("_pred"))
+    cases = test.select(
+        F.col(R.CASE_ID).cast("string").alias(R.CASE_ID), country.alias("country"),
+        F.struct(*[F.col(v).cast("string").alias(v) for v in variables]).alias("_gold"))
+    aligned = cases.join(found, R.CASE_ID, "left").select(
+        "country", F.coalesce("has_pred", F.lit(False)).alias("has_pred"),
+        F.inline(F.array(*[F.struct(
+            F.lit(v).alias("variable"), F.col(f"_gold.{v}").alias("gold"),
+            F.col(f"_pred.{v}").alias("pred")) for v in variables])))
     by_degree = F.col("variable").isin(*R.DEGREE_PREFIX_VARIABLES)
     aligned = aligned.withColumns({
         c: F.when(by_degree, T.degree_prefix(F.col(c))).otherwise(F.col(c))
@@ -252,7 +257,11 @@ def evaluate_many(predictions: DataFrame, gold: DataFrame, variables: list[str],
     is_number = F.col("variable").isin(
         *[v for v, kind in R.ATOMIC_VARIABLES.items() if kind == "int"])
     numbers = atomic.mean_error(aligned.filter(is_number), "slice")
-    texts = atomic.accuracy(aligned.filter(~is_number), "slice")
+    # Only variables judged by it pay for the similarity.
+    judged = F.col("variable").isin(*R.SIMILARITY_HEADLINE_VARIABLES)
+    texts = atomic.accuracy(aligned.filter(~is_number & ~judged), "slice", similarity=False)
+    if set(variables) & set(R.SIMILARITY_HEADLINE_VARIABLES):
+        texts = texts.unionByName(atomic.accuracy(aligned.filter(judged), "slice"))
     pieces = F.split("slice", "\x1f")
     names = [pieces[0].alias("variable")] + ([pieces[1].alias("country")] if by_country else [])
     headline = pieces[0].isin(*R.SIMILARITY_HEADLINE_VARIABLES)

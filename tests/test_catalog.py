@@ -16,7 +16,7 @@ from plumbline import evaluate_many, registry as R
 from plumbline.operators.splits import apply_split
 
 SF = "/root/testdata/sf0.001"
-NO_SQL_FORM = {"char_similarity", "atomic_similarity", "evaluate_birth_place"}
+NO_SQL_FORM: set[str] = set()
 SAMPLE = [
     "document_quality_scores", "stratified_split", "duplicated_case_drop", "set_scores_from_rows",
     "interval_match_from_rows", "nearest_examples", "resolve_codes_fine", "reconcile_failures",
