@@ -1,19 +1,22 @@
 """Operator 5: byte-level BPE encoding and decoding with higher-order functions.
 
 Texts are packed in blocks: the distinct pieces of a block once, and each text as indices into
-them. Spark higher-order functions fold the ranked merges over the bytes of each distinct piece,
-looking ranks up in a literal rank map; ids of a text are then put together by index. Decoding
-concatenates the bytes of the ids. Nothing is shuffled.
+them. Spark higher-order functions fold the ranked merges over the bytes of each distinct piece
+that is no token itself; ids of a text are then put together by index. Decoding concatenates the
+bytes of the ids. No text is shuffled.
 
-The rank maps are literals. Whole pieces are found by their bytes in hexadecimal: maps in an
-array, chosen by a checksum, because a map alone is searched from its start. Pairs are found by
-the ids of both sides in a perfect hash table. A fold copies its state at each step, so pieces
-over ``FOLD_BYTES`` bytes, where that would grow with the square of their length, are merged by
-a heap with the same result.
+Pieces that many blocks share are folded once for the table: about ``SAMPLE_DOCS`` rows are drawn
+and the up to ``COMMON_PIECES`` pieces that most of them hold go to all tasks with their ids. Rare
+pieces, which hardly any two blocks share, are folded in their block. Sample and bound decide where
+a piece is folded, never its ids.
+
+The ranks of pairs are a literal, found by the ids of both sides in a perfect hash table. A fold
+copies its state at each step, so pieces over ``FOLD_BYTES`` bytes, where that would grow with the
+square of their length, are merged by a heap with the same result.
 
 Edge cases: null and empty texts have no id; ids of rows may be null or repeat; one text may be
 larger than a block and then fills one alone; an empty table gives no row; columns other than
-the id and the text are ignored.
+the id and the text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ import hashlib
 import heapq
 import json
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,16 +36,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.chunks import cut
-from plumbline.llm.common import id_text, prepare, small_batches
+from plumbline.llm.common import id_text, prepare, shuffle_partitions, small_batches
 
 FOLD_BYTES = 200
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
+SAMPLE_DOCS = 8_000
+COMMON_PIECES = 1 << 17
 _BUCKETS = 16384
 _SPREAD = (8191, 40503, 92821)
 _ID_BITS = 20
 _NONE = 1 << _ID_BITS
-BLOCKS = ("doc_ids array<long>, sizes array<int>, codes array<int>, "
-          "words array<string>, octets array<array<int>>, long_at array<int>, long_words array<binary>")
+BLOCKS = ("doc_ids array<long>, sizes array<int>, codes array<int>, counts array<int>, "
+          "solved array<int>, octets array<array<int>>, long_at array<int>, long_words array<binary>")
 _pieces: dict[str, object] = {}
 
 
@@ -109,14 +115,15 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def merge_fold(word: Column, octets: Column, ranks: dict[bytes, int]) -> Column:
+def merge_fold(word: Column | None, octets: Column, ranks: dict[bytes, int]) -> Column:
     """The ids of each piece: its own rank, or the fold of its ranked merges over its bytes.
 
-    ``word`` has the pieces in hexadecimal, ``octets`` their bytes. The state of a fold is one
+    ``word`` has the pieces in hexadecimal, ``octets`` their bytes; without ``word`` the pieces are
+    known to be no tokens. The state of a fold is one
     number for each part: the rank of the pair that it starts, then its id. The rank of a pair
     is the id of what the pair becomes.
     """
-    names, start = rank_literal(ranks), start_literal(ranks)
+    start = start_literal(ranks)
     tables = pair_table(ranks)
     n_shifts, n_slots = map(len, tables)
     shifts, slots = (F.from_json(F.lit(json.dumps(t.tolist())), "array<long>") for t in tables)
@@ -143,15 +150,18 @@ def merge_fold(word: Column, octets: Column, ranks: dict[bytes, int]) -> Column:
         return _let(F.array_min(s), lambda best: F.when(best >= none, s).otherwise(_let(
             F.array_position(s, best).cast("int"), lambda at: merged(s, best, at))))
 
-    def one(w: Column, octet: Column) -> Column:
+    def fold(octet: Column) -> Column:
         rest = F.slice(octet, F.lit(2), F.size(octet))
         first = F.zip_with(octet, rest, lambda a, b: F.element_at(
             start, a * 257 + F.coalesce(b, F.lit(256)) + 1))
-        folded = F.aggregate(rest, first, step, lambda s: F.transform(
+        return F.aggregate(rest, first, step, lambda s: F.transform(
             s, lambda x: x.bitwiseAND(mask).cast("int")))
-        return _let(_rank(names, w), lambda own: F.when(own.isNotNull(), F.array(own)).otherwise(folded))
 
-    return F.zip_with(word, octets, one)
+    if word is None:
+        return F.transform(octets, fold)
+    names = rank_literal(ranks)
+    return F.zip_with(word, octets, lambda w, octet: _let(_rank(names, w), lambda own: F.when(
+        own.isNotNull(), F.array(own)).otherwise(fold(octet))))
 
 
 def merge_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -230,14 +240,19 @@ class _Block:
         self.ids.append(ids)
         self.bytes += int(pc.sum(pc.binary_length(texts)).as_py() or 0)
 
-    def row(self) -> pa.RecordBatch:
+    def row(self, solved: dict[bytes, bytes]) -> pa.RecordBatch:
+        """One row; ``solved`` has the ids of tokens and of common pieces, ready to be joined."""
         raw = [w.encode() for w in self.words]
-        long_at = [i for i, w in enumerate(raw) if len(w) > FOLD_BYTES]
-        held = set(long_at)
-        short = [w if i not in held else b"" for i, w in enumerate(raw)]
-        ends = np.r_[0, np.cumsum([len(w) for w in short])].astype(np.int32)
-        octets = pa.ListArray.from_arrays(
-            pa.array(ends), pa.array(np.frombuffer(b"".join(short), np.uint8).astype(np.int32)))
+        found = [solved.get(w) for w in raw]
+        fold, long_at = [], []
+        for i, ids in enumerate(found):
+            if ids is None:
+                if len(raw[i]) > FOLD_BYTES:
+                    long_at.append(i)
+                else:
+                    fold.append(raw[i])
+        known = [ids or b"" for ids in found]
+        counts = np.fromiter(map(len, known), np.int32, len(known)) // 4
 
         def one(values, kind):
             values = pa.array(values, kind) if not isinstance(values, pa.Array) else values
@@ -246,32 +261,102 @@ class _Block:
         return pa.RecordBatch.from_arrays([
             one(pa.concat_arrays(self.ids), None),
             one(np.concatenate(self.sizes).astype(np.int32), pa.int32()),
-            one(np.concatenate(self.codes), pa.int32()), one([w.hex().upper() for w in short], pa.string()),
-            one(octets, None), one(long_at, pa.int32()), one([raw[i] for i in long_at], pa.binary()),
+            one(np.concatenate(self.codes), pa.int32()), one(counts, pa.int32()),
+            one(np.frombuffer(b"".join(known), "<i4"), pa.int32()), one(octet_lists(fold), None),
+            one(long_at, pa.int32()), one([raw[i] for i in long_at], pa.binary()),
         ], [f.split()[0] for f in BLOCKS.split(", ")])
 
 
-def _pack(block_bytes: int):
+def octet_lists(words: list[bytes]) -> pa.ListArray:
+    """The bytes of each word as integers."""
+    ends = np.r_[0, np.cumsum([len(w) for w in words])].astype(np.int32)
+    return pa.ListArray.from_arrays(
+        pa.array(ends), pa.array(np.frombuffer(b"".join(words), np.uint8).astype(np.int32)))
+
+
+def _pack(block_bytes: int, solved):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = _Block()
+        block, known = _Block(), solved.value
         for batch in small_batches(batches, "text", 4 << 20):
             block.add(batch.column(0), pc.fill_null(batch.column(1), ""))
             if block.bytes >= block_bytes:
-                yield block.row()
+                yield block.row(known)
                 block = _Block()
         if block.ids:
-            yield block.row()
+            yield block.row(known)
 
     return run
 
 
+def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found: Counter = Counter()
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            found.update({m[0] for m in _pattern().finditer(text)})
+            if len(found) > 1 << 20:
+                yield _counted(found)
+                found = Counter()
+    if found:
+        yield _counted(found)
+
+
+def _counted(found: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([w.encode() for w in found], pa.binary()),
+                                       pa.array(list(found.values()), pa.int64())], ["piece", "rows"])
+
+
+def _word_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = batch.column(0).to_pylist()
+        for lo in range(0, len(words), 2048):
+            some = words[lo:lo + 2048]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([some], pa.list_(pa.binary())),
+                 pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), octet_lists(some))],
+                ["words", "octets"])
+
+
+def common_pieces(docs: DataFrame, ranks: dict[bytes, int]) -> dict[bytes, bytes]:
+    """Ids, as little-endian 32-bit integers, of pieces that at least two sampled rows hold.
+
+    Tokens and pieces over ``FOLD_BYTES`` are left out. At most ``COMMON_PIECES`` come to the driver.
+    """
+    spark = docs.sparkSession
+    share = SAMPLE_DOCS / max(SAMPLE_DOCS, docs.count())
+    rows = docs.select(F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+    counted = rows.filter(F.rand(5) < share).mapInArrow(_piece_rows, "piece binary, rows long").groupBy(
+        "piece").agg(F.sum("rows").alias("rows"))
+    tokens = spark.sparkContext.broadcast(frozenset(ranks))
+
+    def untold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([w not in tokens.value for w in batch.column(0).to_pylist()],
+                                        pa.bool_()))
+
+    best = (counted.filter((F.col("rows") > 1) & (F.octet_length("piece") <= FOLD_BYTES))
+            .mapInArrow(untold, "piece binary, rows long").orderBy(F.desc("rows"), "piece")
+            .limit(COMMON_PIECES).select("piece").repartition(shuffle_partitions(spark), "piece"))
+    folded = best.mapInArrow(_word_blocks, "words array<binary>, octets array<array<int>>").select(
+        "words", merge_fold(None, F.col("octets"), ranks).alias("ids")).toArrow()
+    out = {}
+    for batch in folded.to_batches():
+        words, ids = batch.column(0).flatten(), batch.column(1).flatten()
+        flat, at = np.asarray(ids.flatten(), np.int64).astype("<i4"), np.asarray(ids.offsets, np.int64)
+        at = at - at[0]
+        for word, lo, hi in zip(words.to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+            out[word] = flat[lo:hi].tobytes()
+    return out
+
+
 def encode_blocks(docs: DataFrame, ranks: dict[bytes, int],
                   block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Blocks of texts with the ids of each distinct piece."""
     prepare(docs.sparkSession)
-    fold = merge_fold(F.col("words"), F.col("octets"), ranks)
-    return id_text(docs).mapInArrow(_pack(block_bytes), BLOCKS).select(
-        "doc_ids", "sizes", "codes", "long_at", "long_words", fold.alias("encoded"))
+    solved = {word: rank.to_bytes(4, "little") for word, rank in ranks.items()}
+    shared = docs.sparkSession.sparkContext.broadcast(solved | common_pieces(docs, ranks))
+    fold = merge_fold(None, F.col("octets"), ranks)
+    return id_text(docs).mapInArrow(_pack(block_bytes, shared), BLOCKS).select(
+        "doc_ids", "sizes", "codes", "counts", "solved", "long_at", "long_words", fold.alias("encoded"))
 
 
 def texts_of_blocks(blocks: DataFrame, ranks: dict[bytes, int], emit, schema: str) -> DataFrame:
@@ -286,11 +371,15 @@ def texts_of_blocks(blocks: DataFrame, ranks: dict[bytes, int], emit, schema: st
         known, parts = shared.value
         for batch in batches:
             for r in range(batch.num_rows):
-                ids, sizes, codes, long_at, long_words, encoded = (
-                    batch.column(i)[r].values for i in range(6))
-                flat = np.asarray(encoded.flatten()).astype(np.int64)
+                ids, sizes, codes, counts, solved, long_at, long_words, encoded = (
+                    batch.column(i)[r].values for i in range(8))
+                counts = np.array(counts, np.int64)
+                begins = np.cumsum(counts) - counts
                 at = np.asarray(encoded.offsets).astype(np.int64)
-                begins, counts = at[:-1] - at[0], np.diff(at)
+                # Pieces without ids were folded, in their order; long ones come after them.
+                open_at = np.setdiff1d(np.flatnonzero(counts == 0), np.asarray(long_at), True)
+                begins[open_at], counts[open_at] = len(solved) + at[:-1] - at[0], np.diff(at)
+                flat = np.concatenate([np.asarray(solved), np.asarray(encoded.flatten())]).astype(np.int64)
                 for i, word in zip(long_at.to_pylist(), long_words.to_pylist(), strict=True):
                     found = merge_heap(word, known)
                     begins[i], counts[i] = len(flat), len(found)
