@@ -32,17 +32,19 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.coded import BLOCK_BYTES, Vocabulary, added, slices
+from plumbline.llm.coded import Vocabulary, slices
 from plumbline.llm.common import prepare, small_batches, stored, utf8_values
 
 SUPPORT = 10
 SHARDS = 4
+BLOCK_BYTES = 24 << 20
 RANKS = 2000
 INSIDE_PERCENT = 50
 FILTER_BITS = {1: 1 << 25, 2: 1 << 26}
 _PROBES = 3
-# A-Z become a-z, ends of pieces become line ends, tabs become blanks.
-_TEXT = bytes(10 if i in b".,;:!?\n\x0b\x0c\r" else 32 if i == 9 else i + 32 if 65 <= i < 91 else i
+# A-Z become a-z, tabs blanks, and ends of pieces a byte that no UTF-8 text has.
+_END = b"\xff"
+_TEXT = bytes(255 if i in b".,;:!?\n\x0b\x0c\r" else 32 if i == 9 else i + 32 if 65 <= i < 91 else i
               for i in range(256))
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -116,72 +118,92 @@ def frequent_parts(phrases: DataFrame, bits: int) -> FrequentParts:
 # Counting inside tasks
 
 class _Block:
-    """The words of some texts by (language, shard), as codes; -1 ends a piece."""
+    """The words of some texts by language, as codes with their shards; -1 ends a piece."""
 
     def __init__(self):
         self.vocabulary = Vocabulary()
-        self.end, self.none = self.vocabulary.code([b"\n", b""]).tolist()
-        self.codes: dict[tuple[str, int], list[np.ndarray]] = {}
+        self.end = int(self.vocabulary.code([_END])[0])
+        self.codes: dict[str, list[tuple[int, np.ndarray]]] = {}
         self.bytes = 0
 
     def add(self, lang: str, shard: int, raw: bytes) -> None:
-        into = self.codes.setdefault((lang, shard), [])
-        for part in slices(raw.translate(_TEXT), b"\n"):
-            codes = self.vocabulary.code(part.replace(b"\n", b" \n ").split(b" "))
-            codes = codes[codes != self.none]
+        into = self.codes.setdefault(lang, [])
+        for part in slices(raw.translate(_TEXT), _END):
+            codes = self.vocabulary.code((part + _END).replace(_END, b" " + _END + b" ").split())
             codes[codes == self.end] = -1
-            into += [codes, np.array([-1])]
+            into.append((shard, codes))
         self.bytes += len(raw)
 
-    def counts(self, length: int, parts: FrequentParts | None) -> Iterator[pa.RecordBatch]:
+    def counts(self, length: int, parts: FrequentParts | None, shards: int) -> Iterator[pa.RecordBatch]:
         words = self.vocabulary.array()
         hashes = word_hashes(self.vocabulary.words()) if parts else None
-        for (lang, shard), listed in self.codes.items():
-            found, n = _phrases(np.concatenate(listed), length, lang, hashes, parts)
+        for lang, listed in self.codes.items():
+            codes = np.concatenate([c for _, c in listed])
+            shard = np.repeat(np.array([s for s, _ in listed], np.int64), [len(c) for _, c in listed])
+            here = _starts(codes, length, lang, hashes, parts)
+            found, n = _counted(codes, here, length, shard[here], shards)
             for lo in range(0, len(n), 1 << 16):
                 some = slice(lo, lo + (1 << 16))
                 text = [words.take(pa.array(c[some])) for c in found]
                 phrase = text[0] if length == 1 else pc.binary_join_element_wise(*text, b" ")
-                size = len(n[some])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang]).take(pa.array(np.zeros(size, np.int8))),
-                     pa.array(np.full(size, shard, np.int32)), phrase.cast(pa.string()),
-                     pa.array(n[some])], ["lang", "shard", "phrase", "n"])
+                    [pa.array([lang]).take(pa.array(np.zeros(len(phrase), np.int8))),
+                     phrase.cast(pa.string()), *[pa.array(x) for x in n[some].T]],
+                    ["lang", "phrase", *_columns(shards)])
 
 
-def _phrases(codes: np.ndarray, length: int, lang: str, hashes: np.ndarray | None,
-             parts: FrequentParts | None) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct phrases of a length, as one array of codes for each word, and their counts.
+def _columns(shards: int) -> list[str]:
+    return [f"n{i}" for i in range(shards)]
 
-    Only phrases whose parts, without the last or the first word, may be frequent.
-    """
+
+def _starts(codes: np.ndarray, length: int, lang: str, hashes: np.ndarray | None,
+            parts: FrequentParts | None) -> np.ndarray:
+    """Where phrases start whose parts, without the last or the first word, may be frequent."""
     if length == 1:
-        code, n = np.unique(codes[codes >= 0], return_counts=True)
-        return [code], n
-    size = np.int64(max(1, codes.max(initial=0) + 1))
-    held = codes >= 0
+        return np.flatnonzero(codes >= 0)
     if length == 2:
-        known = np.unique(codes[held])
-        good = np.zeros(size + 1, bool)  # the last is the end of a piece, at -1
+        known = np.unique(codes[codes >= 0])
+        good = np.zeros(max(1, codes.max(initial=0) + 1) + 1, bool)  # the last is the end, at -1
         good[known] = parts.may_hold(lang, hashes[known])
-        here = np.flatnonzero(good[codes[:-1]] & good[codes[1:]])
-        key, n = np.unique(codes[here] * size + codes[here + 1], return_counts=True)
-        return [key // size, key % size], n
-    here = np.flatnonzero(held[:-1] & held[1:])
-    pair, number = np.unique(codes[here] * size + codes[here + 1], return_inverse=True)
-    good = parts.may_hold(lang, joined_hashes(hashes[pair // size], hashes[pair % size]))
-    numbers = np.full(len(codes), -1, np.int64)
-    numbers[here] = np.where(good[number], number, -1)
-    first = np.flatnonzero((numbers[:-1] >= 0) & (numbers[1:] >= 0))
-    key, n = np.unique(numbers[first] * size + codes[first + 2] if len(first) else first,
-                       return_counts=True)
-    head = pair[key // size]
-    return [head // size, head % size, key % size], n
+        return np.flatnonzero(good[codes[:-1]] & good[codes[1:]])
+    pairs = np.flatnonzero((codes[:-1] >= 0) & (codes[1:] >= 0))
+    good = np.zeros(len(codes), bool)
+    good[pairs] = parts.may_hold(lang, joined_hashes(hashes[codes[pairs]], hashes[codes[pairs + 1]]))
+    return np.flatnonzero(good[:-1] & good[1:])
+
+
+def _counted(codes: np.ndarray, here: np.ndarray, length: int, shard: np.ndarray,
+             shards: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct phrases, as one array of codes for each word, and their counts by shard."""
+    size = int(codes.max(initial=0)) + 1
+    if size ** length * shards < 1 << 63:
+        key = codes[here]
+        for i in range(1, length):
+            key = key * size + codes[here + i]
+    else:  # too many words for one number: number the beginnings first
+        heads, key = codes[here], None
+        if length == 3:
+            heads, key = np.unique(heads * size + codes[here + 1], return_inverse=True)
+        key = (heads if key is None else key) * size + codes[here + length - 1]
+    both, n = np.unique(key * shards + shard, return_counts=True)
+    key = both // shards
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else key
+    out = np.zeros((len(first), shards), np.int64)
+    row = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(key)])) if len(key) else key
+    out[row, both % shards] = n
+    key, words = key[first], []
+    if size ** length * shards >= 1 << 63 and length == 3:
+        words, key = [key % size], heads[key // size]
+        length = 2
+    for _ in range(length - 1):
+        words.append(key % size)
+        key = key // size
+    return [key, *words[::-1]], out
 
 
 def shard_counts(docs: DataFrame, length: int, parts: FrequentParts | None = None,
                  shards: int = SHARDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """lang, shard, phrase, n: counts of the phrases of ``length`` words, several rows for each."""
+    """lang, phrase and its count in each shard, of phrases of ``length`` words; several rows for each."""
     spark = docs.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(parts)
@@ -193,36 +215,55 @@ def shard_counts(docs: DataFrame, length: int, parts: FrequentParts | None = Non
                                         utf8_values(batch.column(2)), strict=True):
                 block.add(lang, shard, raw)
                 if block.bytes >= block_bytes:
-                    yield from block.counts(length, known)
+                    yield from block.counts(length, known, shards)
                     block = _Block()
         if block.bytes:
-            yield from block.counts(length, known)
+            yield from block.counts(length, known, shards)
 
     text = docs["text"].cast("string")
     rows = docs.filter(text.isNotNull()).select(
         F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang"),
         F.pmod(F.xxhash64(text, F.lit("shard")), F.lit(shards)).cast("int").alias("shard"),
         text.alias("text"))
-    return rows.mapInArrow(run, "lang string, shard int, phrase string, n long")
+    return rows.mapInArrow(run, ", ".join(
+        ["lang string", "phrase string", *[f"{c} long" for c in _columns(shards)]]))
 
 
 # Shards
 
+def _shard_columns(counts: DataFrame) -> list[str]:
+    return _columns(len(counts.columns) - 2)
+
+
+def all_shards(counts: DataFrame) -> DataFrame:
+    """One row for each phrase with its counts in all shards."""
+    return counts.groupBy("lang", "phrase").agg(
+        *[F.sum(c).alias(c) for c in _shard_columns(counts)])
+
+
 def local_supports(words: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """lang, shard, least: the support times the shard's share of the words, rounded up."""
-    sizes = words.groupBy("lang", "shard").agg(F.sum("n").alias("n"))
-    whole = F.sum("n").over(Window.partitionBy("lang"))
-    scaled = F.col("n").cast("decimal(20,0)") * F.lit(support).cast("decimal(10,0)")
-    return sizes.select("lang", "shard", "n", whole.alias("lang_n"),
-                        F.ceil(scaled / whole).cast("long").alias("least"))
+    """lang, n (its words), sizes and least: by shard its words and the support times its share of
+    the words, rounded up."""
+    sums = words.groupBy("lang").agg(*[F.sum(c).alias(c) for c in _shard_columns(words)])
+    n = sum((F.col(c) for c in _shard_columns(words)), F.lit(0).cast("long"))
+
+    def least(c: str) -> Column:
+        return F.ceil(F.col(c).cast("decimal(20,0)") * F.lit(support).cast("decimal(10,0)") / n).cast("long")
+
+    return sums.filter(n > 0).select(
+        "lang", n.alias("n"), F.array(*_shard_columns(words)).alias("sizes"),
+        F.array(*[least(c) for c in _shard_columns(words)]).alias("least"))
 
 
 def locally_frequent(counts: DataFrame, supports: DataFrame) -> DataFrame:
     """lang, phrase, frequent (in some shard at its local support) and n over all shards."""
-    per_shard = counts.groupBy("lang", "phrase", "shard").agg(F.sum("n").alias("n"))
-    return per_shard.join(supports.select("lang", "shard", "least"), ["lang", "shard"]).groupBy(
-        "lang", "phrase").agg(F.max(F.col("n") >= F.col("least")).alias("frequent"),
-                              F.sum("n").alias("n"))
+    columns = _shard_columns(counts)
+    known = supports.select("lang", "least")
+    some = F.lit(False)
+    for i, c in enumerate(columns):
+        some = some | ((F.col(c) > 0) & (F.col(c) >= F.col("least")[i]))
+    return counts.join(known, "lang").select(
+        "lang", "phrase", some.alias("frequent"), sum((F.col(c) for c in columns), F.lit(0)).alias("n"))
 
 
 def frequent_phrases(counts: DataFrame, supports: DataFrame, support: int = SUPPORT) -> DataFrame:
@@ -233,16 +274,12 @@ def frequent_phrases(counts: DataFrame, supports: DataFrame, support: int = SUPP
 
 def mine(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS) -> tuple[DataFrame, list[DataFrame]]:
     """The local supports, and the frequent phrases of one, two and three words."""
-    def by_shard(counts: DataFrame) -> DataFrame:
-        return counts.repartition("lang", "phrase").groupBy("lang", "phrase", "shard").agg(
-            F.sum("n").alias("n"))
-
-    words = stored(by_shard(shard_counts(docs, 1, None, shards)), "collocation-words")
+    words = stored(all_shards(shard_counts(docs, 1, None, shards)), "collocation-words")
     supports = stored(local_supports(words, support), "collocation-supports")
     levels = [stored(frequent_phrases(words, supports, support), "collocation-1")]
     for length in (2, 3):
         parts = frequent_parts(levels[-1], FILTER_BITS[length - 1])
-        found = by_shard(shard_counts(docs, length, parts, shards))
+        found = all_shards(shard_counts(docs, length, parts, shards))
         levels.append(stored(frequent_phrases(found, supports, support), f"collocation-{length}"))
     return supports, levels
 
@@ -297,7 +334,7 @@ def collocations(docs: DataFrame, support: int = SUPPORT, ranks: int = RANKS,
                  shards: int = SHARDS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of each language's best phrases."""
     supports, levels = mine(docs, support, shards)
-    sizes = supports.groupBy("lang").agg(F.max("lang_n").alias("n"))
+    sizes = supports.select("lang", "n")
     rows = scored_candidates(levels).join(inside_longer(levels[2]), ["lang", "phrase"], "left").filter(
         F.coalesce(100 * F.col("longest") < INSIDE_PERCENT * F.col("a"), F.lit(True)))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")

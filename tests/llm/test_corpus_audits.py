@@ -258,14 +258,13 @@ def test_collocations_equal_brute_force(spark, no_docs):
 def test_shards_miss_no_frequent_phrase(spark):
     rows = chatter()
     df = spark.createDataFrame(rows, "text string, lang string").repartition(5)
-    words = collocations.shard_counts(df, 1)
+    words = collocations.all_shards(collocations.shard_counts(df, 1))
     supports = collocations.local_supports(words).collect()
-    assert {r.shard for r in supports} == set(range(collocations.SHARDS))
-    for lang, of in itertools.groupby(sorted(supports), key=lambda r: r.lang):
-        of = list(of)
-        assert sum(r.n for r in of) == of[0].lang_n
-        assert all((r.least - 1) * r.lang_n < 10 * r.n <= r.least * r.lang_n for r in of)
-        assert sum(r.least - 1 for r in of) < 10
+    for r in supports:
+        assert len(r.sizes) == collocations.SHARDS and sum(r.sizes) == r.n
+        assert all((x - 1) * r.n < 10 * size <= x * r.n for x, size in zip(r.least, r.sizes, strict=True) if size)
+        assert sum(max(0, x - 1) for x in r.least) < 10
+    assert sum(all(r.sizes) for r in supports) > 1  # languages lie in all shards
     local = collocations.locally_frequent(words, collocations.local_supports(words)).collect()
     assert any(not r.frequent for r in local)
     assert not [r for r in local if r.n >= 10 and not r.frequent]
@@ -279,7 +278,7 @@ def test_long_texts_and_small_blocks(spark):
     parts = collocations.FrequentParts(np.full(8, 255, np.uint8))  # lets every phrase through
 
     def total(d):
-        return sorted(tuple(r) for r in d.groupBy("lang", "phrase").agg(F.sum("n")).collect())
+        return sorted((r[0], r[1], sum(r[2:])) for r in collocations.all_shards(d).collect())
 
     for length in (2, 3):
         once = total(collocations.shard_counts(df, length, parts))
@@ -289,7 +288,7 @@ def test_long_texts_and_small_blocks(spark):
             block = collocations._Block()
             block.add("en", 0, long.encode())
             block.add("en", 0, b"up down " * 30)
-            cut = pa_total(block.counts(length, parts))
+            cut = pa_total(block.counts(length, parts, 2))
         finally:
             coded._SLICE = size
         assert cut == once
@@ -299,10 +298,23 @@ def pa_total(batches):
     out = collections.Counter()
     for b in batches:
         for r in b.to_pylist():
-            out[r["lang"], r["phrase"]] += r["n"]
+            out[r["lang"], r["phrase"]] += r["n0"] + r["n1"]
     return sorted((*k, v) for k, v in out.items())
 
 
+def test_many_words_in_one_block():
+    """Codes too large for one number per phrase are counted in two steps."""
+    rng = np.random.default_rng(6)
+    codes = rng.integers(0, 3, 4000) * 2_000_000
+    here, shard = np.arange(3998), rng.integers(0, 3, 3998)
+    for length in (1, 2, 3):
+        want = collections.Counter((tuple(codes[i:i + length].tolist()), s) for i, s in enumerate(shard.tolist()))
+        words, n = collocations._counted(codes, here, length, shard, 3)
+        got = {(tuple(int(w[i]) for w in words), s): int(n[i, s])
+               for i in range(len(n)) for s in range(3) if n[i, s]}
+        assert got == want and len(words) == length
+
+
 def test_exact_scores_beyond_64_bits(spark):
     big = [(9 * 10**13, 10**14, 95 * 10**12), (10, 10, 10), (10, 10**14, 10**14), (10**14, 10**14, 10**14)]
     df = spark.createDataFrame(big, "a long, l long, r long")
