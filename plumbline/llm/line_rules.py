@@ -5,8 +5,9 @@ document that loses too much of its text is rejected. Words are maximal runs of
 than the six ASCII white-space characters.
 
 Edge cases: null and empty texts have no words, fail the base rule and are rejected; blank lines
-are neither judged nor counted as text; rows with a null or repeated id are judged like others;
-an empty table gives no row; columns other than the id and the text are ignored.
+are neither judged nor counted as text; texts of any length are judged whole, one at a time; rows with a null or repeated id are judged like others;
+an empty table gives no row; columns other than the id and the text are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -26,10 +27,12 @@ _SYMBOLS = b"#*$%&|<>"
 _NOT_UPPER = bytes(set(range(256)) - set(range(65, 91)))
 _NOT_LETTER = bytes(set(range(128)) - set(range(65, 91)) - set(range(97, 123)))
 
-BOILERPLATE = re.compile(
-    rb"cookie|javascript|lorem ipsum|all rights reserved|copyright|\(c\) ?\d{4}|privacy policy"
-    rb"|terms of (?:use|service)|sign (?:in|up)|log ?in\b|subscribe|newsletter|read more"
-    rb"|click here|spdx-license|licensed under|permission is hereby granted", re.I)
+# Phrases that running text hardly has, and words that it may well have: those need a second sign.
+NOTICES = (rb"lorem ipsum|all rights reserved|\(c\) ?\d{4}|privacy policy|terms of (?:use|service)"
+           rb"|spdx-license|licensed under|permission is hereby granted")
+HINTS = (rb"cookie|javascript|copyright|sign (?:in|up)|log ?in\b|subscribe|newsletter|read more"
+         rb"|click here")
+BOILERPLATE = re.compile(rb"(%s)|%s" % (NOTICES, HINTS), re.I)
 SCHEMA = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
           "n_repeat_words long, base_failed boolean, kept boolean, n_lines long, "
           "n_removed_lines long, clean_text string")
@@ -45,12 +48,14 @@ class LineRules:
     min_letters: int = 20               # fewer letters say nothing about capitals
     max_menu_bars: int = 2              # navigation: separators in one line
     max_boilerplate_words: int = 40     # boilerplate: longer lines are running text
+    max_hint_words: int = 6             # boilerplate: a hint alone counts in so short a line
     max_lost_share: float = 0.3         # document: share of its text in removed lines
     min_words: int = 50                 # document: words that have to remain
 
 
 _MARKS = re.compile(rb"[!?.,;:*#$%&]{2,}(?=[ \t\n\x0b\x0c\r]|$)")
-_BARS = re.compile(rb"[|\xc2\xbb>](?= )| \xe2\x80\xa2 ")
+_BARS = re.compile(rb"(?:[|>]|\xc2\xbb)(?= )| \xe2\x80\xa2 ")
+_SENTENCE_END = (b".", b"!", b"?", b"\xe2\x80\xa6", b"\xe3\x80\x82")
 
 
 def line_fails(line: bytes, n_words: int, rules: LineRules) -> str | None:
@@ -66,11 +71,25 @@ def line_fails(line: bytes, n_words: int, rules: LineRules) -> str | None:
         return "punctuation"
     if len(_BARS.findall(line)) > max(rules.max_menu_bars, n_words // 8):
         return "navigation"
-    if n_words <= rules.max_boilerplate_words and BOILERPLATE.search(line):
+    if n_words <= rules.max_boilerplate_words and is_boilerplate(line, n_words, rules):
         return "boilerplate"
     return None
 
 
+def is_boilerplate(line: bytes, n_words: int, rules: LineRules) -> bool:
+    """A notice; or hints: two different ones, one beside a bar, or one in a short line that is no
+    sentence."""
+    hints = set()
+    for found in BOILERPLATE.finditer(line):
+        if found[1]:
+            return True
+        hints.add(found[0].lower())
+    if not hints:
+        return False
+    short = n_words <= rules.max_hint_words and not line.rstrip().endswith(_SENTENCE_END)
+    return len(hints) > 1 or short or _BARS.search(line) is not None
+
+
 def repeat_words(words: list[bytes]) -> int:
     """Words that lie in a three-word window which the text has twice or more."""
     if len(words) < 4:

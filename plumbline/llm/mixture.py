@@ -9,8 +9,9 @@ then in the prefix, within its budget, of one more epoch in the seeded order of
 Edge cases: null languages and sources form the leaf of the empty name; a null text has no
 words; rows that share an id share their place in each order and are taken or left together;
 nodes without a weight count 1; documents without words cost nothing and follow their place; an
-empty table gives no row. All columns of the input are kept, and columns that begin with
-``_mix_`` must not be there. Weights are positive integers; weights times tokens must fit 63 bits.
+empty table gives no row. All columns of the input are kept, but for those that begin with
+``_mix_`` or have a name that the result adds. Weights are positive integers; weights times tokens
+must fit 63 bits.
 """
 
 from __future__ import annotations
@@ -92,6 +93,9 @@ def leaf_budgets(leaves: DataFrame, targets: Targets) -> DataFrame:
         "_mix_rest", F.col("_mix_budget") - F.col("_mix_epochs") * supply)
 
 
+ADDED = ("mix_domain", "mix_tokens", "mix_epoch")
+
+
 def _place(seed: str) -> Column:
     """The place of a document in the order of the epoch that its leaf reads in part."""
     return F.md5(F.concat_ws("|", F.lit(seed), F.col("_mix_epochs"),
@@ -131,7 +135,12 @@ def prefix_ends(rows: DataFrame, seed: str, near: Callable[[DataFrame], DataFram
 
 
 def mix_sources(docs: DataFrame, domain: Column, targets: Targets = Targets()) -> DataFrame:
-    """The rows of ``docs`` that the targets select, once per epoch, with domain, tokens, epoch."""
+    """The rows of ``docs`` that the targets select, once per epoch, with domain, tokens, epoch.
+
+    Columns of ``docs`` that have a name of the result, or begin with ``_mix_``, are left out.
+    """
+    docs = docs.select(*[docs[c] for c in docs.columns
+                         if c not in ADDED and not c.startswith("_mix_")])
     named = docs.withColumns({
         "_mix_domain": F.coalesce(domain, F.lit("")), "_mix_lang": F.coalesce("lang", F.lit("")),
         "_mix_source": F.coalesce("source", F.lit("")),
