@@ -37,7 +37,7 @@ from plumbline.llm.common import prepare, small_batches, stored, utf8_values
 
 SUPPORT = 10
 SHARDS = 4
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 RANKS = 2000
 INSIDE_PERCENT = 50
 FILTER_BITS = {1: 1 << 25, 2: 1 << 26}
@@ -129,7 +129,7 @@ class _Block:
     def add(self, lang: str, shard: int, raw: bytes) -> None:
         into = self.codes.setdefault(lang, [])
         for part in slices(raw.translate(_TEXT), _END):
-            codes = self.vocabulary.code((part + _END).replace(_END, b" " + _END + b" ").split())
+            codes = self.vocabulary.code((part + _END).replace(_END, b" " + _END + b" ").split()).astype(np.int32)
             codes[codes == self.end] = -1
             into.append((shard, codes))
         self.bytes += len(raw)
@@ -139,7 +139,7 @@ class _Block:
         hashes = word_hashes(self.vocabulary.words()) if parts else None
         for lang, listed in self.codes.items():
             codes = np.concatenate([c for _, c in listed])
-            shard = np.repeat(np.array([s for s, _ in listed], np.int64), [len(c) for _, c in listed])
+            shard = np.repeat(np.array([s for s, _ in listed], np.int32), [len(c) for _, c in listed])
             here = _starts(codes, length, lang, hashes, parts)
             found, n = _counted(codes, here, length, shard[here], shards)
             for lo in range(0, len(n), 1 << 16):
@@ -177,11 +177,11 @@ def _counted(codes: np.ndarray, here: np.ndarray, length: int, shard: np.ndarray
     """Distinct phrases, as one array of codes for each word, and their counts by shard."""
     size = int(codes.max(initial=0)) + 1
     if size ** length * shards < 1 << 63:
-        key = codes[here]
+        key = codes[here].astype(np.int64)
         for i in range(1, length):
             key = key * size + codes[here + i]
     else:  # too many words for one number: number the beginnings first
-        heads, key = codes[here], None
+        heads, key = codes[here].astype(np.int64), None
         if length == 3:
             heads, key = np.unique(heads * size + codes[here + 1], return_inverse=True)
         key = (heads if key is None else key) * size + codes[here + length - 1]
