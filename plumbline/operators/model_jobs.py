@@ -2,7 +2,8 @@
 
 Each job takes a factory that is called once per partition inside the executor;
 what it returns does the calls. Spark distributes the rows, the helpers below
-only loop over one Arrow batch.
+only loop over one Arrow batch. They read the columns they need and put the
+answers beside the batch as it came, so no other column is converted.
 """
 
 from __future__ import annotations
@@ -11,8 +12,9 @@ import json
 import re
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as t
 
 from plumbline import registry as R
@@ -34,6 +36,38 @@ def _spread(df: DataFrame, parallelism: int | None) -> DataFrame:
     return df.repartition(number, F.xxhash64(*[df[k] for k in keys]))
 
 
+_ARROW = {"string": pa.string(), "array<float>": pa.list_(pa.float32()),
+          "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string())}
+
+
+def _with_answers(df: DataFrame, column: str, added: dict[str, str],
+                  start: Callable[[], Callable[[list], list[list]]],
+                  parallelism: int | None) -> DataFrame:
+    """Add columns: ``start()`` gives a function from the values of one column to lists of theirs."""
+    at = df.columns.index(column)
+    names = [*df.columns, *added]
+    schema = t.StructType([*df.schema.fields, *[
+        t.StructField(name, t.StructType.fromDDL(f"x {kind}")[0].dataType) for name, kind in added.items()]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        answer = start()
+        for batch in batches:
+            found = answer(batch.column(at).to_pylist()) if batch.num_rows else [[] for _ in added]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *[pa.array(x, _ARROW[kind]) for x, kind in zip(
+                    found, added.values(), strict=True)]], names)
+
+    return _spread(df, parallelism).mapInArrow(run, schema)
+
+
+def _at_once(work: Callable, values: list, in_flight: int) -> list:
+    """``work`` of every value in order, at most ``in_flight`` at a time."""
+    if in_flight <= 1:
+        return [work(v) for v in values]
+    with ThreadPoolExecutor(in_flight) as pool:
+        return list(pool.map(work, values))
+
+
 def _json_body(raw: str) -> str:
     """The answer without a Markdown fence; raises if it is not JSON."""
     text = raw.strip()
@@ -58,32 +92,35 @@ def _answer(call: CallModel, system: str, prompt: str, retries: int, wait: float
 
 def call_model(df: DataFrame, prompt: str, system: str, client: Callable[[], CallModel],
                retries: int = R.MODEL_RETRIES, wait: float = R.MODEL_RETRY_WAIT,
-               expect_json: bool = True, parallelism: int | None = None) -> DataFrame:
+               expect_json: bool = True, parallelism: int | None = None,
+               in_flight: int = 1) -> DataFrame:
     """Add ``response`` and ``error``; the response is null if every try failed.
 
-    ``parallelism`` is the number of tasks that call the model at a time.
+    At most ``parallelism`` times ``in_flight`` calls are under way: the number of tasks, and of
+    calls that one task makes at a time, for which the function must be safe to call from threads.
 
     ``client()`` returns a function ``(system, prompt) -> text``. With
     ``expect_json`` an answer that is no JSON counts as a failed try.
     """
-    schema = t.StructType([*df.schema.fields, t.StructField("response", t.StringType()),
-                           t.StructField("error", t.StringType())])
     check = _json_body if expect_json else (lambda raw: raw or "")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         call = client()
-        for batch in batches:
-            answers = [_answer(call, system, p, retries, wait, check) for p in batch[prompt]]
-            yield batch.assign(response=[a for a, _ in answers], error=[e for _, e in answers])
 
-    return _spread(df, parallelism).mapInPandas(run, schema)
+        def answer(prompts: list[str]) -> list[list]:
+            found = _at_once(lambda p: _answer(call, system, p, retries, wait, check), prompts, in_flight)
+            return [[a for a, _ in found], [e for _, e in found]]
+
+        return answer
+
+    return _with_answers(df, prompt, {"response": "string", "error": "string"}, start, parallelism)
 
 
 def classify(df: DataFrame, prompt: str, system: str, client: Callable[[], CallModel],
-             parallelism: int | None = None) -> DataFrame:
+             parallelism: int | None = None, in_flight: int = 1) -> DataFrame:
     """One call per row without retry; an error gives the empty answer."""
     answered = call_model(df, prompt, system, client, retries=1, wait=0.0, expect_json=False,
-                          parallelism=parallelism)
+                          parallelism=parallelism, in_flight=in_flight)
     return answered.withColumn("response", F.coalesce("response", F.lit("")))
 
 
@@ -91,53 +128,58 @@ def embed(texts: DataFrame, text: str, encoder: Callable[[], Callable[[list[str]
           batch_size: int = R.EMBED_BATCH, parallelism: int | None = None) -> DataFrame:
     """(text, vector) for every distinct text, encoded in small batches."""
     distinct = texts.select(text).filter(F.col(text).isNotNull()).distinct()
-    schema = t.StructType([distinct.schema[text],
-                           t.StructField("vector", t.ArrayType(t.FloatType()))])
+    return _with_answers(distinct, text, {"vector": "array<float>"},
+                         lambda: _in_batches(encoder(), batch_size), parallelism)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder()
-        for batch in batches:
-            values = batch[text].tolist()
-            vectors = []
-            for start in range(0, len(values), batch_size):
-                vectors.extend(encode(values[start:start + batch_size]))
-            yield pd.DataFrame({text: values, "vector": [list(map(float, v)) for v in vectors]})
 
-    return _spread(distinct, parallelism).mapInPandas(run, schema)
+def _in_batches(work: Callable[[list[str]], list], size: int) -> Callable[[list], list[list]]:
+    def answer(values: list) -> list[list]:
+        found = []
+        for lo in range(0, len(values), size):
+            found.extend(work(values[lo:lo + size]))
+        return [[list(map(float, v)) for v in found]]
+
+    return answer
 
 
 def fetch_and_summarise(keys: DataFrame, query: Column,
                         worker: Callable[[], tuple[Callable[[str], list[str]],
                                                    Callable[[list[str], str], str]]],
-                        parallelism: int | None = None) -> DataFrame:
-    """(keys…, snippets, summary) for distinct keys.
+                        parallelism: int | None = None, retries: int = 1, wait: float = 0.0,
+                        in_flight: int = 1) -> DataFrame:
+    """(keys…, snippets, summary, error) for distinct keys.
 
-    ``worker()`` returns ``(fetch, summarise)``. A failed fetch gives no
-    snippets; no snippets, or a failed summary, gives ``NA``.
+    ``worker()`` returns ``(fetch, summarise)``. Each is tried ``retries`` times. A failed fetch
+    gives no snippets; no snippets, or a failed summary, gives ``NA``. ``error`` says what failed,
+    so that a cache can ask again; it is null where a fetch just found nothing.
     """
     asked = keys.distinct().withColumn("_query", query)
-    schema = t.StructType([*keys.schema.fields,
-                           t.StructField("snippets", t.ArrayType(t.StringType())),
-                           t.StructField("summary", t.StringType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         fetch, summarise = worker()
-        for batch in batches:
-            found, notes = [], []
-            for text in batch["_query"]:
-                try:
-                    snippets = list(fetch(text))
-                except Exception:
-                    snippets = []
+
+        def tried(step: str, work: Callable):
+            problem = None
+            for attempt in range(max(1, retries)):
+                if attempt and wait:
+                    time.sleep(wait)
                 try:
-                    note = summarise(snippets, text).strip() if snippets else "NA"
-                except Exception:
-                    note = "NA"
-                found.append(snippets)
-                notes.append(note)
-            yield batch.drop(columns="_query").assign(snippets=found, summary=notes)
+                    return work(), None
+                except Exception as failure:  # any failure of a remote call is retried
+                    problem = f"{step}: {type(failure).__name__}: {failure}"
+            return None, problem
+
+        def one(text: str) -> tuple[list[str], str, str | None]:
+            snippets, problem = tried("fetch", lambda: list(fetch(text)))
+            if not snippets:
+                return [], "NA", problem
+            note, problem = tried("summary", lambda: summarise(snippets, text).strip())
+            return snippets, "NA" if note is None else note, problem
+
+        return lambda texts: [list(x) for x in zip(*_at_once(one, texts, in_flight), strict=True)]
 
-    return _spread(asked, parallelism).mapInPandas(run, schema)
+    added = {"snippets": "array<string>", "summary": "string", "error": "string"}
+    return _with_answers(asked, "_query", added, start, parallelism).drop("_query")
 
 
 def score_labels(df: DataFrame, text: str, scorer: Callable[[], Callable[[list[str]], list]],
@@ -148,18 +190,11 @@ def score_labels(df: DataFrame, text: str, scorer: Callable[[], Callable[[list[s
     ``scorer()`` returns a function from texts to one score list per text;
     ``labels`` is (label, label_id).
     """
-    schema = t.StructType([*df.schema.fields, t.StructField("scores", t.ArrayType(t.DoubleType()))])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score = scorer()
-        for batch in batches:
-            values = batch[text].fillna("").tolist()
-            rows = []
-            for start in range(0, len(values), batch_size):
-                rows.extend(score(values[start:start + batch_size]))
-            yield batch.assign(scores=[list(map(float, r)) for r in rows])
+    def start():
+        score = _in_batches(scorer(), batch_size)
+        return lambda values: score(["" if v is None else v for v in values])
 
-    scored = _spread(df, parallelism).mapInPandas(run, schema).withColumn(
+    scored = _with_answers(df, text, {"scores": "array<double>"}, start, parallelism).withColumn(
         "label_id", V.argmax(F.col("scores")))
     names = labels.select(F.col("label").alias(R.PREDICTED_CODE), "label_id")
     return scored.join(names, "label_id", "left").drop("label_id", "scores")

@@ -83,5 +83,6 @@ def append_register(rows: DataFrame, path: str) -> None:
 
 
 def read_register(spark: SparkSession, path: str) -> DataFrame:
+    """The register; ``append_register`` leaves no line break in a field, so its files can be split."""
     return spark.read.schema(", ".join(f"`{c}` string" for c in R.REGISTER_COLUMNS)).csv(
-        path, header=True, quote='"', escape='"', multiLine=True)
+        path, header=True, quote='"', escape='"')

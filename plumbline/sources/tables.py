@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.operators import cleaning as C
+from plumbline.sources import records
 
 _BOM = "\ufeff"
 
@@ -30,12 +31,14 @@ def detect_separator(spark: SparkSession, path: str) -> str:
 
 
 def read_text_table(spark: SparkSession, path: str, separator: str = ",",
-                    what: str = "table", multiline: bool = True) -> DataFrame:
+                    what: str = "table", multiline: bool = True, parallel: bool = True,
+                    order: str | None = None) -> DataFrame:
     """CSV with a header, every column text, empty fields as the empty text.
 
     A byte-order mark before the first name is removed. ``multiline`` allows
-    line breaks in quoted fields, at the price of one task per file; turn it off
-    for large files whose fields have none, or store the table as Parquet.
+    line breaks in quoted fields; a file is still read by many tasks (see ``records``).
+    Turn ``parallel`` off for a file whose quotes are not balanced: then one task reads
+    it. ``order`` adds a column of that name with the position of a row in its source.
     """
     df = _existing(
         lambda: spark.read.csv(path, sep=separator, header=True, inferSchema=False,
@@ -43,6 +46,14 @@ def read_text_table(spark: SparkSession, path: str, separator: str = ",",
                                emptyValue="", enforceSchema=False),
         path, what)
     names = [c.lstrip(_BOM) for c in df.columns]
+    if multiline and parallel:
+        rows = records.parsed(records.records(spark, path), names, separator, header=True)
+        place = [records.place().alias(order)] if order else []
+        return rows.select(*place, *[F.coalesce(rows[c], F.lit("")).alias(c) for c in names])
+    if order:
+        df = df.select(F.struct("_metadata.file_path", "_metadata.file_block_start",
+                                F.monotonically_increasing_id()).alias(order), "*")
+        return df.toDF(order, *names).fillna("", names)
     return df.toDF(*names).fillna("")
 
 
@@ -90,6 +101,8 @@ def load_silver(spark: SparkSession, path: str, education_path: str | None = Non
 
 
 def load_raw_cases(spark: SparkSession, path: str) -> DataFrame:
-    """Uncleaned gold CSV of either separator with its source order in ``_order``."""
-    df = read_text_table(spark, path, detect_separator(spark, path), "gold table")
-    return df.withColumn("_order", F.monotonically_increasing_id())
+    """Uncleaned gold CSV of either separator with its source order in ``_order``.
+
+    The order is that of file names, then of records in a file.
+    """
+    return read_text_table(spark, path, detect_separator(spark, path), "gold table", order="_order")
