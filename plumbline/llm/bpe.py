@@ -5,11 +5,6 @@ them. Spark higher-order functions fold the ranked merges over the bytes of each
 that is no token itself; ids of a text are then put together by index. Decoding concatenates the
 bytes of the ids. No text is shuffled.
 
-Pieces that many blocks share are folded once for the table: about ``SAMPLE_DOCS`` rows are drawn
-and the up to ``COMMON_PIECES`` pieces that most of them hold go to all tasks with their ids. Rare
-pieces, which hardly any two blocks share, are folded in their block. Sample and bound decide where
-a piece is folded, never its ids.
-
 The ranks of pairs are a literal, found by the ids of both sides in a perfect hash table. A fold
 copies its state at each step, so pieces over ``FOLD_BYTES`` bytes, where that would grow with the
 square of their length, are merged by a heap with the same result.
@@ -26,7 +21,6 @@ import hashlib
 import heapq
 import json
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,12 +30,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.chunks import cut
-from plumbline.llm.common import id_text, prepare, shuffle_partitions, small_batches
+from plumbline.llm.common import id_text, prepare, small_batches
 
 FOLD_BYTES = 200
-BLOCK_BYTES = 8 << 20
-SAMPLE_DOCS = 8_000
-COMMON_PIECES = 1 << 17
+BLOCK_BYTES = 16 << 20
 _BUCKETS = 16384
 _SPREAD = (8191, 40503, 92821)
 _ID_BITS = 20
@@ -241,7 +233,7 @@ class _Block:
         self.bytes += int(pc.sum(pc.binary_length(texts)).as_py() or 0)
 
     def row(self, solved: dict[bytes, bytes]) -> pa.RecordBatch:
-        """One row; ``solved`` has the ids of tokens and of common pieces, ready to be joined."""
+        """One row; ``solved`` has the ids of tokens, ready to be joined."""
         raw = [w.encode() for w in self.words]
         found = [solved.get(w) for w in raw]
         fold, long_at = [], []
@@ -288,72 +280,12 @@ def _pack(block_bytes: int, solved):
     return run
 
 
-def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: Counter = Counter()
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            found.update({m[0] for m in _pattern().finditer(text)})
-            if len(found) > 1 << 20:
-                yield _counted(found)
-                found = Counter()
-    if found:
-        yield _counted(found)
-
-
-def _counted(found: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([w.encode() for w in found], pa.binary()),
-                                       pa.array(list(found.values()), pa.int64())], ["piece", "rows"])
-
-
-def _word_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        words = batch.column(0).to_pylist()
-        for lo in range(0, len(words), 2048):
-            some = words[lo:lo + 2048]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([some], pa.list_(pa.binary())),
-                 pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), octet_lists(some))],
-                ["words", "octets"])
-
-
-def common_pieces(docs: DataFrame, ranks: dict[bytes, int]) -> dict[bytes, bytes]:
-    """Ids, as little-endian 32-bit integers, of pieces that at least two sampled rows hold.
-
-    Tokens and pieces over ``FOLD_BYTES`` are left out. At most ``COMMON_PIECES`` come to the driver.
-    """
-    spark = docs.sparkSession
-    share = SAMPLE_DOCS / max(SAMPLE_DOCS, docs.count())
-    rows = docs.select(F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-    counted = rows.filter(F.rand(5) < share).mapInArrow(_piece_rows, "piece binary, rows long").groupBy(
-        "piece").agg(F.sum("rows").alias("rows"))
-    tokens = spark.sparkContext.broadcast(frozenset(ranks))
-
-    def untold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([w not in tokens.value for w in batch.column(0).to_pylist()],
-                                        pa.bool_()))
-
-    best = (counted.filter((F.col("rows") > 1) & (F.octet_length("piece") <= FOLD_BYTES))
-            .mapInArrow(untold, "piece binary, rows long").orderBy(F.desc("rows"), "piece")
-            .limit(COMMON_PIECES).select("piece").repartition(shuffle_partitions(spark), "piece"))
-    folded = best.mapInArrow(_word_blocks, "words array<binary>, octets array<array<int>>").select(
-        "words", merge_fold(None, F.col("octets"), ranks).alias("ids")).toArrow()
-    out = {}
-    for batch in folded.to_batches():
-        words, ids = batch.column(0).flatten(), batch.column(1).flatten()
-        flat, at = np.asarray(ids.flatten(), np.int64).astype("<i4"), np.asarray(ids.offsets, np.int64)
-        at = at - at[0]
-        for word, lo, hi in zip(words.to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
-            out[word] = flat[lo:hi].tobytes()
-    return out
-
-
 def encode_blocks(docs: DataFrame, ranks: dict[bytes, int],
                   block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Blocks of texts with the ids of each distinct piece."""
     prepare(docs.sparkSession)
     solved = {word: rank.to_bytes(4, "little") for word, rank in ranks.items()}
-    shared = docs.sparkSession.sparkContext.broadcast(solved | common_pieces(docs, ranks))
+    shared = docs.sparkSession.sparkContext.broadcast(solved)
     fold = merge_fold(None, F.col("octets"), ranks)
     return id_text(docs).mapInArrow(_pack(block_bytes, shared), BLOCKS).select(
         "doc_ids", "sizes", "codes", "counts", "solved", "long_at", "long_words", fold.alias("encoded"))
