@@ -255,9 +255,8 @@ SELECT case_id, 'CV TEXT:' || chr(10) || min(cv_local) || chr(10) || chr(10)
   || string_agg('  - spell_index ' || slot || ': ' || coalesce(nullif(start_text, ''), '?') || ' – '
      || coalesce(nullif(replace(end_text, '.0', ''), ''), '?') || '  [category: ' || code || ']',
      chr(10) ORDER BY slot)
-  || chr(10) || chr(10) || 'The category hint tells you what kind of role to look for. Use it to'
-  || chr(10) || 'disambiguate when multiple positions overlap in time or the CV is ambiguous.'
-  || chr(10) || chr(10) || 'Return the JSON object as specified.' AS prompt
+  || chr(10) || chr(10) || 'Where years overlap, the category says which of the roles is meant.'
+  || chr(10) || 'Answer with the JSON object alone.' AS prompt
 FROM raw_gold JOIN spell_rows USING (case_id) WHERE start_text <> '' OR end_text <> '' GROUP BY case_id"""))
 def career_prompts(spark, sf):
     from plumbline.operators.reshape import pinned, spell_anchors
@@ -275,8 +274,7 @@ SELECT case_id, 'CV TEXT:' || chr(10) || min(cv_local) || chr(10) || chr(10) ||
   || string_agg('  - subject_index ' || spell_index || ': ' || uni_subject
      || CASE WHEN spell_index = '1' THEN '  [university: ' || uni_name_1 || ']' ELSE '' END,
      chr(10) ORDER BY spell_index)
-  || chr(10) || chr(10) || 'The category hint tells you what field of study to look for.'
-  || chr(10) || 'Return the JSON object as specified.' AS prompt
+  || chr(10) || chr(10) || 'Answer with the JSON object alone.' AS prompt
 FROM raw_gold JOIN raw_silver_edu USING (case_id) GROUP BY case_id"""))
 def education_prompts(spark, sf):
     from plumbline.operators.reshape import education_anchor, pinned

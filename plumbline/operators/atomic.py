@@ -57,12 +57,16 @@ def align(test: DataFrame, predictions: DataFrame, variable: str, key: str = R.C
     return gold.join(found, key, "left").withColumn("has_pred", F.coalesce("has_pred", F.lit(False)))
 
 
-def accuracy(aligned: DataFrame, group: str | None = None, similarity: bool = True) -> DataFrame:
+def accuracy(aligned: DataFrame, group: str | None = None, similarity: bool | Column = True,
+             errors: bool = False) -> DataFrame:
     """Exact-match accuracy with missing values as a class of their own.
 
     One row per group and one overall. Rows are counted per distinct value pair
-    first, and the similarity function sees each pair once, whatever the number of
-    groups that hold it. Rows with a false ``has_pred`` only count as missing.
+    first; a pair then has one row per group, and these are put beside it, so that
+    the similarity function sees it once. ``similarity`` may be a condition on the
+    group column that says where it is wanted. ``errors`` adds the columns of
+    ``mean_error`` from the same counts. Rows with a false ``has_pred`` only count
+    as missing.
     """
     groups = [group] if group else []
     values = aligned.select(
@@ -70,16 +74,22 @@ def accuracy(aligned: DataFrame, group: str | None = None, similarity: bool = Tr
         F.col("gold").cast("string").alias("_g"), F.col("pred").cast("string").alias("_p"))
     pairs = values.groupBy(*groups, "_has", "_g", "_p").agg(F.count(F.lit(1)).alias("_n"))
     gold, pred = T.normalise_value(F.col("_g")), T.normalise_value(F.col("_p"))
-    if similarity:
-        both = pairs.filter((gold != R.NA_SENTINEL) & (pred != R.NA_SENTINEL))
-        alike = both.select("_g", "_p").distinct().withColumn(
-            "_sim", T.char_similarity(F.col("_p"), F.col("_g")))
-        pairs = pairs.join(alike, ["_g", "_p"], "left")
-    else:
+    usable = (gold != R.NA_SENTINEL) & (pred != R.NA_SENTINEL)
+    if similarity is False:
         pairs = pairs.withColumn("_sim", F.lit(None).cast("double"))
+    else:
+        wanted = F.lit(True) if similarity is True else similarity
+        place = F.struct(*groups, "_has", "_n", wanted.alias("_wanted"))
+        pairs = pairs.groupBy("_g", "_p").agg(F.collect_list(place).alias("_places")).withColumn(
+            "_once", F.when(usable & F.exists("_places", lambda x: x["_wanted"]),
+                            T.char_similarity(F.col("_p"), F.col("_g")))
+        ).select("_g", "_p", "_once", F.inline("_places")).withColumn(
+            "_sim", F.when(F.col("_wanted"), F.col("_once")))
+    error = F.abs(T.to_number(F.col("_p")) - T.to_number(F.col("_g"))) if errors else F.lit(None)
     flags = pairs.select(
         *groups, "_has", "_n", (gold == pred).alias("_eq"), "_sim",
-        (gold == R.NA_SENTINEL).alias("_gna"), (pred == R.NA_SENTINEL).alias("_pna"))
+        (gold == R.NA_SENTINEL).alias("_gna"), (pred == R.NA_SENTINEL).alias("_pna"),
+        F.when(usable, error).cast("double").alias("_e"))
     has = F.col("_has")
 
     def total(condition: Column) -> Column:
@@ -97,9 +107,16 @@ def accuracy(aligned: DataFrame, group: str | None = None, similarity: bool = Tr
         total(~gna & ~pna).alias("_n_sim"),
         F.coalesce(F.sum(F.when(has, F.col("_sim") * F.col("_n"))), F.lit(0.0)).alias("_sim_sum"),
         F.coalesce(F.sum(F.when(~has, F.col("_n"))), F.lit(0)).alias("n_missing"),
+        total(F.col("_e").isNotNull()).alias("n_with_error"),
+        total(F.col("_e") == 0).alias("_exact"),
+        F.coalesce(F.sum(F.col("_e") * F.col("_n")), F.lit(0.0)).alias("_error"),
     )
     scored = with_overall(sums, group)
-    sim = F.col("_sim_sum") if similarity else F.lit(None).cast("double")
+    extra = [
+        T.metric(T.ratio(F.col("_error"), F.col("n_with_error"))).alias("mae"),
+        T.metric(T.ratio(F.col("_exact"), F.col("n_with_error"))).alias("exact"), "n_with_error",
+    ] if errors else []
+    sim = F.lit(None).cast("double") if similarity is False else F.col("_sim_sum")
     return scored.select(
         "level", "slice",
         T.metric(T.ratio(F.col("n_correct"), F.col("n_total"))).alias("accuracy"),
@@ -108,7 +125,7 @@ def accuracy(aligned: DataFrame, group: str | None = None, similarity: bool = Tr
         T.metric(T.ratio(sim, F.col("_n_sim"))).alias("char_similarity"),
         T.metric(T.ratio(sim, F.col("n_predicted"))).alias("char_similarity_when_predicted"),
         "n_correct", "n_total", "n_predicted", "n_na_correct", "n_na_gold", "n_na_pred",
-        "n_missing",
+        "n_missing", *extra,
     )
 
 

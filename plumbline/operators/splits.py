@@ -1,9 +1,11 @@
 """Deterministic stratified split and sampling.
 
-No step puts a whole stratum into one task. Rows are ranked inside a stratum by
-the md5 of seed and id; the hash prefix cuts each stratum into slices, counts
-per slice give every slice its offset, and only rows of one slice are sorted
-together.
+No step puts a whole stratum into one task. Rows are in the order of the md5 of
+seed and id inside a stratum, and the hash prefix cuts each stratum into slices.
+For a split, counts per slice decide all slices but the one in which the test
+side ends; only its rows are put in order, to find the last hash of the test
+side. Every row is then compared with that of its stratum. Ranks, where they are
+wanted, come from the slice offsets and a sort of each slice.
 """
 
 from __future__ import annotations
@@ -90,26 +92,49 @@ def _allocation(strata: DataFrame, test_size: float) -> DataFrame:
     )
 
 
-def split_sides(df: DataFrame, key: str = R.CASE_ID, stratum: str = R.COUNTRY,
-                test_size: float = R.SPLIT_TEST_SIZE, seed: int = R.SPLIT_SEED) -> DataFrame:
-    """(key, stratum, split) for every row of ``df``; split is 'test' or 'train'.
+def _cutoffs(rows: DataFrame, key: str, test_size: float, seed: int) -> DataFrame:
+    """(_stratum, _cut): hash and key of the last test row of each stratum that has one.
 
-    A stratum with one row goes to the training side. Rows meet the counts by
-    stratum and slice, never by the stratum alone.
+    One row per stratum. Only the slice in which the test side ends is put in order.
     """
-    rows = df.select(
-        F.col(key).cast("string").alias(key),
-        F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("_stratum"))
     sliced = _sliced(rows, key, seed)
     sizes = _slice_sizes(sliced, ["_stratum"])
     strata = sizes.groupBy("_stratum").agg(F.sum("_n").alias("_c"))
-    quota = sizes.join(_allocation(strata, test_size), "_stratum", "left")
-    ranked = _ranked(sliced, quota, ["_stratum"], key, "_rank")
-    return ranked.select(
-        key, F.col("_stratum").alias(stratum),
-        F.when(F.col("_rank") <= F.coalesce("_n_test", F.lit(0)), "test")
-        .otherwise("train").alias("split"),
-    )
+    last = sizes.join(_allocation(strata, test_size), "_stratum").filter(
+        (F.col("_before") < F.col("_n_test")) & (F.col("_before") + F.col("_n") >= F.col("_n_test")))
+    local = Window.partitionBy("_stratum", "_slice").orderBy("_h", key)
+    return (
+        sliced.join(last.select("_stratum", "_slice", (F.col("_n_test") - F.col("_before")).alias("_at")),
+                    ["_stratum", "_slice"])
+        .withColumn("_local", F.row_number().over(local)).filter(F.col("_local") == F.col("_at"))
+        .select("_stratum", F.struct("_h", F.col(key).alias("_key")).alias("_cut")))
+
+
+def with_split(df: DataFrame, key: str = R.CASE_ID, stratum: str = R.COUNTRY,
+               test_size: float = R.SPLIT_TEST_SIZE, seed: int = R.SPLIT_SEED,
+               name: str = "split") -> DataFrame:
+    """``df`` with the side of each row, 'test' or 'train', in ``name``.
+
+    A stratum with one row goes to the training side. Rows with the same key are on
+    the same side. Rows meet a table of one row per stratum and are not shuffled
+    while that is small. Rows without a key are left out.
+    """
+    kept = df.filter(F.col(key).isNotNull())
+    text = F.col(key).cast("string")
+    of = F.coalesce(F.col(stratum).cast("string"), F.lit(""))
+    cuts = _cutoffs(kept.select(text.alias(key), of.alias("_stratum")), key, test_size, seed)
+    own = F.struct(seeded_hash(text, seed).alias("_h"), text.alias("_key"))
+    side = F.when(own <= F.col("_cut"), "test").otherwise("train")
+    return kept.join(cuts, of == F.col("_stratum"), "left").select(*df.columns, side.alias(name))
+
+
+def split_sides(df: DataFrame, key: str = R.CASE_ID, stratum: str = R.COUNTRY,
+                test_size: float = R.SPLIT_TEST_SIZE, seed: int = R.SPLIT_SEED) -> DataFrame:
+    """(key, stratum, split) for every row of ``df``; split is 'test' or 'train'."""
+    rows = df.select(
+        F.col(key).cast("string").alias(key),
+        F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias(stratum))
+    return with_split(rows, key, stratum, test_size, seed)
 
 
 def stratified_split(df: DataFrame, key: str = R.CASE_ID, stratum: str = R.COUNTRY,
@@ -125,9 +150,7 @@ def split_ids(df: DataFrame, side: str, key: str = R.CASE_ID, **kwargs) -> DataF
 
 def apply_split(df: DataFrame, side: str, key: str = R.CASE_ID, **kwargs) -> DataFrame:
     """The rows of one side of the split."""
-    from plumbline.operators.cleaning import semi_by_id
-
-    return semi_by_id(df, split_ids(df, side, key, **kwargs), key)
+    return with_split(df, key, name="_side", **kwargs).filter(F.col("_side") == side).drop("_side")
 
 
 def one_per_group(df: DataFrame, group: str, key: Column, seed: int = R.SPLIT_SEED) -> DataFrame:

@@ -13,7 +13,6 @@ from plumbline.operators import atomic, classification, cleaning as C, sets, spe
 from plumbline.operators.reshape import gold_spell_lists, predicted_spells
 from plumbline.operators.scores import GROUP, OVERALL
 from plumbline.operators.splits import apply_split, split_sides
-from plumbline.plans.inputs import check_task
 from plumbline.sources.sinks import append_details, append_register, detail_table, register_row
 
 
@@ -77,34 +76,40 @@ class Evaluation:
         append_register(self.register_row(False, timestamp=stamp, **identity), register)
 
 
-def _validate(predictions: DataFrame, task: str, variable: str | None, granularity: str,
-              check_empty: bool) -> None:
-    check_task(task)
-    if task != "collection":
-        if variable is None:
-            raise ValueError(f"'variable' is required for task='{task}'.")
-        known = ({*R.ATOMIC_VARIABLES, *R.COMPOSITE_VARIABLES} if task == "extraction"
-                 else set(R.ANNOTATION_VARIABLES))
-        if variable not in known:
-            raise ValueError(
-                f"Unknown {task} variable '{variable}'. Valid options: {sorted(known)}")
-    if granularity not in R.GRANULARITIES:
-        raise ValueError(f"granularity must be 'fine' or 'broad', got '{granularity}'.")
-    if granularity == "broad" and (task, variable) != ("annotation", "career_position"):
-        raise ValueError("granularity='broad' is only supported for task='annotation', "
-                         "variable='career_position'.")
+# What can be scored, and at which levels of detail.
+_SCORED = {
+    ("collection", None): ("fine",),
+    **{("extraction", v): ("fine",) for v in (*R.ATOMIC_VARIABLES, *R.COMPOSITE_VARIABLES)},
+    **{("annotation", v): ("fine",) for v in R.ANNOTATION_VARIABLES},
+    ("annotation", "career_position"): R.GRANULARITIES,
+}
+
+
+def _check_request(task: str, variable: str | None, granularity: str) -> None:
+    asked = (task, None if task == "collection" else variable)
+    if asked not in _SCORED:
+        names = [v for t, v in _SCORED if t == task]
+        if not names:
+            raise ValueError(f"no task {task!r}; there are {sorted({t for t, _ in _SCORED})}")
+        what = "no variable given" if variable is None else f"Unknown {task} variable {variable!r}"
+        raise ValueError(f"{what}; {task} scores one of {sorted(names)}")
+    if granularity not in _SCORED[asked]:
+        raise ValueError(f"no granularity {granularity!r} for {task} {variable or ''}; "
+                         f"there is {' and '.join(_SCORED[asked])}")
+
+
+def _check_predictions(predictions: DataFrame, check_empty: bool) -> None:
     if not isinstance(predictions, DataFrame):
-        raise TypeError("predictions must be a Spark DataFrame.")
+        raise TypeError(f"predictions are a Spark DataFrame, not {type(predictions).__name__}")
     _require(predictions, [R.CASE_ID])
     if check_empty and predictions.isEmpty():
-        raise ValueError("predictions is empty.")
+        raise ValueError("predictions are empty")
 
 
 def _require(df: DataFrame, columns: list[str]) -> None:
-    missing = [c for c in columns if c not in df.columns]
-    if missing:
-        raise ValueError(
-            f"predictions is missing required column(s): {missing}. Available: {df.columns}")
+    absent = sorted(set(columns) - set(df.columns))
+    if absent:
+        raise ValueError(f"missing required columns of predictions: {absent}; they have {df.columns}")
 
 
 def _tagged(summary: DataFrame, task: str, variable: str | None, **extra) -> DataFrame:
@@ -127,7 +132,8 @@ def evaluate(predictions: DataFrame, task: str, variable: str | None = None, *,
     ``report`` counts the predictions that later ones replace. ``label_vectors``
     (label, vector) adds the mean similarity of predicted and gold labels.
     """
-    _validate(predictions, task, variable, granularity, check_empty)
+    _check_request(task, variable, granularity)
+    _check_predictions(predictions, check_empty)
     if task == "collection":
         return _collection(predictions, apply_split(gold, "test"), order, report)
     if task == "extraction":
@@ -254,30 +260,23 @@ def evaluate_many(predictions: DataFrame, gold: DataFrame, variables: list[str],
         for c in ("gold", "pred")})
     part = F.concat_ws("\x1f", "variable", "country") if by_country else F.col("variable")
     aligned = aligned.withColumn("slice", part)
-    is_number = F.col("variable").isin(
-        *[v for v, kind in R.ATOMIC_VARIABLES.items() if kind == "int"])
-    numbers = atomic.mean_error(aligned.filter(is_number), "slice")
-    # Only variables judged by it pay for the similarity.
-    judged = F.col("variable").isin(*R.SIMILARITY_HEADLINE_VARIABLES)
-    texts = atomic.accuracy(aligned.filter(~is_number & ~judged), "slice", similarity=False)
-    if set(variables) & set(R.SIMILARITY_HEADLINE_VARIABLES):
-        texts = texts.unionByName(atomic.accuracy(aligned.filter(judged), "slice"))
     pieces = F.split("slice", "\x1f")
-    names = [pieces[0].alias("variable")] + ([pieces[1].alias("country")] if by_country else [])
-    headline = pieces[0].isin(*R.SIMILARITY_HEADLINE_VARIABLES)
-
-    def shown(df: DataFrame, accuracy: Column, when_predicted: Column, mae: Column,
-              skipped: Column) -> DataFrame:
-        return df.filter(F.col("level") == GROUP).select(
-            *names, accuracy.alias("accuracy"), when_predicted.alias("accuracy_when_predicted"),
-            mae.alias("mae"), F.col("n_total").alias("n_evaluated"), skipped.alias("n_skipped"))
-
-    none = F.lit(None).cast("double")
-    return shown(
-        texts,
-        F.when(headline, F.col("char_similarity")).otherwise(F.col("accuracy")),
-        F.when(headline, F.col("char_similarity_when_predicted"))
-        .otherwise(F.col("accuracy_when_predicted")),
-        none, F.col("n_missing"),
-    ).unionByName(shown(numbers, F.col("accuracy"), none, F.col("mae"),
-                        F.col("n_skipped") + F.col("n_missing")))
+    variable, judged = pieces[0], pieces[0].isin(*R.SIMILARITY_HEADLINE_VARIABLES)
+    is_number = variable.isin(*[v for v, kind in R.ATOMIC_VARIABLES.items() if kind == "int"])
+    # Numbers and texts come from the same counts of value pairs; only judged ones pay for similarity.
+    wanted = judged if set(variables) & set(R.SIMILARITY_HEADLINE_VARIABLES) else False
+    scores = atomic.accuracy(aligned, "slice", similarity=wanted, errors=True)
+    names = [variable.alias("variable")] + ([pieces[1].alias("country")] if by_country else [])
+
+    def pick(number: str | None, similar: str, other: str) -> Column:
+        found = F.when(judged, F.col(similar)).otherwise(F.col(other))
+        return F.when(is_number, F.col(number) if number else F.lit(None)).otherwise(found)
+
+    n_total = F.col("n_total") + F.col("n_missing")
+    return scores.filter(F.col("level") == GROUP).select(
+        *names, pick("exact", "char_similarity", "accuracy").alias("accuracy"),
+        pick(None, "char_similarity_when_predicted", "accuracy_when_predicted").alias(
+            "accuracy_when_predicted"),
+        F.when(is_number, F.col("mae")).alias("mae"),
+        F.when(is_number, F.col("n_with_error")).otherwise(F.col("n_total")).alias("n_evaluated"),
+        F.when(is_number, n_total - F.col("n_with_error")).otherwise(F.col("n_missing")).alias("n_skipped"))
