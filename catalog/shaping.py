@@ -36,6 +36,17 @@ def split_with_single_row_strata(spark, sf):
         F.count(F.lit(1)).alias("n"), F.sum(F.col("doc_id").cast("long")).alias("id_sum"))
 
 
+@query("single_row_strata", oracle([], """
+SELECT stratum, CAST(min(doc_id) AS VARCHAR) AS doc_id FROM docs GROUP BY stratum HAVING count(*) = 1""", """
+docs AS (SELECT doc_id, lang || ' ' || source || ' ' || CAST(length(text) // 900 AS VARCHAR) AS stratum
+         FROM documents)"""))
+def single_row_strata(spark, sf):
+    docs = table(spark, sf, "documents").select(
+        "doc_id", F.concat_ws(" ", "lang", "source", F.expr("length(text) div 900").cast("string"))
+        .alias("stratum"))
+    return splits.single_row_strata(docs, "doc_id", "stratum")
+
+
 @query("one_row_per_group", """
 SELECT event_type, event_id FROM (
   SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline import registry as R
 from plumbline.functions import text as T, vectors as V
-from plumbline.operators.cleaning import semi_by_id
+from plumbline.operators.cleaning import DropReport, semi_by_id
 from plumbline.operators.scores import GROUP, OVERALL
 
 # Ranges into which a vocabulary is cut before it is numbered.
@@ -19,10 +19,11 @@ _LABEL_CUTS = 255
 
 def align(predictions: DataFrame, gold: DataFrame, test: DataFrame, gold_col: str,
           indexed: bool = True, key: str = R.CASE_ID, index: str = R.SPELL_INDEX,
-          predicted: str = R.PREDICTED_CODE, group: str | None = None) -> DataFrame:
+          predicted: str = R.PREDICTED_CODE, group: str | None = None,
+          report: DropReport | None = None) -> DataFrame:
     """Predictions of test cases with their gold code: (key…, pred, gold).
 
-    Rows of other cases are left out. With ``group`` the case's value of that
+    Rows of other cases are left out; ``report`` counts them under ``outside_test``. With ``group`` the case's value of that
     column of ``test`` is added as ``slice``. ``gold`` is null where no non-empty gold
     code exists; such rows count as skipped. Repeated predictions all stay.
     """
@@ -39,6 +40,8 @@ def align(predictions: DataFrame, gold: DataFrame, test: DataFrame, gold_col: st
     # A key repeated in gold keeps one code; cleaned silver has none repeated.
     unique = codes.groupBy(*keys).agg(F.max("gold").alias("gold"))
     found = keyed(predictions, predicted, "pred")
+    if report is not None:
+        found = semi_by_id(found, test, key, report, "outside_test")
     if group is None:
         return semi_by_id(found, test, key).join(unique, keys, "left")
     # One inner join keeps the test cases and looks their group up.

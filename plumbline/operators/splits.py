@@ -153,6 +153,14 @@ def apply_split(df: DataFrame, side: str, key: str = R.CASE_ID, **kwargs) -> Dat
     return with_split(df, key, name="_side", **kwargs).filter(F.col("_side") == side).drop("_side")
 
 
+def single_row_strata(df: DataFrame, key: str = R.CASE_ID, stratum: str = R.COUNTRY) -> DataFrame:
+    """(stratum, key) of the rows that are alone in their stratum and so always train."""
+    return df.filter(F.col(key).isNotNull()).groupBy(
+        F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias(stratum)).agg(
+        F.min(F.col(key).cast("string")).alias(key), F.count(F.lit(1)).alias("_n")).filter(
+        "_n = 1").drop("_n")
+
+
 def one_per_group(df: DataFrame, group: str, key: Column, seed: int = R.SPLIT_SEED) -> DataFrame:
     """One seeded-random row per group: the row with the smallest hash of ``key``."""
     row = F.struct(*[F.col(c) for c in df.columns])

@@ -129,8 +129,9 @@ def evaluate(predictions: DataFrame, task: str, variable: str | None = None, *,
     (case_id, spell_index, predicted_code). ``gold`` and ``silver`` are cleaned
     tables. ``order`` names a column that says which of several predictions for
     one case is the last; without it different predictions for a case stop the job.
-    ``report`` counts the predictions that later ones replace. ``label_vectors``
-    (label, vector) adds the mean similarity of predicted and gold labels.
+    ``report`` counts the predictions that later ones replace and, for annotations,
+    those of cases outside the test side. ``label_vectors`` (label, vector) adds the
+    mean similarity of predicted and gold labels.
     """
     _check_request(task, variable, granularity)
     _check_predictions(predictions, check_empty)
@@ -141,7 +142,7 @@ def evaluate(predictions: DataFrame, task: str, variable: str | None = None, *,
         if variable in R.ATOMIC_VARIABLES:
             return _atomic(predictions, test, variable, order, report)
         return _composite(predictions, test, variable, tolerance_years, order, report)
-    return _annotation(predictions, gold, silver, variable, granularity, label_vectors)
+    return _annotation(predictions, gold, silver, variable, granularity, label_vectors, report)
 
 
 def _collection(predictions: DataFrame, test: DataFrame, order: str | None,
@@ -197,7 +198,8 @@ def _atomic(predictions: DataFrame, test: DataFrame, variable: str, order: str |
 
 
 def _annotation(predictions: DataFrame, gold: DataFrame, silver: DataFrame | None, variable: str,
-                granularity: str, label_vectors: DataFrame | None) -> Evaluation:
+                granularity: str, label_vectors: DataFrame | None,
+                report: C.DropReport | None) -> Evaluation:
     spec = C.annotation_spec(variable)
     indexed = [R.SPELL_INDEX] if spec.indexed else []
     _require(predictions, [*indexed, R.PREDICTED_CODE])
@@ -209,7 +211,7 @@ def _annotation(predictions: DataFrame, gold: DataFrame, silver: DataFrame | Non
     test = split_sides(gold).filter(F.col("split") == "test")
     codes = silver.filter(C.has_text(spec.input_col))
     aligned = classification.align(
-        predictions, codes, test, spec.gold_col, spec.indexed, group=R.COUNTRY)
+        predictions, codes, test, spec.gold_col, spec.indexed, group=R.COUNTRY, report=report)
     collapse = {("career_position", "broad"): T.sector, ("uni_subject", "fine"): T.numeric_prefix}
     if (variable, granularity) in collapse:
         shorten = collapse[variable, granularity]

@@ -66,3 +66,19 @@ def test_only_one_slice_is_put_in_order(spark):
     assert ranks  # rows of the slice in which the test side ends
     rows = splits._slice_sizes(splits._sliced(df, "id", 42), ["g"])
     assert rows.agg(F.max("_n")).first()[0] < 100
+
+
+def test_single_rows_and_rows_outside_are_counted(spark, gold, silver, test_cases):
+    from plumbline import evaluate
+    from plumbline.operators import cleaning as C
+
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (None, "c"), (4, None)], "id long, g string")
+    assert sorted(map(tuple, splits.single_row_strata(rows, "id", "g").collect())) == [("", "4"), ("b", "3")]
+    assert [r.case_id for r in splits.single_row_strata(gold).collect()] == ["p060"]
+    answers = silver.filter("job_description_label <> ''").select(
+        "case_id", "spell_index", F.col("career_position").alias("predicted_code"))
+    report = C.DropReport()
+    result = evaluate(answers, "annotation", "career_position", gold=gold, silver=silver, report=report)
+    inside = answers.join(test_cases.select("case_id"), "case_id").count()
+    assert result.summary.first().accuracy == 1.0
+    assert report.counts() == {"outside_test": answers.count() - inside}
