@@ -32,13 +32,13 @@ class Vocabulary:
         return pa.array(list(self._codes), pa.binary())
 
 
-def slices(raw: bytes, blank: bytes = b" ") -> Iterator[bytes]:
+def slices(raw: bytes, blank: bytes = b" ", size: int = 1 << 40) -> Iterator[bytes]:
     """Cut a text that is long into parts at blanks; no word is cut."""
-    lo = 0
-    while len(raw) - lo > _SLICE:
-        at = raw.rfind(blank, lo, lo + _SLICE)
+    lo, size = 0, min(size, _SLICE)
+    while len(raw) - lo > size:
+        at = raw.rfind(blank, lo, lo + size)
         if at < 0:
-            at = raw.find(blank, lo + _SLICE)
+            at = raw.find(blank, lo + size)
         if at < 0:
             break
         yield raw[lo:at + 1]

@@ -37,7 +37,9 @@ from plumbline.llm.common import prepare, small_batches, stored, utf8_values
 
 SUPPORT = 10
 SHARDS = 4
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
+_SLICE = 1 << 20
+_SALTS = 64
 RANKS = 2000
 INSIDE_PERCENT = 50
 FILTER_BITS = {1: 1 << 25, 2: 1 << 26}
@@ -128,7 +130,7 @@ class _Block:
 
     def add(self, lang: str, shard: int, raw: bytes) -> None:
         into = self.codes.setdefault(lang, [])
-        for part in slices(raw.translate(_TEXT), _END):
+        for part in slices(raw.translate(_TEXT), _END, _SLICE):
             codes = self.vocabulary.code((part + _END).replace(_END, b" " + _END + b" ").split()).astype(np.int32)
             codes[codes == self.end] = -1
             into.append((shard, codes))
@@ -337,7 +339,12 @@ def collocations(docs: DataFrame, support: int = SUPPORT, ranks: int = RANKS,
     sizes = supports.select("lang", "n")
     rows = scored_candidates(levels).join(inside_longer(levels[2]), ["lang", "phrase"], "left").filter(
         F.coalesce(100 * F.col("longest") < INSIDE_PERCENT * F.col("a"), F.lit(True)))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= ranks)
+    # A language's candidates are cut down in many parts before they meet.
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    part = F.pmod(F.xxhash64("phrase"), F.lit(_SALTS))
+    near = rows.withColumn("_part", part).withColumn("rank", F.row_number().over(
+        Window.partitionBy("lang", "_part").orderBy(*order))).filter(F.col("rank") <= ranks)
+    best = near.withColumn("rank", F.row_number().over(
+        Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= ranks)
     return best.join(sizes, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
