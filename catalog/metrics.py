@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import derived, oracle, query, sql_normal, sql_number, sql_similarity, table
-from plumbline import registry as R
 from plumbline.functions import text as T, vectors as V
 from plumbline.operators import atomic, classification as K, retrieval, sets, spells, stats
 

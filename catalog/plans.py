@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from catalog.base import (
-    SQL_GOLD, SQL_GOLD_SPLIT, SQL_SILVER, derived, gold_of, oracle, query, silver_of, sql_normal,
+    SQL_GOLD_SPLIT, SQL_SILVER, derived, gold_of, oracle, query, silver_of, sql_normal,
     sql_number, sql_spells,
 )
 from catalog.metrics import (
-    _COUNTS, _FIELD_TABLES, _GREEDY, _LATEST, _MACRO, _SET_NAMES, _SPELL_NAMES, _SQL_PRF, _SQL_SCORED,
+    _COUNTS, _FIELD_TABLES, _GREEDY, _LATEST, _MACRO, _SET_NAMES, _SPELL_NAMES, _SQL_SCORED,
     _SUMMARY, _URL_PRF, SQL_SIMILAR, _predicted_lists, _sql_similarity_scores, sql_normal_pairs,
 )
 from plumbline import registry as R

@@ -20,7 +20,7 @@ NO_SQL_FORM: set[str] = set()
 SAMPLE = [
     "document_quality_scores", "stratified_split", "duplicated_case_drop", "set_scores_from_rows",
     "interval_match_from_rows", "nearest_examples", "resolve_codes_fine", "reconcile_failures",
-    "evaluate_annotation_fine", "best_runs",
+    "evaluate_annotation_fine", "best_runs", "evaluate_many_fields", "first_case_in_source_order",
 ]
 
 
