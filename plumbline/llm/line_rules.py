@@ -5,9 +5,9 @@ document that loses too much of its text is rejected. Words are maximal runs of
 than the six ASCII white-space characters.
 
 Edge cases: null and empty texts have no words, fail the base rule and are rejected; blank lines
-are neither judged nor counted as text; texts of any length are judged whole, one at a time; rows with a null or repeated id are judged like others;
-an empty table gives no row; columns other than the id and the text are ignored, whatever their
-names.
+are neither judged nor counted as text; texts of any length are judged whole, one at a time; rows
+with a null or repeated id are judged like others; an empty table gives no row; columns other than
+the id and the text are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import collections
-import itertools
 import random
 import re
 from pathlib import Path
