@@ -340,9 +340,13 @@ def _hashes(doc_id, ids: np.ndarray, decoded: bytes) -> tuple:
     return doc_id, len(ids), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
-def encoding_report(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """doc_id, n_tokens and the sha256 of the ids and of the decoded bytes."""
-    return texts_of_blocks(encode_blocks(docs, ranks), ranks, _hashes,
+def encoding_report(docs: DataFrame, ranks: dict[bytes, int],
+                    block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_tokens and the sha256 of the ids and of the decoded bytes.
+
+    Larger blocks share more pieces and need more memory.
+    """
+    return texts_of_blocks(encode_blocks(docs, ranks, block_bytes), ranks, _hashes,
                            "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
