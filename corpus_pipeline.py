@@ -20,6 +20,9 @@ from plumbline.llm import bpe, minhash, mixture, quality_rank, suffix_dedup
 from plumbline.llm.common import stored
 from plumbline.llm.queries import MIX, source_domain, tokenizer_file
 
+# Text in a block of the last stage: less than the operator takes alone, as executors still hold
+# what the stages before it left in their heaps.
+BLOCK_BYTES = 6 << 20
 COLUMNS = {"doc_id": "long", "text": "string", "lang": "string", "source": "string",
            "n_chars": "long"}
 
@@ -60,7 +63,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: token ids, checked by decoding them."""
     ranks = bpe.load_ranks(tokenizer_file("byte_bpe_multi_50k.tiktoken"))
-    return bpe.encoding_report(docs, ranks)
+    return bpe.encoding_report(docs, ranks, BLOCK_BYTES)
 
 
 STAGES = [
