@@ -135,7 +135,7 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
 
 def test_all_are_registered():
     known = __spark_entry__.queries()
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert set(QUERIES) <= set(known) and "pipeline" in known
     assert set(ORACLES) <= set(__spark_entry__.oracle_sql())
 
