@@ -274,8 +274,11 @@ def _pack(block_bytes: int, solved):
             if block.bytes >= block_bytes:
                 yield block.row(known)
                 block = _Block()
+                pa.default_memory_pool().release_unused()
         if block.ids:
             yield block.row(known)
+        del block
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -327,6 +330,8 @@ def texts_of_blocks(blocks: DataFrame, ranks: dict[bytes, int], emit, schema: st
                                     b"".join(map(parts.__getitem__, tokens.tolist()))))
                 yield pa.RecordBatch.from_pylist(
                     [dict(zip(names, x, strict=True)) for x in out], arrow_schema)
+                # Blocks are large; an idle worker should not hold on to what they took.
+                pa.default_memory_pool().release_unused()
 
     arrow_schema = pa.schema([(f.split()[0], _ARROW[f.split()[1]]) for f in schema.split(", ")])
     return blocks.mapInArrow(run, schema)
