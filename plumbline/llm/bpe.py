@@ -1,9 +1,11 @@
 """Operator 5: byte-level BPE encoding and decoding with higher-order functions.
 
-Texts are packed in blocks: the distinct pieces of a block once, and each text as indices into
-them. Spark higher-order functions fold the ranked merges over the bytes of each distinct piece
-that is no token itself; ids of a text are then put together by index. Decoding concatenates the
-bytes of the ids. No text is shuffled.
+Texts are packed in blocks, each text as indices into a list of distinct pieces that grows along
+the blocks of a task: a block carries the pieces that are new in its task. Spark higher-order
+functions fold the ranked merges over the bytes of each such piece that is no token itself; ids of
+a text are then put together by index. Decoding concatenates the bytes of the ids. No text is
+shuffled. The list starts anew when it holds ``MOST_PIECES``, and small splits are read together,
+``TASK_BYTES`` a task, as long as every core has a task; neither changes the result.
 
 The ranks of pairs are a literal, found by the ids of both sides in a perfect hash table. A fold
 copies its state at each step, so pieces over ``FOLD_BYTES`` bytes, where that would grow with the
@@ -22,6 +24,7 @@ import heapq
 import json
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +36,15 @@ from plumbline.llm.chunks import cut
 from plumbline.llm.common import id_text, prepare, small_batches
 
 FOLD_BYTES = 200
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
+MOST_PIECES = 1 << 20
+TASK_BYTES = 128 << 20
 _BUCKETS = 16384
 _SPREAD = (8191, 40503, 92821)
 _ID_BITS = 20
 _NONE = 1 << _ID_BITS
-BLOCKS = ("doc_ids array<long>, sizes array<int>, codes array<int>, counts array<int>, "
-          "solved array<int>, octets array<array<int>>, long_at array<int>, long_words array<binary>")
+BLOCKS = ("doc_ids array<long>, sizes array<int>, codes array<int>, fresh boolean, "
+          "counts array<int>, solved array<int>, octets array<array<int>>, long_at array<int>, long_words array<binary>")
 _pieces: dict[str, object] = {}
 
 
@@ -129,14 +134,15 @@ def merge_fold(word: Column | None, octets: Column, ranks: dict[bytes, int]) ->
             F.shiftright(slot, _ID_BITS) == key, F.shiftleft(slot.bitwiseAND(mask), _ID_BITS))
             .otherwise(none)).bitwiseOR(left)
 
+    gone = F.lit(-1).cast("long")
+
     def merged(s: Column, best: Column, at: Column) -> Column:
+        # ``at`` counts from 1: the pair is at at - 1 and at, its neighbours are beside it.
         new = F.shiftright(best, _ID_BITS)
-        before = F.when(at > 1, F.array(part(F.get(s, at - 2).bitwiseAND(mask), new))).otherwise(
-            F.slice(s, 1, 0))
         here = F.when(at + 1 < F.size(s), part(new, F.get(s, at + 1).bitwiseAND(mask))).otherwise(
             none.bitwiseOR(new))
-        return F.concat(F.slice(s, F.lit(1), F.greatest(at - 2, F.lit(0))), before, F.array(here),
-                        F.slice(s, at + 2, F.size(s)))
+        return F.array_remove(F.transform(s, lambda x, i: F.when((i < at - 2) | (i > at), x).when(
+            i == at - 1, here).when(i == at - 2, part(x.bitwiseAND(mask), new)).otherwise(gone)), gone)
 
     def step(s: Column, _: Column) -> Column:
         return _let(F.array_min(s), lambda best: F.when(best >= none, s).otherwise(_let(
@@ -199,10 +205,10 @@ def _pattern():
 
 
 class _Block:
-    """Distinct pieces of some texts and each text as indices into them."""
+    """Some texts as indices into ``words``, to which new pieces are added."""
 
-    def __init__(self):
-        self.words: dict[bytes, int] = {}
+    def __init__(self, words: dict[str, int]):
+        self.words, self.known = words, len(words)
         self.ids, self.sizes, self.codes, self.bytes = [], [], [], 0
 
     def add(self, ids: pa.Array, texts: pa.Array) -> None:
@@ -234,7 +240,7 @@ class _Block:
 
     def row(self, solved: dict[bytes, bytes]) -> pa.RecordBatch:
         """One row; ``solved`` has the ids of tokens, ready to be joined."""
-        raw = [w.encode() for w in self.words]
+        raw = [w.encode() for w in islice(self.words, self.known, None)]
         found = [solved.get(w) for w in raw]
         fold, long_at = [], []
         for i, ids in enumerate(found):
@@ -253,7 +259,8 @@ class _Block:
         return pa.RecordBatch.from_arrays([
             one(pa.concat_arrays(self.ids), None),
             one(np.concatenate(self.sizes).astype(np.int32), pa.int32()),
-            one(np.concatenate(self.codes), pa.int32()), one(counts, pa.int32()),
+            one(np.concatenate(self.codes), pa.int32()), pa.array([self.known == 0]),
+            one(counts, pa.int32()),
             one(np.frombuffer(b"".join(known), "<i4"), pa.int32()), one(octet_lists(fold), None),
             one(long_at, pa.int32()), one([raw[i] for i in long_at], pa.binary()),
         ], [f.split()[0] for f in BLOCKS.split(", ")])
@@ -266,14 +273,17 @@ def octet_lists(words: list[bytes]) -> pa.ListArray:
         pa.array(ends), pa.array(np.frombuffer(b"".join(words), np.uint8).astype(np.int32)))
 
 
-def _pack(block_bytes: int, solved):
+def _pack(block_bytes: int, most_pieces: int, solved):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, known = _Block(), solved.value
+        words: dict[str, int] = {}
+        block, known = _Block(words), solved.value
         for batch in small_batches(batches, "text", 4 << 20):
             block.add(batch.column(0), pc.fill_null(batch.column(1), ""))
             if block.bytes >= block_bytes:
                 yield block.row(known)
-                block = _Block()
+                if len(words) >= most_pieces:
+                    words = {}
+                block = _Block(words)
                 pa.default_memory_pool().release_unused()
         if block.ids:
             yield block.row(known)
@@ -283,15 +293,21 @@ def _pack(block_bytes: int, solved):
     return run
 
 
-def encode_blocks(docs: DataFrame, ranks: dict[bytes, int],
-                  block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of texts with the ids of each distinct piece."""
+def encode_blocks(docs: DataFrame, ranks: dict[bytes, int], block_bytes: int = BLOCK_BYTES,
+                  most_pieces: int = MOST_PIECES) -> DataFrame:
+    """Blocks of texts with the ids of each piece that is new in its task."""
     prepare(docs.sparkSession)
     solved = {word: rank.to_bytes(4, "little") for word, rank in ranks.items()}
-    shared = docs.sparkSession.sparkContext.broadcast(solved)
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast(solved)
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    tasks = max(context.defaultParallelism, -(-size // TASK_BYTES))
     fold = merge_fold(None, F.col("octets"), ranks)
-    return id_text(docs).mapInArrow(_pack(block_bytes, shared), BLOCKS).select(
-        "doc_ids", "sizes", "codes", "counts", "solved", "long_at", "long_words", fold.alias("encoded"))
+    # An estimate for a plan with joins may be huge; more tasks than there are change nothing.
+    return id_text(docs).coalesce(min(tasks, 1 << 30)).mapInArrow(
+        _pack(block_bytes, most_pieces, shared), BLOCKS).select(
+        "doc_ids", "sizes", "codes", "fresh", "counts", "solved", "long_at", "long_words",
+        fold.alias("encoded"))
 
 
 def texts_of_blocks(blocks: DataFrame, ranks: dict[bytes, int], emit, schema: str) -> DataFrame:
@@ -306,19 +322,28 @@ def texts_of_blocks(blocks: DataFrame, ranks: dict[bytes, int], emit, schema: st
         known, parts = shared.value
         for batch in batches:
             for r in range(batch.num_rows):
-                ids, sizes, codes, counts, solved, long_at, long_words, encoded = (
-                    batch.column(i)[r].values for i in range(8))
-                counts = np.array(counts, np.int64)
-                begins = np.cumsum(counts) - counts
+                ids, sizes, codes, fresh, new_counts, solved, long_at, long_words, encoded = (
+                    getattr(batch.column(i)[r], "values", batch.column(i)[r]) for i in range(9))
+                if fresh.as_py():
+                    begins = counts = np.zeros(0, np.int64)
+                    flat = np.zeros(0, np.int32)
+                new_counts = np.array(new_counts, np.int64)
+                new_begins = np.cumsum(new_counts) - new_counts
                 at = np.asarray(encoded.offsets).astype(np.int64)
                 # Pieces without ids were folded, in their order; long ones come after them.
-                open_at = np.setdiff1d(np.flatnonzero(counts == 0), np.asarray(long_at), True)
-                begins[open_at], counts[open_at] = len(solved) + at[:-1] - at[0], np.diff(at)
-                flat = np.concatenate([np.asarray(solved), np.asarray(encoded.flatten())]).astype(np.int64)
+                open_at = np.setdiff1d(np.flatnonzero(new_counts == 0), np.asarray(long_at), True)
+                new_begins[open_at] = len(solved) + at[:-1] - at[0]
+                new_counts[open_at] = np.diff(at)
+                new = [np.asarray(solved), np.asarray(encoded.flatten())]
+                end = sum(map(len, new))
                 for i, word in zip(long_at.to_pylist(), long_words.to_pylist(), strict=True):
                     found = merge_heap(word, known)
-                    begins[i], counts[i] = len(flat), len(found)
-                    flat = np.concatenate([flat, np.array(found, np.int64)])
+                    new_begins[i], new_counts[i] = end, len(found)
+                    new.append(np.array(found, np.int32))
+                    end += len(found)
+                begins = np.concatenate([begins, new_begins + len(flat)])
+                counts = np.concatenate([counts, new_counts])
+                flat = np.concatenate([flat, *new]).astype(np.int32)
                 codes, out, lo = np.asarray(codes), [], 0
                 for doc_id, size in zip(ids.to_pylist(), sizes.to_pylist(), strict=True):
                     c = codes[lo:lo + size]
@@ -345,13 +370,13 @@ def _hashes(doc_id, ids: np.ndarray, decoded: bytes) -> tuple:
     return doc_id, len(ids), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
-def encoding_report(docs: DataFrame, ranks: dict[bytes, int],
-                    block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def encoding_report(docs: DataFrame, ranks: dict[bytes, int], block_bytes: int = BLOCK_BYTES,
+                    most_pieces: int = MOST_PIECES) -> DataFrame:
     """doc_id, n_tokens and the sha256 of the ids and of the decoded bytes.
 
-    Larger blocks share more pieces and need more memory.
+    With more pieces a task folds fewer of them again and needs more memory.
     """
-    return texts_of_blocks(encode_blocks(docs, ranks, block_bytes), ranks, _hashes,
+    return texts_of_blocks(encode_blocks(docs, ranks, block_bytes, most_pieces), ranks, _hashes,
                            "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 

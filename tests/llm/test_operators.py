@@ -192,6 +192,10 @@ def test_bpe(docs, no_docs, ranks):
                      hashlib.sha256(t.encode()).hexdigest()))
     same([tuple(r) for r in bpe.encoding_report(docs, ranks).collect()], want)
     assert bpe.encoding_report(no_docs, ranks).count() == 0
+    # Many blocks in one task, most texts larger than a block, and lists of pieces that start anew.
+    for most_pieces in (8, 1 << 20):
+        got = bpe.encoding_report(docs.coalesce(1), ranks, 16, most_pieces).collect()
+        same([tuple(r) for r in got], want)
     held = bpe.encode_texts(docs.filter("doc_id = 203"), ranks).first()
     assert bytes(held["decoded"]) == b"one two" and held["ids"] == known.encode_ordinary("one two")
 
