@@ -60,7 +60,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: token ids, checked by decoding them."""
     ranks = bpe.load_ranks(tokenizer_file("byte_bpe_multi_50k.tiktoken"))
-    return bpe.encoding_report(docs, ranks)
+    # Executors still hold what earlier stages took, so a task keeps fewer pieces.
+    return bpe.encoding_report(docs, ranks, most_pieces=1 << 18)
 
 
 STAGES = [
