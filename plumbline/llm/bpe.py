@@ -5,7 +5,9 @@ the blocks of a task: a block carries the pieces that are new in its task. Spark
 functions fold the ranked merges over the bytes of each such piece that is no token itself; ids of
 a text are then put together by index. Decoding concatenates the bytes of the ids. No text is
 shuffled. The list starts anew when it holds ``MOST_PIECES``, and small splits are read together,
-``TASK_BYTES`` a task, as long as every core has a task; neither changes the result.
+``TASK_BYTES`` a task, as long as every core has a task; neither changes the result. Blocks are put
+together from slices of ``SLICE_BYTES``. Spark would join blocks to Arrow batches of 64 MB; the bound
+of the session, ``spark.sql.execution.arrow.maxBytesPerBatch``, is lowered to two blocks.
 
 The ranks of pairs are a literal, found by the ids of both sides in a perfect hash table. A fold
 copies its state at each step, so pieces over ``FOLD_BYTES`` bytes, where that would grow with the
@@ -33,10 +35,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.chunks import cut
-from plumbline.llm.common import id_text, prepare, small_batches
+from plumbline.llm.common import bound_arrow_batches, id_text, prepare, small_batches
 
 FOLD_BYTES = 200
 BLOCK_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 MOST_PIECES = 1 << 20
 TASK_BYTES = 128 << 20
 _BUCKETS = 16384
@@ -277,7 +280,7 @@ def _pack(block_bytes: int, most_pieces: int, solved):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, int] = {}
         block, known = _Block(words), solved.value
-        for batch in small_batches(batches, "text", 4 << 20):
+        for batch in small_batches(batches, "text", SLICE_BYTES):
             block.add(batch.column(0), pc.fill_null(batch.column(1), ""))
             if block.bytes >= block_bytes:
                 yield block.row(known)
@@ -297,6 +300,7 @@ def encode_blocks(docs: DataFrame, ranks: dict[bytes, int], block_bytes: int = B
                   most_pieces: int = MOST_PIECES) -> DataFrame:
     """Blocks of texts with the ids of each piece that is new in its task."""
     prepare(docs.sparkSession)
+    bound_arrow_batches(docs.sparkSession, 2 * BLOCK_BYTES)
     solved = {word: rank.to_bytes(4, "little") for word, rank in ranks.items()}
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(solved)

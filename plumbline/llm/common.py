@@ -21,6 +21,16 @@ def prepare(spark: SparkSession) -> None:
     ship(spark, PACKAGE)
 
 
+def bound_arrow_batches(spark: SparkSession, limit: int) -> None:
+    """Lower the session's bound on the bytes of an Arrow batch to ``limit``; never raise it.
+
+    For rows of several MB: Spark would otherwise join up to 64 MB of them in one batch.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) <= limit:
+        spark.conf.set(key, str(limit))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the folder that driver and executors share."""
     return f"{durable_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
