@@ -223,9 +223,20 @@ def _quantile(values: DataFrame, share: float) -> float:
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [text_features(v).tobytes() for v in utf8_values(batch.column(0))]
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1)],
-                                         ["features", "quality"])
+        found = [text_features(v).tobytes() for v in utf8_values(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())],
+                                         ["doc_id", "features"])
+
+
+def _labelled_features(docs: DataFrame, marks: DataFrame, modulus: int) -> DataFrame:
+    """Features, label and number of equal rows of the documents that have a mark.
+
+    Features are taken where the texts are read, so that the join moves them and no text.
+    """
+    texts = id_text(docs).filter(F.col("doc_id").isNotNull()
+                                 & (id_remainder(F.col("doc_id"), modulus) != 0))
+    return (texts.mapInArrow(_feature_rows, "doc_id long, features binary").join(marks, "doc_id")
+            .groupBy("features", "quality").agg(F.count(F.lit(1)).alias("n")))
 
 
 def score_quality(docs: DataFrame, model: RankModel | None) -> DataFrame:
@@ -287,11 +298,8 @@ def learn_quality(docs: DataFrame, labels: DataFrame, modulus: int = 5) -> RankM
              .groupBy("doc_id").agg(F.max("quality").alias("quality")))
     counts = {r[0]: r[1] for r in marks.groupBy("quality").count().collect()}
     prepare(docs.sparkSession)
-    texts = id_text(docs).filter(id_remainder(F.col("doc_id"), modulus) != 0)
     # Equal rows become one that says how often it stands; they cannot fill a block or a slice.
-    rows = stored(texts.join(marks, "doc_id").select("text", "quality")
-                  .mapInArrow(_feature_rows, "features binary, quality int")
-                  .groupBy("features", "quality").agg(F.count(F.lit(1)).alias("n")), "quality-rows")
+    rows = stored(_labelled_features(docs, marks, modulus), "quality-rows")
     found = {r[0]: (r[1], r[2]) for r in rows.groupBy("quality").agg(
         F.count(F.lit(1)), F.sum("n")).collect()}
     if not found:

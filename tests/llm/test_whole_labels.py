@@ -72,3 +72,17 @@ def test_quality_blocks_hold_every_row(spark, monkeypatch, n_good, n_bad):
     assert set(seen) == distinct
     assert sum(q == lead for _, q in seen) == sizes[lead]
     assert all({r["quality"] for r in b["rows"]} == {0, 1} for b in blocks)
+
+
+def test_quality_joins_features_and_no_text(spark, monkeypatch):
+    """Texts stay where they are read: a join by id that moved them took as much disk as the input."""
+    plans, kept = {}, quality_rank.stored
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return kept(df, name)
+
+    monkeypatch.setattr(quality_rank, "stored", noted)
+    learned(spark, labelled(30, 20))
+    above, below = plans["quality-rows"].split("Join Inner")
+    assert "MapInArrow" not in above and "MapInArrow" in below
