@@ -9,10 +9,10 @@ shuffled. The list starts anew when it holds ``MOST_PIECES``, and small splits a
 together from slices of ``SLICE_BYTES``. Spark would join blocks to Arrow batches of 64 MB; the bound
 of the session, ``spark.sql.execution.arrow.maxBytesPerBatch``, is lowered to two blocks.
 
-The ranks of pairs are found by the ids of both sides in a perfect hash table, which stands in a
-broadcast row beside each block: as literals its numbers would be part of the text of every plan
-that the driver keeps. A fold copies its state at each step, so pieces over ``FOLD_BYTES`` bytes,
-where that would grow with the square of their length, are merged by a heap with the same result.
+The ranks of pairs are a literal, found by the ids of both sides in a perfect hash table. It is bound
+to a variable, so that its numbers stand once in the plan, whose text the driver keeps. A fold copies
+its state at each step, so pieces over ``FOLD_BYTES`` bytes, where that would grow with the square of
+their length, are merged by a heap with the same result.
 
 Edge cases: null and empty texts have no id; ids of rows may be null or repeat; one text may be
 larger than a block and then fills one alone; an empty table gives no row; columns other than
@@ -67,11 +67,12 @@ def rank_literal(ranks: dict[bytes, int]) -> Column:
     return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
 
 
-def start_table(ranks: dict[bytes, int]) -> np.ndarray:
+def start_literal(ranks: dict[bytes, int]) -> Column:
     """What a fold starts with, by byte and next byte; 256 stands for no next byte."""
     single = [ranks[bytes([b])] for b in range(256)]
-    return np.array([ranks.get(bytes([a, b]), _NONE) << _ID_BITS | single[a] if b < 256 else
-                     _NONE << _ID_BITS | single[a] for a in range(256) for b in range(257)], np.int64)
+    start = [ranks.get(bytes([a, b]), _NONE) << _ID_BITS | single[a] if b < 256 else
+             _NONE << _ID_BITS | single[a] for a in range(256) for b in range(257)]
+    return F.from_json(F.lit(json.dumps(start)), "array<long>")
 
 
 def pair_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -105,12 +106,6 @@ def pair_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     return shifts, slots
 
 
-def fold_tables(ranks: dict[bytes, int]) -> dict[str, np.ndarray]:
-    """The tables that a fold looks numbers up in, by name."""
-    shifts, slots = pair_table(ranks)
-    return {"start": start_table(ranks), "shifts": shifts, "slots": slots}
-
-
 def _rank(ranks: Column, key: Column) -> Column:
     at = (F.pmod(F.crc32(key.cast("binary")), F.lit(_BUCKETS)) + 1).cast("int")
     return F.element_at(F.element_at(ranks, at), key)
@@ -121,23 +116,21 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def merge_fold(word: Column | None, octets: Column, ranks: dict[bytes, int],
-               tables: dict[str, np.ndarray] | None = None) -> Column:
+def merge_fold(word: Column | None, octets: Column, ranks: dict[bytes, int]) -> Column:
     """The ids of each piece: its own rank, or the fold of its ranked merges over its bytes.
 
     ``word`` has the pieces in hexadecimal, ``octets`` their bytes; without ``word`` the pieces are
-    known to be no tokens. With ``tables`` the rows have them as columns of these names, else they
-    become literals. The state of a fold is one number for each part: the rank of the pair that it
-    starts, then its id. The rank of a pair is the id of what the pair becomes.
+    known to be no tokens. The state of a fold is one
+    number for each part: the rank of the pair that it starts, then its id. The rank of a pair
+    is the id of what the pair becomes.
     """
-    found = fold_tables(ranks) if tables is None else tables
-    n_shifts, n_slots = len(found["shifts"]), len(found["slots"])
-    start, shifts, slots = (
-        F.from_json(F.lit(json.dumps(found[name].tolist())), "array<long>") if tables is None
-        else F.col(name) for name in ("start", "shifts", "slots"))
+    start = start_literal(ranks)
+    tables = pair_table(ranks)
+    n_shifts, n_slots = map(len, tables)
+    shifts, slots = (F.from_json(F.lit(json.dumps(t.tolist())), "array<long>") for t in tables)
     mask, none = F.lit((1 << _ID_BITS) - 1), F.lit(_NONE << _ID_BITS)
 
-    def part(left: Column, right: Column) -> Column:
+    def part(left: Column, right: Column, shifts: Column, slots: Column) -> Column:
         group = (left * _SPREAD[0] + right).bitwiseAND(n_shifts - 1).cast("int")
         at = (left * _SPREAD[1] + right * _SPREAD[2] + F.get(shifts, group)).bitwiseAND(n_slots - 1)
         key = F.shiftleft(left, _ID_BITS).bitwiseOR(right)
@@ -147,30 +140,34 @@ def merge_fold(word: Column | None, octets: Column, ranks: dict[bytes, int],
 
     gone = F.lit(-1).cast("long")
 
-    def merged(s: Column, best: Column, at: Column) -> Column:
+    def merged(s: Column, best: Column, at: Column, *hashed: Column) -> Column:
         # ``at`` counts from 1: the pair is at at - 1 and at, its neighbours are beside it.
         new = F.shiftright(best, _ID_BITS)
-        here = F.when(at + 1 < F.size(s), part(new, F.get(s, at + 1).bitwiseAND(mask))).otherwise(
+        here = F.when(at + 1 < F.size(s), part(new, F.get(s, at + 1).bitwiseAND(mask), *hashed)).otherwise(
             none.bitwiseOR(new))
         return F.array_remove(F.transform(s, lambda x, i: F.when((i < at - 2) | (i > at), x).when(
-            i == at - 1, here).when(i == at - 2, part(x.bitwiseAND(mask), new)).otherwise(gone)), gone)
+            i == at - 1, here).when(i == at - 2, part(x.bitwiseAND(mask), new, *hashed)).otherwise(
+                gone)), gone)
 
-    def step(s: Column, _: Column) -> Column:
+    def step(s: Column, *hashed: Column) -> Column:
         return _let(F.array_min(s), lambda best: F.when(best >= none, s).otherwise(_let(
-            F.array_position(s, best).cast("int"), lambda at: merged(s, best, at))))
+            F.array_position(s, best).cast("int"), lambda at: merged(s, best, at, *hashed))))
 
-    def fold(octet: Column) -> Column:
+    def fold(octet: Column, *hashed: Column) -> Column:
         rest = F.slice(octet, F.lit(2), F.size(octet))
         first = F.zip_with(octet, rest, lambda a, b: F.element_at(
             start, a * 257 + F.coalesce(b, F.lit(256)) + 1))
-        return F.aggregate(rest, first, step, lambda s: F.transform(
+        return F.aggregate(rest, first, lambda s, _: step(s, *hashed), lambda s: F.transform(
             s, lambda x: x.bitwiseAND(mask).cast("int")))
 
-    if word is None:
-        return F.transform(octets, fold)
-    names = rank_literal(ranks)
-    return F.zip_with(word, octets, lambda w, octet: _let(_rank(names, w), lambda own: F.when(
-        own.isNotNull(), F.array(own)).otherwise(fold(octet))))
+    def folds(*hashed: Column) -> Column:
+        if word is None:
+            return F.transform(octets, lambda octet: fold(octet, *hashed))
+        names = rank_literal(ranks)
+        return F.zip_with(word, octets, lambda w, octet: _let(_rank(names, w), lambda own: F.when(
+            own.isNotNull(), F.array(own)).otherwise(fold(octet, *hashed))))
+
+    return _let(shifts, lambda by_group: _let(slots, lambda at: folds(by_group, at)))
 
 
 def merge_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -313,15 +310,11 @@ def encode_blocks(docs: DataFrame, ranks: dict[bytes, int], block_bytes: int = B
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(solved)
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    n_tasks = max(context.defaultParallelism, -(-size // TASK_BYTES))
-    tables = fold_tables(ranks)
-    beside = docs.sparkSession.createDataFrame(pa.table(
-        {k: pa.array([v], pa.list_(pa.int64())) for k, v in tables.items()}))
-    fold = merge_fold(None, F.col("octets"), ranks, tables)
+    tasks = max(context.defaultParallelism, -(-size // TASK_BYTES))
+    fold = merge_fold(None, F.col("octets"), ranks)
     # An estimate for a plan with joins may be huge; more tasks than there are change nothing.
-    # Beside a broadcast row the blocks of a task stay in their order.
-    return id_text(docs).coalesce(min(n_tasks, 1 << 30)).mapInArrow(
-        _pack(block_bytes, most_pieces, shared), BLOCKS).crossJoin(F.broadcast(beside)).select(
+    return id_text(docs).coalesce(min(tasks, 1 << 30)).mapInArrow(
+        _pack(block_bytes, most_pieces, shared), BLOCKS).select(
         "doc_ids", "sizes", "codes", "fresh", "counts", "solved", "long_at", "long_words",
         fold.alias("encoded"))
 
